@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from loomspan.llm import queries_text
+
+MODULES = (queries_text,)
 
 
 def queries() -> dict:
