@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.llm import queries_text
+from loomspan.llm import queries_more, queries_text
 
-MODULES = (queries_text,)
+MODULES = (queries_text, queries_more)
 
 
 def queries() -> dict:
