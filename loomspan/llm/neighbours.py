@@ -142,7 +142,7 @@ class Books:
 def fit(df: DataFrame, key: str, vector: str, width: int, rows: int, sample_rows: int = SAMPLE_ROWS) -> Books | None:
     """Books from about ``sample_rows`` rows, drawn by a hash of the key; null if no vector is usable."""
     share = min(1.0, sample_rows / max(rows, 1))
-    drawn = df.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col(vector).cast("array<float>").alias("v")).limit(2 * sample_rows)
+    drawn = df.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col(vector).cast("array<float>").alias("v"))
     sample = unit_rows(drawn.toArrow().column("v"), width)[1]
     if not len(sample) and share < 1:
         sample = unit_rows(df.select(F.col(vector).cast("array<float>").alias("v")).limit(2 * sample_rows).toArrow().column("v"), width)[1]
