@@ -1,11 +1,11 @@
-"""Queries over messages and turns: personal information."""
+"""Queries over messages and turns: personal information and mails."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import personal
+from loomspan.llm import emails, personal
 from loomspan.session import table
 
 
@@ -20,5 +20,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of mails that their sender did not newly write."""
+    mails = emails.mails_of(*(table(spark, sf_dir, t) for t in ("messages", "conversations", "authors")))
+    return emails.classify(mails).where("kind <> 'new'").select(F.col("id").alias("message_id"), "line_no")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 ORACLES = {}
