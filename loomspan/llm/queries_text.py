@@ -1,11 +1,11 @@
-"""Queries over documents: splitting and leaks."""
+"""Queries over documents: splitting, leaks and languages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import leakage, splitting
+from loomspan.llm import languages, leakage, splitting
 from loomspan.session import table
 
 #: Limit and overlap of problem 1.
@@ -31,12 +31,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'exact'").select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents whose label is missing or wrong, or that mix several."""
+    docs = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("corpus_class") == "code", F.lit(False)))
+    return languages.wrong_labels(languages.identify(docs))
+
+
 _CLASS = r"\t\n\x0B\f\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。！？、"
 #: SQL has no compatibility decomposition; this covers the forms that stand in the tables.
 _WIDE = "".join(chr(c) for a, b in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(a, b))
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _COMPAT = f"replace(replace(translate(text, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p9_found": p9_found}
 ORACLES = {
     "p1_found": f"""
     WITH d AS (SELECT doc_id, content, CASE WHEN corpus_class = 'code' THEN 1200 ELSE 1000 END AS most FROM documents)
