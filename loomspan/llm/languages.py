@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 #: Words a whole sentence has at least (characters for scripts without spaces).
 LEAST_WORDS, LEAST_WIDE = 3, 5
 #: Weight that a sentence's language must have among the posteriors of its words.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.6
 #: Weight of a word's own feature from which it belongs to a language's lexicon; a sentence needs two such words.
 LEXICON_WEIGHT, LEAST_LEXICON = 0.15, 2
 
@@ -42,7 +42,8 @@ NAMES = {
 NO_LANGUAGE = ("", "und", "unknown", "xx", "xxx", "n/a", "na", "none", "null", "zxx", "mul", "mis", "unk", "?", "-", "other", "undefined", "undetermined")
 _CODES = {w: code for code, ws in NAMES.items() for w in ws.split()}
 
-_WORD = re.compile(r"[぀-ヿ㐀-鿿々ー]+|[Ѐ-ӿ]+|(?:(?![぀-ヿ㐀-鿿々ーЀ-ӿ])[^\W\d_])+(?:['’](?:(?![぀-ヿ㐀-鿿Ѐ-ӿ])[^\W\d_])+)?")
+#: Where no spaces part the words, short runs of one script stand for them.
+_WORD = re.compile(r"[぀-ゟ]{1,4}|[゠-ヿー]{1,8}|[㐀-鿿々]{1,4}|[Ѐ-ӿ]+|(?:(?![぀-ヿ㐀-鿿々ーЀ-ӿ])[^\W\d_])+(?:['’](?:(?![぀-ヿ㐀-鿿Ѐ-ӿ])[^\W\d_])+)?")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]*_]*[ \t ]+|(?<=[。！？])|\s*[\r\n]+\s*")
 _WHOLE = re.compile(r"[.!?…。！？][\"'»”’)\]*_]*\s*$")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")

@@ -69,7 +69,7 @@ def test_labels(spark):
 def test_edges(spark):
     rows, _ = corpus(7, 60)
     rows += [(800, None, "en", ""), (801, "", "en", ""), (802, " \n　", None, ""), (803, "1234 5678", None, ""), (804, "The baker wants to see the river before the summer. " * 5000, "en", ""), (805, rows[0][1], "en", ""), (805, rows[0][1], "en", "")]
-    out = languages.identify(frame(spark, rows), train_documents=60).collect()
+    out = languages.identify(frame(spark, rows)).collect()
     by = {r.doc_id: r for r in out}
     assert not {800, 801, 802} & set(by) and by[803].languages == [] and by[804].languages == ["en"] and sum(r.doc_id == 805 for r in out) == 2
     assert languages.identify(frame(spark, rows).limit(0)).count() == 0
