@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import hierarchy
+from loomspan.plans import hierarchy, text
 
-MODULES = (hierarchy,)
+MODULES = (hierarchy, text)
 
 
 def queries() -> dict:
