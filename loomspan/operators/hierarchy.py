@@ -174,3 +174,17 @@ def descendants(walked: DataFrame) -> DataFrame:
 def descendant_counts(walked: DataFrame) -> DataFrame:
     """From the result of ``paths``: each row with its number of descendants."""
     return walked.join(descendants(walked).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants")), "node", "left").fillna(0, ["n_descendants"])
+
+
+def on_the_way_up(links: DataFrame, seeds: DataFrame, deepest: int) -> DataFrame:
+    """``node`` of the seeds and all their ancestors. ``links``: node, parent of trees without circles.
+
+    Marks climb by doubling: each round they reach twice as far, and links are squared.
+    """
+    jump = links.where(F.col("parent").isNotNull()).select("node", "parent")
+    marks = cut(seeds.select("node").distinct())
+    for _ in range(int(max(0, deepest)).bit_length()):
+        marks = cut(marks.unionByName(jump.join(marks, "node", "left_semi").select(F.col("parent").alias("node"))).distinct())
+        up = jump.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
+        jump = cut(jump.join(up, "parent").select("node", F.col("_p").alias("parent")))
+    return marks

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import hierarchy, text
+from loomspan.plans import corpus, hierarchy, search, text
 
-MODULES = (hierarchy, text)
+MODULES = (search, corpus, hierarchy, text)
 
 
 def queries() -> dict:
