@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import corpus, hierarchy, search, text
+from loomspan.plans import corpus, hierarchy, knowledge, search, text
 
-MODULES = (search, corpus, hierarchy, text)
+MODULES = (search, corpus, text, knowledge, hierarchy)
 
 
 def queries() -> dict:
