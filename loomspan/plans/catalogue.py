@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import corpus, hierarchy, knowledge, search, text
+from loomspan.plans import corpus, documents, hierarchy, knowledge, search, text
 
-MODULES = (search, corpus, text, knowledge, hierarchy)
+MODULES = (search, corpus, text, documents, knowledge, hierarchy)
 
 
 def queries() -> dict:
