@@ -89,8 +89,11 @@ class Field:
         self.start = np.zeros(k)
 
     # fitting ------------------------------------------------------------------------------------------
-    def fit(self, sequences: list[list[str]], labels: list[np.ndarray], rounds: int = 25, rate: float = 0.5, learn_transitions: bool = True) -> None:
-        """Maximum likelihood by Adagrad; a sequence's labels are one language a word."""
+    def fit(self, sequences: list[list[str]], labels: list[np.ndarray], rounds: int = 15, rate: float = 0.5, chained: bool = True) -> None:
+        """Maximum likelihood by Adagrad; a sequence's labels are one language a word.
+
+        Unchained, words are taken without their neighbours, so the counts of each word's labels say all.
+        """
         vocab: dict[str, int] = {}
         coded = [np.array([vocab.setdefault(w, len(vocab)) for w in s]) for s in sequences]
         lists = [features(w) for w in vocab]
@@ -102,13 +105,19 @@ class Field:
         norm = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(lists))))
         order = np.argsort([len(c) for c in coded], kind="stable")
         groups = []
+        if not chained:
+            told = np.bincount(np.concatenate(coded) * k + np.concatenate(labels), minlength=len(lists) * k).reshape(-1, k).astype(float)
+            order = order[:0]
         for g in range(0, len(order), 256):
             part = [i for i in order[g : g + 256] if len(coded[i])]
             if part:
                 groups.append(_padded([coded[i] for i in part]) + (_padded([labels[i] for i in part])[0],))
         for _ in range(rounds):
             emit = np.stack([np.bincount(owner, w[inverse, j], len(lists)) for j in range(k)], 1) * norm[:, None]
-            grad, grad_t, total = np.zeros_like(emit), np.zeros((k, k)), 0
+            grad, grad_t = np.zeros_like(emit), np.zeros((k, k))
+            if not chained:
+                p = np.exp(emit - emit.max(1, keepdims=True))
+                grad = told - told.sum(1, keepdims=True) * p / p.sum(1, keepdims=True)
             for at, mask, gold in groups:
                 post, pairs = self._posteriors(emit[at], mask, True)
                 diff = np.eye(k)[gold] - post
@@ -117,12 +126,11 @@ class Field:
                     grad[:, j] += np.bincount(flat, keep[:, j], len(emit))
                 both = mask[:, 1:] & mask[:, :-1]
                 grad_t += np.bincount((gold[:, :-1] * k + gold[:, 1:])[both], minlength=k * k).reshape(k, k) - pairs
-                total += len(flat)
             grad *= norm[:, None]
             step = np.stack([np.bincount(inverse, grad[owner, j], len(bucket)) for j in range(k)], 1) - 0.02 * w
             seen_w += step**2
             w += rate * step / np.sqrt(seen_w)
-            if learn_transitions:
+            if chained:
                 grad_t -= 0.5 * self.trans
                 seen_t += grad_t**2
                 self.trans += rate * grad_t / np.sqrt(seen_t)
@@ -220,13 +228,14 @@ def fit(texts: list[str], labels: list[str], languages=LANGUAGES) -> Field | Non
     if not sequences:
         return None
     first = Field(languages)
-    first.fit(sequences, gold, rounds=20, learn_transitions=False)
+    first.fit(sequences, gold, rounds=25, chained=False)
     # label the sample again: whole sentences take the language their words speak for
     vocab: dict[str, int] = {}
     coded = [np.array([vocab.setdefault(w, len(vocab)) for w in s]) for s in sequences]
     again = [p.argmax(1) for p in first.label(coded, first.scores(list(vocab)))]
     field = Field(languages)
-    field.fit(sequences, again, rounds=25)
+    field.weights = first.weights
+    field.fit(sequences, again)
     return field
 
 
