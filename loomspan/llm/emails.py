@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 import xxhash
 
 from loomspan.llm.boosting import Trees
-from loomspan.session import cut
+from loomspan.session import cut, shuffle_width
 
 #: Mails whose blocks the models are fitted on (drawn by a hash of the id).
 TRAIN_MAILS = 4_000
@@ -255,7 +255,8 @@ def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFram
     """
     mails = messages.select(F.col("id").cast("long").alias("id"), F.col("thread").cast("long").alias("thread"), F.xxhash64("thread", "mail").alias("mail"), F.coalesce(F.col("sender").cast("long"), F.lit(-1)).alias("sender"), F.unix_micros(F.col("sent").cast("timestamp")).alias("sent"), F.col("sender_name").cast("string").alias("sender_name"), "body")
     mails = mails.where(F.col("id").isNotNull() & (F.length("body") > 0)).dropDuplicates(["id"])
-    known = cut(mails.select("id", "sender_name", "body").join(line_statistics(mails.drop("sender_name")), "id"))
+    width = shuffle_width(messages.sparkSession)  # set, or the adaptive join would leave parsing to a few tasks
+    known = cut(mails.select("id", "sender_name", "body").repartition(width, "id").join(line_statistics(mails.drop("sender_name")), "id"))
 
     def parse(body: str, stats: list[dict], name: str):
         lines = split_lines(body)
