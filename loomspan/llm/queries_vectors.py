@@ -16,4 +16,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLES = {}
+ORACLES = {
+    "p5_found": """
+    WITH v AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM emb_quill WHERE length(embedding) = 64
+      AND length(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+    n AS (SELECT a, b, s FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+    SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM n WHERE s >= 0.9""",
+}
