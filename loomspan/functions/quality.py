@@ -30,7 +30,7 @@ def sample_of(text: Column, size: int = SAMPLE, least: int = LEAST_LINES) -> Col
 
 
 def assess(text: Column, sample: Column | None = None) -> Column:
-    """``machine``, the number of lines, and the signals rounded to three places (null for short texts)."""
+    """``machine``, the number of lines, and the signals rounded to three places, half to even (null for short texts)."""
     sample = sample_of(text) if sample is None else sample
     lines = _lines(sample)
     n = F.size(lines)
@@ -53,5 +53,5 @@ def assess(text: Column, sample: Column | None = None) -> Column:
     machine = F.when(judged, decisive | (reasons >= 2)).otherwise(F.coalesce(hashes > 0.8, F.lit(False)) & (n > 0))
     return F.struct(
         F.coalesce(machine, F.lit(False)).alias("machine"), n.alias("lines"),
-        *[F.when(judged, F.round(signal[k], 3)).alias(k) for k in signal], F.when(judged, F.round(alpha, 3)).alias("alpha_ratio"),
+        *[F.when(judged, F.bround(signal[k], 3)).alias(k) for k in signal], F.when(judged, F.bround(alpha, 3)).alias("alpha_ratio"),
     )

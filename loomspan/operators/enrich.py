@@ -87,7 +87,7 @@ def git_authorship(tallies: DataFrame, own: Column) -> DataFrame:
     ranked = per.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("commits"), "name"))).where("r <= 6").join(totals, "path")
     role = F.when(F.col("r") == 1, "author").otherwise("committer")
     evidence = F.concat(F.lit("git-log:"), F.when(F.col("r") == 1, "top-committer").otherwise("committer"), F.lit(":"), F.col("commits").cast("string"), F.lit("/"), F.col("total").cast("string"))
-    return ranked.select("path", "name", role.alias("role"), F.round(F.col("commits") / F.col("total"), 3).alias("confidence"), evidence.alias("evidence"), F.round(F.col("self") / F.col("total"), 3).alias("self_share"))
+    return ranked.select("path", "name", role.alias("role"), F.bround(F.col("commits") / F.col("total"), 3).alias("confidence"), evidence.alias("evidence"), F.bround(F.col("self") / F.col("total"), 3).alias("self_share"))
 
 
 def attribute(git: Column, sender: Column, metadata: Column, path: Column) -> Column:

@@ -51,5 +51,5 @@ ORACLES = {
         p AS (SELECT a AS id, min(b) AS person FROM r GROUP BY 1)
         SELECT person, arg_min(trim(display_name), (CASE WHEN contains(display_name, '@') OR key IS NOT NULL THEN 1 ELSE 0 END, id)) AS display_name, count(*) AS authors FROM p JOIN a USING (id) GROUP BY 1""",
     "git_authorship": """WITH t AS (SELECT l_partkey::VARCHAR AS path, 'dev' || l_suppkey AS name, count(*) AS c FROM lineitem GROUP BY ALL), s AS (SELECT path, sum(c) AS total, coalesce(sum(c) FILTER (name = 'dev1'), 0) AS own FROM t GROUP BY 1)
-        SELECT path, name, CASE WHEN r = 1 THEN 'author' ELSE 'committer' END AS role, round(c / total, 3) AS confidence, round(own / total, 3) AS self_share FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY c DESC, name) AS r FROM t) JOIN s USING (path) WHERE r <= 6""",
+        SELECT path, name, CASE WHEN r = 1 THEN 'author' ELSE 'committer' END AS role, round_even(c / total, 3) AS confidence, round_even(own / total, 3) AS self_share FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY c DESC, name) AS r FROM t) JOIN s USING (path) WHERE r <= 6""",
 }

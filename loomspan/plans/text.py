@@ -140,9 +140,9 @@ ORACLES = {
           list_filter(list_transform(ls[1:10], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 3 AND 200)[1],
           regexp_extract(uri, '([^/]*?)(?:\.[A-Za-z0-9_]+)?$', 1)) AS guessed FROM d""",
     "content_hashes": "SELECT doc_id, sha256(text) AS text_sha, greatest(length(text) // 4, 1)::INTEGER AS tokens, sha256(content) = content_sha256 AS content_same FROM documents WHERE text IS NOT NULL",
-    "quality_metrics": _QUALITY + """ SELECT doc_id, lines::INTEGER AS lines, CASE WHEN lines >= 40 THEN round(repetition, 3) END AS repetition, CASE WHEN lines >= 40 THEN round(timestamped, 3) END AS timestamped,
-        CASE WHEN lines >= 40 THEN round(dumpish, 3) END AS dumpish, CASE WHEN lines >= 40 THEN round(hex_per_line, 3) END AS hex_per_line, CASE WHEN lines >= 40 THEN round(base64_per_line, 3) END AS base64_per_line,
-        CASE WHEN lines >= 40 THEN round(alpha, 3) END AS alpha_ratio FROM m""",
+    "quality_metrics": _QUALITY + """ SELECT doc_id, lines::INTEGER AS lines, CASE WHEN lines >= 40 THEN round_even(repetition, 3) END AS repetition, CASE WHEN lines >= 40 THEN round_even(timestamped, 3) END AS timestamped,
+        CASE WHEN lines >= 40 THEN round_even(dumpish, 3) END AS dumpish, CASE WHEN lines >= 40 THEN round_even(hex_per_line, 3) END AS hex_per_line, CASE WHEN lines >= 40 THEN round_even(base64_per_line, 3) END AS base64_per_line,
+        CASE WHEN lines >= 40 THEN round_even(alpha, 3) END AS alpha_ratio FROM m""",
     "quality_verdict": _QUALITY + """ SELECT source_id, CASE WHEN lines >= 40 THEN timestamped > 0.6 OR hex_per_line > 1 OR dumpish > 0.7 OR repetition > 0.82
           OR (timestamped > 0.45)::INT + (repetition > 0.65)::INT + (dumpish > 0.4)::INT + (hex_per_line > 0.6)::INT + (base64_per_line > 0.4)::INT + (alpha < 0.55)::INT >= 2
         ELSE lines > 0 AND coalesce(hashes > 0.8, false) END AS machine, count(*) AS documents FROM m GROUP BY ALL""",

@@ -69,6 +69,6 @@ def test_enrich(spark):
     assert {r.author_id: r.person for r in enrich.same_people(ids).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
     tallies = spark.createDataFrame([("p", "Ada", 13), ("p", "Bo", 2), ("p", "Cy", 1), ("q", "Bo", 1)], "path string, name string, commits int")
     top = {(r.path, r.role): (r.name, r.confidence, r.evidence) for r in enrich.git_authorship(tallies, F.col("name") == "Bo").where("role = 'author'").collect()}
-    assert top == {("p", "author"): ("Ada", 0.813, "git-log:top-committer:13/16"), ("q", "author"): ("Bo", 1.0, "git-log:top-committer:1/1")}
+    assert top == {("p", "author"): ("Ada", 0.812, "git-log:top-committer:13/16"), ("q", "author"): ("Bo", 1.0, "git-log:top-committer:1/1")}
     hints = spark.createDataFrame([(["a", "b"],), (None,)], "h array<string>").select(enrich.hint_authors(F.col("h")).alias("a")).collect()
     assert [x.confidence for x in hints[0].a] == [0.8, 0.5] and list(hints[1].a) == []
