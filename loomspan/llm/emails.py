@@ -35,6 +35,7 @@ _DATE = r"(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}:\d{2}|\d{1,2}\.? [^\W\d_]{3
 _INTRO = re.compile(rf"(?i)(?=.*(?:{_DATE}|@))(?:.*\b{_SAID}\b.*|.*{_SAID}):\s*$")
 _INTRO_END = re.compile(rf"(?i)(?:\b{_SAID}|書きました)\s*:?\s*$")
 _ENDS_SAID = re.compile(rf"(?i){_SAID}$")
+_LAST = "esbtóoufvлаоитた"  # last letters of these words
 _INTRO_START = re.compile(rf"(?i)^\s*(?:on|le|am|el|em|op|il|den|в|on\s\w+)\b.*{_DATE}|^\s*\d{{4}}年|^\s*\d{{1,2}} [^\W\d_]+ \d{{4}}")
 _RULE = re.compile(r"^\s*(?:[-–—_=*~#]{2,}|—|–)\s*$")
 _BANNER = re.compile(r"(?i)^\s*-{2,}\s*(?:original message|original-nachricht|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message original|message transféré|mensaje original|mensaje reenviado|mensagem original|mensagem encaminhada|oorspronkelijk bericht|doorgestuurd bericht|исходное сообщение|пересылаемое сообщение)\s*-{2,}\s*$")
@@ -49,12 +50,24 @@ _LEGAL = [re.compile(p, re.I) for p in (
     r"(?:e-?mail|message|nachricht|courriel|mensaje|mensagem|bericht)", r"delete it|löschen sie|supprimer|elim[ií]n|verwijder|irrtümlich|in error|par erreur|por error", r"liab|haftet|haftung|responsab|aansprakelijk", r"prohibit|interdite?|verboten|untersagt|prohibid", r"contract|vertrag|contrat|virus|monitored|archived",
     r"registered in|registered (?:office|under)|sitz der|siège social|handelsregister|registro mercantil", r"consider the (?:trees|environment)|before you print|print this|umwelt|imprimer", r"views (?:here|expressed)|disclaimer|notice:",
 )]
+#: A text without any of these holds none of the patterns above.
+_LEGAL_HINTS = ("confid", "vertraul", "vertrouwelijk", "конфиденц", "privileged", "intended", "meant only", "addressee", "empfänger", "personne nomm", "destinat", "geadresseerde", "mail", "message", "nachricht", "courriel", "mensaje", "mensagem", "bericht", "delete it", "löschen", "supprimer", "elim", "verwijder", "irrtüm", "error", "erreur", "liab", "haft", "responsab", "aansprakelijk", "prohib", "interdit", "verboten", "untersagt", "contract", "vertrag", "contrat", "virus", "monitored", "archived", "registered", "sitz der", "siège social", "handelsregister", "registro", "consider the", "print", "umwelt", "imprimer", "views ", "disclaimer", "notice:")
 _GREET = re.compile(r"(?i)^\s*(?:hi|hello|hey|dear|good (?:morning|day|evening|afternoon)|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|bonjour|bonsoir|salut|cher|chère|chers|hola|buenos días|buenas|estimad[oa]s?|querid[oa]s?|olá|oi|bom dia|prezad[oa]s?|beste|geachte|dag|здравствуйте|привет|уважаем\w+|добрый день|こんにちは)\b")
 _POST = re.compile(r"(?i)^\s*(?:p\.?\s?s\.?|n\.?b\.?|ps|pd|p\.?d\.?)(?:\s*[-–—:.]|\s)")
 _CONTACT = re.compile(r"(?i)[\w.+-]+@[\w-]+\.|https?://|www\.|(?:\+|\b(?:tel|t|fon|phone|mobil|mobile|fax|cell)\b\.?:?\s|\b0)\(?\d[\d ()./ -]{5,}|^\W*\+?\(?\d[\d ()./ -]{6,}(?:\s?(?:x|ext\.?|durchwahl)\s?\d+)?\W*$|\b\d{1,4}[a-z]?,? [A-Z][\w'’]+(?: [A-Z][\w'’]+)* (?i:street|drive|lane|avenue|row|court|road)|(?:straße|str\.|gasse|allee|weg) \d+|\b(?:rue|boulevard|impasse|quai|avenue) |p\.o\. box")
 _SENTENCE = re.compile(r"[.!?。…:]['\")»”]*\s*$")
 
 
+def legal_words(text: str) -> int:
+    """How many kinds of disclaimer wording a text holds."""
+    low = text.lower()
+    return sum(bool(p.search(text)) for p in _LEGAL) if any(h in low for h in _LEGAL_HINTS) else 0
+
+
+def has_contact(line: str) -> bool:
+    return any(c in "@0123456789/" for c in line) and bool(_CONTACT.search(line))
+
+
 def bare(line: str) -> str:
     """The line without quote marks and outer white space."""
     while True:
@@ -103,7 +116,7 @@ def quoted(lines: list[str], old: list[bool]) -> list[bool]:
                 out[k] = True
             break
         tail = lines[i].rstrip()
-        if follower is not None and tail[-1:] != ":" and not _ENDS_SAID.search(tail[-24:]):
+        if follower is not None and tail[-1:] != ":" and not (tail[-1:] in _LAST and _ENDS_SAID.search(tail[-24:])):
             continue
         if (_INTRO.search(lines[i]) or (_INTRO_END.search(lines[i]) and i and _INTRO_START.search(lines[i - 1]))) and len(lines[i]) < 300:
             if leads or (follower is not None and old[follower] and follower - i <= 2):
@@ -148,7 +161,7 @@ def blocks(lines: list[str], out: list[bool]) -> list[tuple[int, int, int]]:
 
 
 def _opens(line: str) -> bool:
-    return bool(_RULE.match(line) or _SIGN_OFF.match(line) or _AUTO.match(line) or _POST.match(line) or sum(bool(p.search(line)) for p in _LEGAL) >= 2 and re.match(r"\W*(?:[A-Z]|[А-Я])", line))
+    return bool(_RULE.match(line) or _SIGN_OFF.match(line) or _AUTO.match(line) or _POST.match(line) or legal_words(line) >= 2 and re.match(r"\W*(?:[A-Z]|[А-Я])", line))
 
 
 FEATURES = 24
@@ -167,9 +180,9 @@ def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]
         n = len(part)
         mean = sum(map(len, part)) / n
         sign, rule, auto = bool(_SIGN_OFF.match(part[0])), bool(_RULE.match(part[0])), any(_AUTO.match(x) for x in part[:2])
-        contact = sum(bool(_CONTACT.search(x)) for x in part) / n
+        contact = sum(map(has_contact, part)) / n
         sentences = sum(bool(_SENTENCE.search(x)) or len(x.split()) >= 8 for x in body) / max(1, len(body))
-        legal = sum(bool(p.search(text)) for p in _LEGAL)
+        legal = legal_words(text)
         words = {w.lower() for w in re.findall(r"[^\W\d_]{2,}", " ".join(part[:3]))} if mean < 60 else set()
         after = next((found[k][2] == run for k in range(b + 1, len(found))), False)
         rest = sum(1 for k in range(b + 1, len(found)) if found[k][2] == run)
