@@ -59,7 +59,7 @@ def guarded_clusters(spark, sf_dir):
     """Components split by average linkage among facts with the same signature."""
     f = _facts(spark, sf_dir)
     p = cluster.similar_pairs(f, "vec_id", "label", "embedding", ALIKE)
-    return cluster.linked_groups(p, f.select(F.col("vec_id").alias("node"), (F.col("vec_id") % 3).cast("string").alias("signature")), ALIKE)
+    return cluster.linked_groups(p, f.select(F.col("vec_id").alias("node"), F.when(F.get("embedding", F.lit(0)) > 0, "up").otherwise("down").alias("signature")), ALIKE)
 
 
 def cluster_full(spark, sf_dir):

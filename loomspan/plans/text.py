@@ -71,7 +71,7 @@ def reader_dispatch(spark, sf_dir):
 
 
 def classify_path(spark, sf_dir):
-    roots = F.broadcast(table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), "root", "default_trust"))
+    roots = table(spark, sf_dir, "sources").select(F.col("id").alias("source_id"), "root", "default_trust")
     d = documents(spark, sf_dir).join(roots, "source_id").withColumn("path", F.regexp_replace("uri", "^file://", ""))
     relative = F.when(F.col("path").startswith(F.concat("root", F.lit("/"))), F.substring("path", F.length("root") + 2, F.length("path"))).otherwise(F.regexp_extract("path", "([^/]*)$", 1))
     return d.select("doc_id", text.path_trust(relative, F.col("default_trust")).alias("t")).select("doc_id", "t.trust", "t.label")

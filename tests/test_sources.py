@@ -16,9 +16,9 @@ def corpus(tmp_path):
     root = tmp_path / "corpus"
     (root / "node_modules").mkdir(parents=True)
     (root / "notes").mkdir()
-    (root / "notes" / "bridge.md").write_text("---\ntitle: The Bridge\nauthor: [Ada, Microsoft Word]\n---\n# Other\nzorvexine stands here.\n")
+    (root / "notes" / "bridge.md").write_text("---\ntitle: The Bridge\nauthor: [Ada, Microsoft Word]\n---\n# Other\nA brindled heron stands here.\n")
     (root / "notes" / "old.txt").write_bytes("caf\xe9 bridge".encode("cp1252"))
-    (root / "notes" / "mail.eml").write_text("From: Ada L <ada@x.example>\nSubject: Lantern\nTo: b@x.example\n\nThe wendleflock festival.\n")
+    (root / "notes" / "mail.eml").write_text("From: Ada L <ada@x.example>\nSubject: Lantern\nTo: b@x.example\n\nThe heron festival.\n")
     (root / "notes" / "tide.rs").write_text("fn tide() {}\n")
     (root / "notes" / "empty.md").write_text("")
     (root / "notes" / "pic.doc").write_bytes(b"x")
@@ -31,7 +31,7 @@ def test_scan_and_read(spark, corpus):
     assert {r.relative: r.why for r in listed.collect()} == {"notes/bridge.md": None, "notes/old.txt": None, "notes/mail.eml": None, "notes/tide.rs": "code", "notes/pic.doc": "no reader", "node_modules/x.md": "excluded folder"}
     out = {r.path.rsplit("/", 1)[1]: r for r in readers.extract(files.contents(spark, corpus)).collect()}
     assert out["bridge.md"].title == "The Bridge" and out["bridge.md"].authors == ["Ada"] and out["bridge.md"].text.startswith("# Other")
-    assert out["old.txt"].text == "café bridge" and out["mail.eml"].authors == ["Ada L <ada@x.example>"] and "wendleflock" in out["mail.eml"].text
+    assert out["old.txt"].text == "café bridge" and out["mail.eml"].authors == ["Ada L <ada@x.example>"] and "heron" in out["mail.eml"].text
     assert out["pic.doc"].problem == "no extractor for 'doc'" and out["pic.doc"].text is None
 
 
