@@ -26,7 +26,7 @@ def blank(text: Column) -> Column:
 
 
 def fragments(turns: DataFrame) -> DataFrame:
-    """One row a message: ``session_id, node, up, gap, asks, answers, role, ord``.
+    """One row a message: ``session_id, node, up, gap, asks, answers``.
 
     Rows with the same external id in a session are one message, known by its smallest row id; rows without an
     external id are messages of their own. ``up`` is the message its first named parent is, ``gap`` tells
@@ -36,23 +36,22 @@ def fragments(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("session_id").cast("long").alias("session_id"), F.col("id").cast("long").alias("id"),
         F.coalesce(named("external_id"), F.xxhash64("session_id", "id", F.lit("row"))).alias("suffix"),
-        named("parent_external_id").alias("prefix"), "role", F.col("ord").cast("long").alias("ord"),
+        named("parent_external_id").alias("prefix"), "role",
         (~blank(F.col("content"))).alias("said"),
     ).where(F.col("session_id").isNotNull() & F.col("id").isNotNull())
-    first = F.struct("id", "prefix", "role", "ord")
     has = lambda role: F.max(F.col("said") & (F.col("role") == role))
     messages = rows.groupBy("session_id", "suffix").agg(
-        F.min("id").alias("node"), F.min(first).alias("first"), F.min(F.when(F.col("prefix").isNotNull(), F.struct("id", "prefix"))).alias("named"),
+        F.min("id").alias("node"), F.min(F.when(F.col("prefix").isNotNull(), F.struct("id", "prefix"))).alias("named"),
         F.coalesce(has("user"), F.lit(False)).alias("asks"), F.coalesce(has("assistant"), F.lit(False)).alias("answers"), F.collect_set("prefix").alias("prefixes"),
     )
-    messages = cut(messages.select("session_id", "suffix", "node", F.col("first.role").alias("role"), F.col("first.ord").alias("ord"), F.col("named.prefix").alias("prefix"), F.when(F.size("prefixes") > 1, F.col("prefixes")).alias("prefixes"), "asks", "answers"))
+    messages = cut(messages.select("session_id", "suffix", "node", F.col("named.prefix").alias("prefix"), F.when(F.size("prefixes") > 1, F.col("prefixes")).alias("prefixes"), "asks", "answers"))
     known = messages.select("session_id", F.col("suffix").alias("prefix"), F.col("node").alias("up"))
     joined = messages.join(known, ["session_id", "prefix"], "left")
     # rows of one message that name several parents are few; each parent is looked up
     more = messages.where(F.col("prefixes").isNotNull()).select("session_id", "node", F.explode("prefixes").alias("prefix"))
     lost = more.join(known, ["session_id", "prefix"], "left_anti").select("node", F.lit(True).alias("lost")).distinct()
     joined = joined.join(lost, "node", "left")
-    return joined.select("session_id", "node", "up", ((F.col("prefix").isNotNull() & F.col("up").isNull()) | F.coalesce("lost", F.lit(False))).alias("gap"), "asks", "answers", "role", "ord")
+    return joined.select("session_id", "node", "up", ((F.col("prefix").isNotNull() & F.col("up").isNull()) | F.coalesce("lost", F.lit(False))).alias("gap"), "asks", "answers")
 
 
 def paths_of(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +95,7 @@ def answered_below(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rebuild(turns: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages placed in their conversations, and the sessions to drop.
 
-    Placed: ``session_id, node, up, role, ord, head, at``. Dropped: ``session_id, reason`` with the first
+    Placed: ``session_id, node, up, head, at``. Dropped: ``session_id, reason`` with the first
     reason that holds of ``empty`` (no user or assistant turn says anything; sessions without turns too),
     ``broken`` (a parent no turn of the session has, or a circle) and ``unanswered`` (a user turn that says
     something has no assistant turn that does among its descendants). Rows without session or id are left
@@ -114,7 +113,7 @@ def rebuild(turns: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFr
         all_ = sessions.select(F.col("id").cast("long").alias("session_id")).distinct().join(all_, "session_id", "full")
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     reason = F.when(~is_("says"), "empty").when(is_("broken") | is_("circled"), "broken").when(is_("open"), "unanswered")
-    return placed.select("session_id", "node", "up", "role", "ord", "head", "at"), all_.select("session_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return placed.select("session_id", "node", "up", "head", "at"), all_.select("session_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def ordered(turns: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -124,11 +123,12 @@ def ordered(turns: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     blocks of ``BLOCK`` values of ord, so no task holds a whole long session.
     """
     placed, dropped = rebuild(turns, sessions)
-    kept = cut(placed.join(dropped, "session_id", "left_anti").withColumn("block", F.floor(F.coalesce("ord", F.lit(0)) / BLOCK)))
+    about = turns.select(F.col("id").cast("long").alias("node"), "role", F.col("ord").cast("long").alias("ord")).dropDuplicates(["node"])
+    kept = cut(placed.join(dropped, "session_id", "left_anti").join(about, "node").withColumn("block", F.floor(F.coalesce("ord", F.lit(0)) / BLOCK)))
     from pyspark.sql import Window
 
     sizes = kept.groupBy("session_id", "block").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("session_id", "block").orderBy(F.col("ord").asc_nulls_first(), "at", "node"))
-    said = turns.select(F.col("id").cast("long").alias("node"), "content")
+    said = turns.select(F.col("id").cast("long").alias("node"), "content").dropDuplicates(["node"])
     return kept.withColumn("inside", inside).join(before, ["session_id", "block"]).join(said, "node").select("session_id", (F.col("before") + F.col("inside") - 1).alias("position"), "node", "role", "content")
