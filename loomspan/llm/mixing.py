@@ -25,6 +25,8 @@ from loomspan.session import cut
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Residuals that one task combines.
 FAN_IN = 64
+#: Targets that may travel to every task; more are joined by a shuffle, hot sources split by the adaptive plan.
+BROADCAST_TARGETS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +124,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).cast("long").alias("key"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).withColumn("place", F.monotonically_increasing_id()).where(F.col("source").isNotNull())
     tokens = cut(count_tokens(rows, "text", "key", "place", "source", vocabulary=vocabulary))
     shares = cut(plan_shares(tokens, targets))
-    quota = F.broadcast(shares.select("source", "quota"))  # one row a target, all of which are in the targets table
+    quota = shares.select("source", "quota")
+    if shares.count() <= BROADCAST_TARGETS:
+        quota = F.broadcast(quota)
     wants = tokens.join(quota, "source").select("key", "place", "source", "tokens", F.floor("quota").cast("int").alias("whole"), (F.col("quota") - F.floor("quota")).alias("prob"))
     draw = lambda salt: (F.pmod(F.xxhash64("key", "place", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
