@@ -44,6 +44,8 @@ _CODES = {w: code for code, ws in NAMES.items() for w in ws.split()}
 
 #: Where no spaces part the words, short runs of one script stand for them.
 _WORD = re.compile(r"[぀-ゟ]{1,4}|[゠-ヿー]{1,8}|[㐀-鿿々]{1,4}|[Ѐ-ӿ]+|(?:(?![぀-ヿ㐀-鿿々ーЀ-ӿ])[^\W\d_])+(?:['’](?:(?![぀-ヿ㐀-鿿Ѐ-ӿ])[^\W\d_])+)?")
+#: The same for text without those scripts, which needs no look ahead at every letter.
+_LATIN_WORD, _OTHER_SCRIPT = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?"), re.compile("[぀-ヿ㐀-鿿々Ѐ-ӿ]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]*_]*[ \t ]+|(?<=[。！？])|\s*[\r\n]+\s*")
 _WHOLE = re.compile(r"[.!?…。！？][\"'»”’)\]*_]*\s*$")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -75,7 +77,8 @@ def sentences(text: str) -> list[str]:
 
 
 def words(sentence: str) -> list[str]:
-    return _WORD.findall(_SPEAKER.sub("", sentence).lower())
+    plain = _SPEAKER.sub("", sentence).lower()
+    return (_WORD if not plain.isascii() and _OTHER_SCRIPT.search(plain) else _LATIN_WORD).findall(plain)
 
 
 class Field:
@@ -250,7 +253,7 @@ def judge(texts: list[str], field: Field) -> list[list[tuple[int, int, int, floa
         for s in sentences(text or ""):
             tokens = words(s)
             if tokens:
-                wide = any(_WIDE.match(w) for w in tokens)
+                wide = not s.isascii() and _WIDE.search(s) is not None and any(_WIDE.match(w) for w in tokens)
                 enough = len(tokens) >= LEAST_WORDS or (wide and sum(len(w) for w in tokens if _WIDE.match(w)) >= LEAST_WIDE)
                 marks.append((len(codes), len(codes) + len(tokens), enough and _WHOLE.search(s) is not None, len(s)))
                 codes += [number(w, len(vocab)) for w in tokens]
