@@ -116,7 +116,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
 
     Copies: ``key, source, tokens, copies`` for every document of a target source; documents of other or
     blank sources are left out. Report, one row a target: ``target_share, max_repeats, documents, tokens,
-    capacity, corpus_tokens, reachable, quota, mixed_tokens, mixed_share``. A source that cannot reach its
+    capacity, corpus_tokens, reachable, quota, mixed_tokens, mixed_share`` (of the mix as it came out) and
+    ``planned_share`` (of a mix as large as the corpus, against which targets are set). A source that cannot reach its
     target is repeated max_repeats times and says so. Texts that are null or empty weigh nothing; repeated
     rows count each; an empty table gives shares of null. Draws come from hashes of the key, so a lost task
     is repeated alike.
@@ -161,4 +162,5 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     report = shares.join(mixed, "source", "left").fillna(0, ["mixed_tokens"])
     all_ = mixed.agg(F.sum("mixed_tokens").alias("_all"))
     report = report.crossJoin(F.broadcast(all_)).withColumn("mixed_share", F.col("mixed_tokens") / F.nullif(F.col("_all"), F.lit(0))).drop("_all")
+    report = report.withColumn("planned_share", F.col("mixed_tokens") / F.nullif(F.col("corpus_tokens"), F.lit(0)))
     return copies.withColumnRenamed("key", key), report

@@ -20,11 +20,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message and turn with typed placeholders."""
+    names = personal.known_names(table(spark, sf_dir, "authors"), "display_name")
+    parts = [personal.redact(table(spark, sf_dir, name), "id", text, names).select(F.lit(name).alias("tbl"), F.col("id").alias("row_id"), "redacted", "mentions") for name, text in (("messages", "body"), ("session_turns", "content"))]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of mails that their sender did not newly write."""
     mails = emails.mails_of(*(table(spark, sf_dir, t) for t in ("messages", "conversations", "authors")))
     return emails.classify(mails).where("kind <> 'new'").select(F.col("id").alias("message_id"), "line_no")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mail reduced to the lines its sender newly wrote."""
+    mails = emails.mails_of(*(table(spark, sf_dir, t) for t in ("messages", "conversations", "authors")))
+    return emails.new_text(mails, emails.classify(mails)).withColumnRenamed("id", "message_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_new_text)}
 ORACLES = {}

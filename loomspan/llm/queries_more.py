@@ -20,7 +20,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.where(~F.col("reachable") & (F.col("mixed_tokens") >= 0)).select("source")
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found}
+def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that are whole, turn by turn."""
+    return conversations.ordered(table(spark, sf_dir, "session_turns"), table(spark, sf_dir, "sessions"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    _, report = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return report.select("source", "target_share", "max_repeats", "documents", "tokens", "capacity", "reachable", F.round("quota", 6).alias("quota"), "mixed_tokens", F.round("mixed_share", 6).alias("mixed_share"), F.round("planned_share", 6).alias("planned_share"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_report)}
 ORACLES = {
     "p6_found": r"""
     WITH t AS (

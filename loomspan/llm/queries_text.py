@@ -25,6 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.when(F.max(F.col("cut_at") == "forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of oversized documents, in order."""
+    return pieces(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of an evaluation item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -37,12 +42,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.wrong_labels(languages.identify(docs))
 
 
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language and confidence, and those of its segments, in order."""
+    found = languages.identify(table(spark, sf_dir, "documents"))
+    rows = found.select("doc_id", "label", F.col("main").alias("document_language"), F.round("confidence", 4).alias("document_confidence"), F.posexplode_outer("segments").alias("segment", "s"))
+    return rows.select("doc_id", "label", "document_language", "document_confidence", "segment", "s.language", "s.sentences", "s.letters", F.round("s.confidence", 4).alias("confidence"))
+
+
 _CLASS = r"\t\n\x0B\f\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}。！？、"
 #: SQL has no compatibility decomposition; this covers the forms that stand in the tables.
 _WIDE = "".join(chr(c) for a, b in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(a, b))
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _COMPAT = f"replace(replace(translate(text, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p9_found, p9_segments)}
 ORACLES = {
     "p1_found": f"""
     WITH d AS (SELECT doc_id, content, CASE WHEN corpus_class = 'code' THEN 1200 ELSE 1000 END AS most FROM documents)
