@@ -22,7 +22,7 @@ from loomspan.session import cut, shuffle_width
 TOP_ROWS = 1_000_000
 #: Resolved ports that may be broadcast (about 40 bytes a row); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-_LINKED = "node long, top long, off long, ext long, circle long, lo long"
+_LINKED = "node long, top long, off long, ext long, circle long, lo long, step long"
 
 
 def _link(node, parent, has, weight, lo, top, base, circle):
@@ -54,7 +54,8 @@ def _link(node, parent, has, weight, lo, top, base, circle):
     ends = np.where(round_, low[jump], circle[jump])
     ext = np.where(has[jump] & ~round_, parent[jump], 0)
     has_ext = has[jump] & ~round_
-    return node, top[jump], off + base[jump], ext, has_ext, ends, low_end
+    step = weight[jump] - base[jump]  # from the top of the own range to its parent in another
+    return node, top[jump], off + base[jump], ext, has_ext, ends, low_end, step
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -68,10 +69,10 @@ def _link_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     get = lambda c: t.column(c).fill_null(-1).to_numpy()
     has = t.column("parent").is_valid().to_numpy()
-    node, top, off, ext, has_ext, circle, lo = _link(get("node"), get("parent"), has, get("weight"), get("lo"), get("top"), get("base"), np.where(t.column("circle").is_valid().to_numpy(), get("circle"), np.int64(-1)))
+    node, top, off, ext, has_ext, circle, lo, step = _link(get("node"), get("parent"), has, get("weight"), get("lo"), get("top"), get("base"), np.where(t.column("circle").is_valid().to_numpy(), get("circle"), np.int64(-1)))
     in_circle = circle >= 0
-    arrays = [pa.array(node), pa.array(top), pa.array(off), pa.array(ext, mask=~has_ext), pa.array(circle, mask=~in_circle), pa.array(lo)]
-    yield from pa.Table.from_arrays(arrays, ["node", "top", "off", "ext", "circle", "lo"]).to_batches(max_chunksize=100_000)
+    arrays = [pa.array(node), pa.array(top), pa.array(off), pa.array(ext, mask=~has_ext), pa.array(circle, mask=~in_circle), pa.array(lo), pa.array(step)]
+    yield from pa.Table.from_arrays(arrays, ["node", "top", "off", "ext", "circle", "lo", "step"]).to_batches(max_chunksize=100_000)
 
 
 def _double(edges: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _merge(edges: DataFrame, parts: int, rows: int | None, top_rows: int, fan_in
         return done(linked), rows
     linked = cut(linked)
     ports = linked.where(F.col("ext").isNotNull()).select(F.col("ext").alias("node")).distinct()
-    inner = linked.join(ports, "node", "left_semi").select("node", F.col("ext").alias("parent"), (F.col("off") + 1).alias("weight"), "lo", "top", F.col("off").alias("base"), "circle")
+    inner = linked.join(ports, "node", "left_semi").select("node", F.col("ext").alias("parent"), (F.col("off") + F.col("step")).alias("weight"), "lo", "top", F.col("off").alias("base"), "circle")
     inner = cut(inner)
     left = inner.count()
     if left > top_rows and rows is not None and left > 0.8 * rows:
@@ -128,7 +129,7 @@ def _merge(edges: DataFrame, parts: int, rows: int | None, top_rows: int, fan_in
     return full.select(
         "node",
         F.coalesce("_root", "top").alias("root"),
-        F.when(F.col("_root").isNotNull(), F.col("off") + 1 + F.col("_depth")).otherwise(F.col("off")).alias("depth"),
+        F.when(F.col("_root").isNotNull(), F.col("off") + F.col("step") + F.col("_depth")).otherwise(F.col("off")).alias("depth"),
         F.coalesce("circle", "_circle").alias("circle"),
     ), rows
 
@@ -176,6 +177,90 @@ def descendant_counts(walked: DataFrame) -> DataFrame:
     return walked.join(descendants(walked).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants")), "node", "left").fillna(0, ["n_descendants"])
 
 
+def _local_sums(node: np.ndarray, parent: np.ndarray, has: np.ndarray, weight: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of weights over the subtrees inside each range: order, top, its parent outside (or none), sum.
+
+    Rows must form a forest without repeats. Levels are added from the deepest up.
+    """
+    order = np.argsort(node, kind="stable")
+    node, parent, has, weight, part = (a[order] for a in (node, parent, has, weight, part))
+    n = len(node)
+    at = np.minimum(np.searchsorted(node, parent), max(n - 1, 0))
+    inside = has & (node[at] == parent) & (part[at] == part) if n else has
+    jump, off = np.where(inside, at, np.arange(n)), inside.astype(np.int64)
+    while n and inside[jump].any():
+        off = off + off[jump]
+        jump = jump[jump]
+    total = weight.copy()
+    deepest_first = np.argsort(-off, kind="stable")
+    starts = np.flatnonzero(np.diff(off[deepest_first], prepend=-1)) if n else np.zeros(0, int)
+    for a, b in zip(starts, [*starts[1:], n]):
+        rows = deepest_first[a:b]
+        if off[rows[0]] == 0:
+            break
+        np.add.at(total, at[rows], total[rows])
+    return order, node[jump], parent[jump], (has & ~inside)[jump], total
+
+
+def _sum_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = _batches(it)
+    if t is None or not t.num_rows:
+        return
+    get = lambda c: t.column(c).fill_null(-1).to_numpy()
+    order, top, ext, has_ext, total = _local_sums(get("node"), get("parent"), t.column("parent").is_valid().to_numpy(), get("weight"), get("part"))
+    rows = t.take(pa.array(order))
+    arrays = [rows.column("node"), rows.column("parent"), rows.column("weight"), rows.column("part"), pa.array(top), pa.array(ext, mask=~has_ext), pa.array(total)]
+    yield from pa.Table.from_arrays(arrays, ["node", "parent", "weight", "part", "top", "ext", "total"]).to_batches(max_chunksize=100_000)
+
+
+def _subtree_sums(edges: DataFrame, parts: int, rows: int | None, top_rows: int, fan_in: int) -> DataFrame:
+    """``node, total`` of a forest: node, parent, weight; no circles, no repeats, every parent a node.
+
+    Ranges add up their own subtrees; the tops of ranges, hanging from nodes of other ranges, form a smaller
+    forest whose sums are found the same way and then added below the nodes they hang from.
+    """
+    last = parts == 1 or (rows is not None and rows <= top_rows)
+    run = lambda x: x.mapInArrow(_sum_partition, "node long, parent long, weight long, part int, top long, ext long, total long")
+    if last:
+        return run(edges.repartition(1).withColumn("part", F.lit(0))).select("node", "total")
+    first = cut(run(edges.repartitionByRange(parts, "node").withColumn("part", F.spark_partition_id())))
+    hanging = first.where((F.col("node") == F.col("top")) & F.col("ext").isNotNull()).select("node", "ext", "total")
+    above = first.select(F.col("node").alias("ext"), F.col("top").alias("parent"))
+    tops = first.where((F.col("node") == F.col("top")) & F.col("ext").isNull()).select("node", F.lit(None).cast("long").alias("parent"), F.col("total").alias("weight"))
+    smaller = hanging.join(above, "ext").select("node", "parent", F.col("total").alias("weight"))
+    used = smaller.select(F.col("parent").alias("node")).distinct()
+    inner = cut(smaller.unionByName(tops.join(used, "node", "left_semi")))
+    count = inner.count()
+    if not count:
+        return first.select("node", "total")
+    whole = _subtree_sums(inner, max(1, parts // fan_in), count, top_rows, fan_in)
+    added = hanging.select("node", "ext").join(whole, "node").groupBy(F.col("ext").alias("node")).agg(F.sum("total").alias("_add"))
+    again = first.join(added, "node", "left").select("node", "parent", (F.col("weight") + F.coalesce("_add", F.lit(0))).alias("weight"), "part")
+    return run(again.repartition(parts, "part")).select("node", "total")  # the same ranges again
+
+
+def intervals(df: DataFrame, node: str, parent: str, *, parts: int | None = None, top_rows: int = TOP_ROWS, fan_in: int = 8) -> DataFrame:
+    """``resolve`` with ``enter`` and ``leave``: the descendants of a row are the rows of its root whose enter lies between.
+
+    A walk of each tree, children by id, visits a row at ``enter`` and has done its subtree by ``leave``
+    (so leave - enter - 1 is the number of descendants). It says all ancestors and descendants of every row
+    in two numbers, where paths grow with the depth. Both are null for rows in or under a circle.
+    """
+    width = parts or shuffle_width(df.sparkSession)
+    trees = cut(resolve(df, node, parent, parts=parts, top_rows=top_rows, fan_in=fan_in))
+    links = df.select(F.col(node).cast("long").alias("node"), F.col(parent).cast("long").alias("up")).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("up").alias("up"))
+    forest = cut(trees.where(F.col("depth") >= 0).join(links, "node").select("node", F.when(F.col("depth") > 0, F.col("up")).alias("parent")))
+    sizes = cut(_subtree_sums(forest.select("node", "parent", F.lit(1).cast("long").alias("weight")), width, None, top_rows, fan_in))
+    children = forest.where(F.col("parent").isNotNull()).join(sizes, "node")
+    from loomspan.operators.prefix import running_sum
+
+    before = running_sum(children, "parent", ["node"], F.col("total"), "before").select("node", (F.col("before") + 1).alias("weight"))
+    edges = forest.join(before, "node", "left").select("node", "parent", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.col("node").alias("lo"), F.col("node").alias("top"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("circle"))
+    walked, _ = _merge(edges, width, None, top_rows, fan_in)
+    seen = walked.select("node", F.col("depth").alias("enter")).join(sizes, "node").select("node", "enter", (F.col("enter") + F.col("total")).alias("leave"))
+    return trees.join(seen, "node", "left").select("node", "root", "depth", "circle", "enter", "leave")
+
+
 def on_the_way_up(links: DataFrame, seeds: DataFrame, deepest: int) -> DataFrame:
     """``node`` of the seeds and all their ancestors. ``links``: node, parent of trees without circles.
 

@@ -73,3 +73,34 @@ def test_paths_and_descendants(spark):
 def test_empty(spark):
     assert hierarchy.resolve(spark.createDataFrame([], SCHEMA), "id", "up").count() == 0
     assert hierarchy.paths(spark.createDataFrame([], SCHEMA), "id", "up").count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 0, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
+def test_intervals_name_all_descendants(spark, options):
+    links = random_links(250, 11)
+    ids = list(range(1000, 1200))
+    random.Random(4).shuffle(ids)
+    links += list(zip(ids[1:], ids)) + [(ids[0], None)] + [(2000 + i, 2000) for i in range(1, 60)] + [(2000, None)]
+    df = spark.createDataFrame([(*x, "") for x in links], SCHEMA)
+    rows = {r.node: r for r in hierarchy.intervals(df, "id", "up", **options).collect()}
+    expected = walk(links)
+    up = {}
+    for node, parent in links:
+        if node is not None:
+            old = up.get(node)
+            up[node] = parent if old is None else old if parent is None else min(old, parent)
+    below = {n: set() for n in expected}
+    for n, (_, depth) in expected.items():
+        at = n
+        for _ in range(depth):
+            at = up[at]
+            below[at].add(n)
+    assert set(rows) == set(expected)
+    for n, (root, depth) in expected.items():
+        r = rows[n]
+        assert (r.root, r.depth) == (root, depth)
+        if depth < 0:
+            assert r.enter is None and r.leave is None
+        else:
+            assert below[n] == {m for m, x in rows.items() if x.root == root and x.enter is not None and r.enter < x.enter < r.leave}
+            assert r.leave - r.enter - 1 == len(below[n])
