@@ -251,3 +251,66 @@ def place(new: DataFrame, centres: DataFrame, threshold: float = 0.9, candidates
     signed = found.join(new.select(F.col("node").alias("query"), F.col("sig").alias("_a")), "query").join(centres.select(F.col("node").alias("neighbour"), F.col("sig").alias("_b")), "neighbour")
     best = signed.where(F.col("_a").eqNullSafe(F.col("_b")) & (F.col("similarity") >= threshold)).groupBy("query").agg(F.min_by("neighbour", "rank").alias("grp"))
     return new.select("node").join(best.withColumnRenamed("query", "node"), "node", "left")
+
+
+def join_anchors(facts: DataFrame, anchors: DataFrame, threshold: float = 0.9, candidates: int = 5) -> DataFrame:
+    """``node, grp, similarity``: facts that belong to a fixed anchor of their class; of the nearest ``candidates`` the first with the same signature that reaches the threshold. Columns as ``place``."""
+    found = nearest(anchors, facts, "node", "cls", "v", candidates)
+    signed = found.join(facts.select(F.col("node").alias("query"), F.col("sig").alias("_a")), "query").join(anchors.select(F.col("node").alias("neighbour"), F.col("sig").alias("_b")), "neighbour")
+    good = signed.where(F.col("_a").eqNullSafe(F.col("_b")) & (F.col("similarity") >= threshold))
+    return good.groupBy(F.col("query").alias("node")).agg(F.min_by("neighbour", "rank").alias("grp"), F.min_by("similarity", "rank").alias("similarity"))
+
+
+def finish(facts: DataFrame, groups: DataFrame, restated: DataFrame) -> DataFrame:
+    """``node, claim, via``: the claim of every fact once groups are known.
+
+    ``groups``: node, grp; ``restated``: node, stands_for. A restatement takes the claim of the fact it
+    stands for, a grouped fact its group, any other is a claim of its own.
+    """
+    own = facts.select("node").join(groups.select("node", "grp"), "node", "left").join(restated.select("node", "stands_for"), "node", "left")
+    of = groups.select(F.col("node").alias("stands_for"), F.col("grp").alias("_claim"))
+    linked = own.join(of, "stands_for", "left")
+    via = F.when(F.col("stands_for").isNotNull(), "restatement").when(F.col("grp").isNotNull(), "group").otherwise("single")
+    return linked.select("node", F.coalesce(F.when(F.col("stands_for").isNotNull(), F.coalesce("_claim", "stands_for")), "grp", "node").alias("claim"), via.alias("via"))
+
+
+def totals(finished: DataFrame) -> DataFrame:
+    """One row: ``facts, claims, clusters`` (claims with more than one fact), ``clustered`` facts and ``singles``."""
+    per = finished.groupBy("claim").agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("facts"), F.count("*").alias("claims"), F.count_if(F.col("n") > 1).alias("clusters"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("clustered"), F.count_if(F.col("n") == 1).alias("singles"))
+
+
+def confirmation(answer: str) -> tuple[bool, str] | None:
+    """What a model said about a loose group: (yes, sentence) or (no, ""), null if it said neither first."""
+    words = answer.strip().split(None, 1)
+    head = words[0].strip(".,:;!*-").upper() if words else ""
+    if head == "NO":
+        return False, ""
+    if head != "YES":
+        return None
+    lines = [x.strip() for x in (words[1] if len(words) > 1 else "").splitlines() if x.strip()]
+    return True, lines[0] if lines else ""
+
+
+def confirm(groups: DataFrame, texts: DataFrame, ask, loose: DataFrame) -> DataFrame:
+    """Groups after a model has seen the loose ones: rejected groups fall apart, a failed call keeps its group.
+
+    ``ask`` takes the texts of a group and gives an answer; it runs where the data is, one call a loose
+    group. ``groups``: node, grp; ``texts``: node, text; ``loose``: grp.
+    """
+    asked = groups.join(loose.select("grp").distinct(), "grp", "left_semi").join(texts.select("node", "text"), "node")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("node")
+        try:
+            said = confirmation(ask(t["text"].tolist()))
+        except Exception:
+            return t[["node", "grp"]]
+        return t[["node", "grp"]] if said and said[0] else t.assign(grp=t["node"])[["node", "grp"]]
+
+    return groups.join(loose.select("grp").distinct(), "grp", "left_anti").select("node", "grp").unionByName(asked.groupBy("grp").applyInPandas(run, "node long, grp long"))
+
+
+def must_regroup(stored: dict | None, wanted: dict) -> bool:
+    """Whether groups must be built anew: never built, or by other parameters."""
+    return stored is None or {k: stored.get(k) for k in wanted} != wanted

@@ -76,6 +76,27 @@ def cluster_incremental(spark, sf_dir):
     return cluster.place(new, centres, ALIKE, 5)
 
 
+def join_anchors(spark, sf_dir):
+    """Facts at the class centroid that is their anchor, among all classes."""
+    f = _facts(spark, sf_dir)
+    fixed = vectors.mean_vectors(f, "label", "embedding").select(F.col("label").cast("long").alias("node"), F.lit("all").alias("cls"), F.lit("one").alias("sig"), F.col("mean").alias("v"))
+    facts = f.select(F.col("vec_id").alias("node"), F.lit("all").alias("cls"), F.lit("one").alias("sig"), F.col("embedding").alias("v"))
+    return cluster.join_anchors(facts, fixed, ALIKE).select("node", "grp", F.round("similarity", 6).alias("similarity"))
+
+
+def finish_links(spark, sf_dir):
+    """Documents as facts: copies stand for the first of their text, texts with one claim form a group."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("body"), F.sha2(text.normalize_fact(F.col("text")), 256).alias("claim"))
+    copies = d.groupBy("body").agg(F.min("node").alias("stands_for"))
+    restated = d.join(copies, "body").where("node <> stands_for").select("node", "stands_for")
+    claims = d.groupBy("claim").agg(F.min("node").alias("grp"), F.countDistinct("body").alias("bodies"))
+    return cluster.finish(d, d.join(claims, "claim").where("bodies > 1").select("node", "grp"), restated)
+
+
+def cluster_totals(spark, sf_dir):
+    return cluster.totals(finish_links(spark, sf_dir))
+
+
 def representatives(spark, sf_dir):
     """Documents with the same claim: the longest text stands for them."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.sha2(text.normalize_fact(F.col("text")), 256).alias("claim"))
@@ -132,7 +153,7 @@ def graph_neighborhood(spark, sf_dir):
     return graph.neighbourhood(v, e, seeds, 2, ["Author", "Conversation", "Source"])
 
 
-QUERIES = {f.__name__: f for f in (distilled_centroids, truncate_mrl, binary_signs, knn_per_row, pairs_above_threshold, group_variability, restatement_components, guarded_clusters, cluster_full, cluster_incremental, representatives, members_sha256, anchors, graph_vertices, graph_edges, graph_label_counts, graph_find, graph_neighborhood)}
+QUERIES = {f.__name__: f for f in (distilled_centroids, truncate_mrl, binary_signs, knn_per_row, pairs_above_threshold, group_variability, restatement_components, guarded_clusters, cluster_full, cluster_incremental, join_anchors, finish_links, cluster_totals, representatives, members_sha256, anchors, graph_vertices, graph_edges, graph_label_counts, graph_find, graph_neighborhood)}
 
 _MEAN = """m AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY ALL), nm AS (SELECT label, max(n) AS n, list(x ORDER BY pos) AS v, sqrt(sum(x * x)) AS size FROM m GROUP BY 1)"""
 _PAIRS = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE s >= {ALIKE})"
@@ -140,6 +161,9 @@ _FOLD = "translate(lower(text), 'ſςµ', 'sσμ')"
 for _a, _b in (("ß", "ss"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st")):
     _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
 _CLAIM = rf"sha256(trim(regexp_replace(trim(regexp_replace({_FOLD}, '[\s\x0B]+', ' ', 'g')), '[.!?;:,]+$', '')))"
+_FINISH = f"""WITH d AS (SELECT doc_id AS node, text AS body, {_CLAIM} AS claim FROM documents WHERE text IS NOT NULL), g AS (SELECT claim, min(node) AS grp FROM d GROUP BY 1 HAVING count(DISTINCT body) > 1),
+    r AS (SELECT node, min(node) OVER (PARTITION BY body) AS f, grp FROM d LEFT JOIN g USING (claim))
+    SELECT node, CASE WHEN f < node THEN coalesce(grp, f) ELSE coalesce(grp, node) END AS claim, CASE WHEN f < node THEN 'restatement' WHEN grp IS NOT NULL THEN 'group' ELSE 'single' END AS via FROM r"""
 _VERTEX = lambda label, tbl, key, title: f"SELECT '{label}:' || {key} AS gid, '{label}' AS label, {key}::VARCHAR AS key, coalesce(nullif(trim({title}), ''), '{label} ' || {key}) AS title FROM {tbl}"
 _GRAPH = "v AS (" + " UNION ALL ".join(_VERTEX(*x) for x in (("Source", "sources", "id", "slug"), ("Author", "authors", "id", "display_name"), ("Document", "documents", "doc_id", "title"), ("Conversation", "conversations", "id", "external_id"), ("Session", "sessions", "id", "title"))) + """),
     e0 AS (SELECT 'FROM_SOURCE' AS label, 'Document:' || doc_id AS src, 'Source:' || source_id AS dst FROM documents UNION SELECT 'FROM_SOURCE', 'Conversation:' || id, 'Source:' || source_id FROM conversations UNION SELECT 'FROM_SOURCE', 'Session:' || id, 'Source:' || source_id FROM sessions
@@ -155,6 +179,9 @@ ORACLES = {
     "group_variability": f"WITH {_MEAN} SELECT label, n, round(avg(d), 6) AS spread, round(max(d), 6) AS radius, round(1 - sqrt((1 + (n - 1) * 0.97) / n), 6) AS tight FROM (SELECT label, n, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS d FROM embeddings JOIN nm USING (label)) GROUP BY label, n",
     "restatement_components": f"WITH {_PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (WITH RECURSIVE r AS (SELECT DISTINCT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other) SELECT * FROM r) SELECT node, min(other) AS component FROM r GROUP BY 1",
     "cluster_incremental": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, CASE WHEN s >= {ALIKE} THEN grp END AS grp FROM c",
+    "join_anchors": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, grp, round(s, 6) AS similarity FROM c WHERE s >= {ALIKE}",
+    "finish_links": _FINISH,
+    "cluster_totals": f"SELECT coalesce(sum(n), 0)::BIGINT AS facts, count(*) AS claims, count(*) FILTER (n > 1) AS clusters, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS clustered, count(*) FILTER (n = 1) AS singles FROM (SELECT claim, count(*) AS n FROM ({_FINISH}) GROUP BY 1)",
     "representatives": f"SELECT {_CLAIM} AS claim, arg_max(doc_id, (length(text), -doc_id)) AS representative, count(*) AS members FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "members_sha256": f"SELECT {_CLAIM} AS claim, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS members_sha256 FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "anchors": f"SELECT {_SUBJECT} AS subject, arg_min(id, (sent_at, id)) AS anchor, count(*) AS members FROM messages WHERE json_extract_string(meta, '$.subject') IS NOT NULL GROUP BY 1",

@@ -92,3 +92,28 @@ def test_vectors(spark):
     assert vectors.plan_storage(1024, False)[1:] == ("vector", "whole") and vectors.plan_storage(4096, True)[0] == 4000 and vectors.plan_storage(4096, False)[2] == "binary"
     with pytest.raises(ValueError):
         vectors.distance("other", F.col("a"), F.col("b"))
+
+
+def test_confirmation(spark):
+    assert cluster.confirmation("YES\nAcme was founded in 1998.") == (True, "Acme was founded in 1998.")
+    assert cluster.confirmation("No, they differ") == (False, "") and cluster.confirmation("maybe") is None and cluster.confirmation("") is None
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, grp long")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["", "a", "b", "no", "d", "fail", "f"])], "node long, text string")
+
+    def ask(found):
+        if "fail" in found:
+            raise RuntimeError("model down")
+        return "NO" if "no" in found else "YES fine"
+
+    got = {r.node: r.grp for r in cluster.confirm(groups, texts, ask, groups.select("grp")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert cluster.must_regroup(None, {"t": 1}) and not cluster.must_regroup({"t": 1, "x": 2}, {"t": 1}) and cluster.must_regroup({"t": 2}, {"t": 1})
+
+
+def test_finish(spark):
+    facts = spark.createDataFrame([(i,) for i in range(1, 7)], "node long")
+    groups = spark.createDataFrame([(1, 1), (3, 1)], "node long, grp long")
+    restated = spark.createDataFrame([(2, 1), (5, 4)], "node long, stands_for long")
+    done = cluster.finish(facts, groups, restated)
+    assert {r.node: (r.claim, r.via) for r in done.collect()} == {1: (1, "group"), 2: (1, "restatement"), 3: (1, "group"), 4: (4, "single"), 5: (4, "restatement"), 6: (6, "single")}
+    assert tuple(cluster.totals(done).first()) == (6, 3, 2, 5, 1)
