@@ -25,19 +25,19 @@ BROADCAST_ROWS = 200_000
 _LINKED = "node long, top long, off long, ext long, circle long, lo long, step long"
 
 
-def _link(node, parent, has, weight, lo, top, base, circle):
+def _link(node, parent, has, weight, lo, top, base, circle, looped):
     """Links the rows of one partition by pointer doubling over offsets; returns the columns of ``_LINKED``.
 
-    ``has`` marks rows with a parent, ``circle`` is -1 or the circle a row is known to end in. Of repeated
+    ``has`` marks rows with a parent, ``looped`` those known to end in the circle ``circle``. Of repeated
     nodes the smallest parent counts, a missing one last.
     """
     order = np.lexsort((np.where(has, parent, np.iinfo(np.int64).max), node))
-    node, parent, has, weight, lo, top, base, circle = (a[order] for a in (node, parent, has, weight, lo, top, base, circle))
+    node, parent, has, weight, lo, top, base, circle, looped = (a[order] for a in (node, parent, has, weight, lo, top, base, circle, looped))
     first = np.ones(len(node), bool)
     first[1:] = node[1:] != node[:-1]
-    node, parent, has, weight, lo, top, base, circle = (a[first] for a in (node, parent, has, weight, lo, top, base, circle))
+    node, parent, has, weight, lo, top, base, circle, looped = (a[first] for a in (node, parent, has, weight, lo, top, base, circle, looped))
     n = len(node)
-    has = has & (circle < 0)
+    has = has & ~looped
     at = np.minimum(np.searchsorted(node, parent), max(n - 1, 0))
     inside = has & (node[at] == parent) if n else has
     jump = np.where(inside, at, np.arange(n))
@@ -55,7 +55,7 @@ def _link(node, parent, has, weight, lo, top, base, circle):
     ext = np.where(has[jump] & ~round_, parent[jump], 0)
     has_ext = has[jump] & ~round_
     step = weight[jump] - base[jump]  # from the top of the own range to its parent in another
-    return node, top[jump], off + base[jump], ext, has_ext, ends, low_end, step
+    return node, top[jump], off + base[jump], ext, has_ext, ends, round_ | looped[jump], low_end, step
 
 
 def _batches(it: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -67,10 +67,10 @@ def _link_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = _batches(it)
     if t is None or not t.num_rows:
         return
-    get = lambda c: t.column(c).fill_null(-1).to_numpy()
+    get = lambda c: t.column(c).fill_null(0).to_numpy()
     has = t.column("parent").is_valid().to_numpy()
-    node, top, off, ext, has_ext, circle, lo, step = _link(get("node"), get("parent"), has, get("weight"), get("lo"), get("top"), get("base"), np.where(t.column("circle").is_valid().to_numpy(), get("circle"), np.int64(-1)))
-    in_circle = circle >= 0
+    looped = t.column("circle").is_valid().to_numpy()
+    node, top, off, ext, has_ext, circle, in_circle, lo, step = _link(get("node"), get("parent"), has, get("weight"), get("lo"), get("top"), get("base"), get("circle"), looped)
     arrays = [pa.array(node), pa.array(top), pa.array(off), pa.array(ext, mask=~has_ext), pa.array(circle, mask=~in_circle), pa.array(lo), pa.array(step)]
     yield from pa.Table.from_arrays(arrays, ["node", "top", "off", "ext", "circle", "lo", "step"]).to_batches(max_chunksize=100_000)
 
@@ -140,7 +140,7 @@ def resolve(df: DataFrame, node: str | Column, parent: str | Column, *, parts: i
     A parent id that no row has counts as no parent. Where the parents run into a circle, ``depth`` is -1 and
     both ``root`` and ``circle`` are the smallest id on it; else ``circle`` is null. Rows whose node is null
     are left out, repeated nodes come out once with the smallest parent named for them. Other columns of the
-    input are ignored, so their names cannot clash. An empty table gives no rows. Ids must be 0 or more.
+    input are ignored, so their names cannot clash. An empty table gives no rows.
     """
     node, parent = (F.col(c) if isinstance(c, str) else c for c in (node, parent))
     edges = df.select(node.cast("long").alias("node"), parent.cast("long").alias("parent")).where(F.col("node").isNotNull())

@@ -31,7 +31,7 @@ def walk(links):
 def random_links(n, seed):
     rnd = random.Random(seed)
     links = [(i, rnd.choice([None, rnd.randrange(n), max(0, i - 1), i - 1 if i else None, n + 5])) for i in range(n)]
-    return links + [(3, 1), (None, 4), (n + 9, n + 9), (7, None)]
+    return links + [(3, 1), (None, 4), (n + 9, n + 9), (7, None), (-5, -6), (-6, -5), (-7, -5), (-8, 0), (-9, -8)]
 
 
 @pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 0, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
