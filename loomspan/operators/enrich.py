@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from loomspan.functions import text
 from loomspan.operators.cluster import components
 
+#: What a document can be.
+CLASSES = ("document", "code", "communication")
+
 
 def mail_facts(messages: DataFrame, people: DataFrame) -> DataFrame:
     """Facts that mail headers state: ``document_id, fact_class, key, fact``, one a subject and one a sender.
@@ -30,8 +33,9 @@ def stale(documents: DataFrame, prompts: DataFrame, runs: DataFrame) -> DataFram
     ``documents``: document_id, corpus_class, content_sha; ``prompts``: prompt, corpus_class (null for all),
     prompt_sha, model; ``runs``: document_id, prompt, prompt_sha, content_sha, model.
     """
-    scope = prompts.withColumnRenamed("corpus_class", "_class")
-    due = documents.join(F.broadcast(scope), F.col("_class").isNull() | (F.col("_class") == F.col("corpus_class")))
+    every = F.array(*map(F.lit, CLASSES))
+    scope = prompts.select("prompt", "prompt_sha", "model", F.explode(F.when(F.col("corpus_class").isNull(), every).otherwise(F.array("corpus_class"))).alias("corpus_class"))
+    due = documents.join(scope, "corpus_class")
     return due.join(runs, ["document_id", "prompt", "prompt_sha", "content_sha", "model"], "left_anti").select("document_id", "prompt")
 
 
