@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,10 @@ _LEGAL = [re.compile(p, re.I) for p in (
 )]
 #: A text without any of these holds none of the patterns above.
 _LEGAL_HINTS = ("confid", "vertraul", "vertrouwelijk", "конфиденц", "privileged", "intended", "meant only", "addressee", "empfänger", "personne nomm", "destinat", "geadresseerde", "mail", "message", "nachricht", "courriel", "mensaje", "mensagem", "bericht", "delete it", "löschen", "supprimer", "elim", "verwijder", "irrtüm", "error", "erreur", "liab", "haft", "responsab", "aansprakelijk", "prohib", "interdit", "verboten", "untersagt", "contract", "vertrag", "contrat", "virus", "monitored", "archived", "registered", "sitz der", "siège social", "handelsregister", "registro", "consider the", "print", "umwelt", "imprimer", "views ", "disclaimer", "notice:")
+_HINTS = ahocorasick.Automaton()
+for _hint in _LEGAL_HINTS:
+    _HINTS.add_word(_hint, True)
+_HINTS.make_automaton()
 _GREET = re.compile(r"(?i)^\s*(?:hi|hello|hey|dear|good (?:morning|day|evening|afternoon)|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|bonjour|bonsoir|salut|cher|chère|chers|hola|buenos días|buenas|estimad[oa]s?|querid[oa]s?|olá|oi|bom dia|prezad[oa]s?|beste|geachte|dag|здравствуйте|привет|уважаем\w+|добрый день|こんにちは)\b")
 _POST = re.compile(r"(?i)^\s*(?:p\.?\s?s\.?|n\.?b\.?|ps|pd|p\.?d\.?)(?:\s*[-–—:.]|\s)")
 _CONTACT = re.compile(r"(?i)[\w.+-]+@[\w-]+\.|https?://|www\.|(?:\+|\b(?:tel|t|fon|phone|mobil|mobile|fax|cell)\b\.?:?\s|\b0)\(?\d[\d ()./ -]{5,}|^\W*\+?\(?\d[\d ()./ -]{6,}(?:\s?(?:x|ext\.?|durchwahl)\s?\d+)?\W*$|\b\d{1,4}[a-z]?,? [A-Z][\w'’]+(?: [A-Z][\w'’]+)* (?i:street|drive|lane|avenue|row|court|road)|(?:straße|str\.|gasse|allee|weg) \d+|\b(?:rue|boulevard|impasse|quai|avenue) |p\.o\. box")
@@ -61,7 +66,7 @@ _SENTENCE = re.compile(r"[.!?。…:]['\")»”]*\s*$")
 def legal_words(text: str) -> int:
     """How many kinds of disclaimer wording a text holds."""
     low = text.lower()
-    return sum(bool(p.search(text)) for p in _LEGAL) if any(h in low for h in _LEGAL_HINTS) else 0
+    return sum(bool(p.search(text)) for p in _LEGAL) if next(_HINTS.iter(low), None) else 0
 
 
 def has_contact(line: str) -> bool:
@@ -116,9 +121,11 @@ def quoted(lines: list[str], old: list[bool]) -> list[bool]:
                 out[k] = True
             break
         tail = lines[i].rstrip()
-        if follower is not None and tail[-1:] != ":" and not (tail[-1:] in _LAST and _ENDS_SAID.search(tail[-24:])):
+        if tail[-1:] != ":" and not (tail[-1:] in _LAST and _ENDS_SAID.search(tail[-24:])):
+            if follower is None and (_INTRO_START.search(lines[i]) and "," in lines[i] and not _SENTENCE.search(lines[i]) or re.match(r"^_{30,}\s*$", lines[i])):
+                out[i] = True  # cut off after the beginning of an introduction
             continue
-        if (_INTRO.search(lines[i]) or (_INTRO_END.search(lines[i]) and i and _INTRO_START.search(lines[i - 1]))) and len(lines[i]) < 300:
+        if (_INTRO.match(lines[i]) or (_INTRO_END.search(lines[i]) and i and _INTRO_START.search(lines[i - 1]))) and len(lines[i]) < 300:
             if leads or (follower is not None and old[follower] and follower - i <= 2):
                 out[i] = True
                 if not re.search(_DATE, lines[i]) and i and _INTRO_START.search(lines[i - 1]):
@@ -130,8 +137,6 @@ def quoted(lines: list[str], old: list[bool]) -> list[bool]:
                         k = after.get(k)
         elif leads and follower is not None and lines[i].rstrip().endswith(":") and re.search(rf"{_DATE}|@", lines[i]) and len(lines[i]) < 300:
             out[i] = True
-        elif follower is None and (_INTRO_START.search(lines[i]) and "," in lines[i] and not _SENTENCE.search(lines[i]) or re.match(r"^_{30,}\s*$", lines[i])):
-            out[i] = True  # cut off after the beginning of an introduction
     return out
 
 
@@ -181,17 +186,18 @@ def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]
         mean = sum(map(len, part)) / n
         sign, rule, auto = bool(_SIGN_OFF.match(part[0])), bool(_RULE.match(part[0])), any(_AUTO.match(x) for x in part[:2])
         contact = sum(map(has_contact, part)) / n
-        sentences = sum(bool(_SENTENCE.search(x)) or len(x.split()) >= 8 for x in body) / max(1, len(body))
+        sentences = sum(bool(_SENTENCE.search(x[-8:])) or x.count(" ") >= 7 and len(x.split()) >= 8 for x in body) / max(1, len(body))
         legal = legal_words(text)
         words = {w.lower() for w in re.findall(r"[^\W\d_]{2,}", " ".join(part[:3]))} if mean < 60 else set()
         after = next((found[k][2] == run for k in range(b + 1, len(found))), False)
         rest = sum(1 for k in range(b + 1, len(found)) if found[k][2] == run)
         seen = [math.log1p(often[i]) for i in range(start, end)]
-        short = mean < 48 and max(map(len, part)) < 75
+        longest = max(map(len, part))
+        short = mean < 48 and longest < 75
         rows[b] = (
-            n, mean, max(map(len, part)), contact, sum("|" in x or "*" in x for x in part) / n, sign, rule, rule and not body, auto, legal, bool(_GREET.match(part[0])) and not sign,
+            n, mean, longest, contact, sum("|" in x or "*" in x for x in part) / n, sign, rule, rule and not body, auto, legal, bool(_GREET.match(part[0])) and not sign,
             sum(old[start:end]) / n, sum(seen) / n, max(seen), rest, start / (last_solid + 1), sentences, chain, bool(names & words), bool(_POST.match(part[0])), short,
-            sum(c.isdigit() for c in text) / max(1, len(text)), contact_before, out[end] if end < len(lines) else end > last_solid,
+            sum(map(str.isdigit, text)) / max(1, len(text)), contact_before, out[end] if end < len(lines) else end > last_solid,
         )
         chain = 2 if (sign or rule or auto) and short else 1 if chain and short and not after else 0
         if chain == 0 and contact > 0.3 and short:
@@ -256,7 +262,8 @@ def line_statistics(mails: DataFrame) -> DataFrame:
     often = lines.where(~F.col("marked")).groupBy("sender", "h").agg(F.approx_count_distinct("mail").alias("often")).where("often > 1")
     known = lines.join(first, ["thread", "h"]).select("id", "line", "sender", "h", ((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail"))).alias("old"))
     full = known.join(often, ["sender", "h"], "left").select("id", F.struct("line", "old", F.coalesce("often", F.lit(1)).cast("int").alias("often")).alias("l"))
-    return full.groupBy("id").agg(F.collect_list("l").alias("stats"))
+    part = lambda c: F.transform("stats", lambda x: x[c]).alias(c)
+    return full.groupBy("id").agg(F.collect_list("l").alias("stats")).select("id", part("line"), part("old"), part("often"))
 
 
 def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFrame:
@@ -271,18 +278,20 @@ def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFram
     width = shuffle_width(messages.sparkSession)  # set, or the adaptive join would leave parsing to a few tasks
     known = cut(mails.select("id", "sender_name", "body").repartition(width, "id").join(line_statistics(mails.drop("sender_name")), "id"))
 
-    def parse(body: str, stats: list[dict], name: str):
+    def parse(body: str, places: list[int], olds: list[bool], counts: list[int], name: str):
         lines = split_lines(body)
         old, often = [False] * len(lines), [0] * len(lines)
-        for s in stats:
-            old[s["line"]], often[s["line"]] = bool(s["old"]), s["often"]
+        for i, o, n in zip(places, olds, counts):
+            old[i], often[i] = bool(o), n
         out = quoted(lines, old)
         found = blocks(lines, out)
         return lines, out, found, features(lines, out, found, old, often, name or "")
 
+    fields = ("body", "line", "old", "often", "sender_name")
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for b, s, n in zip(batch.column("body").to_pylist(), batch.column("stats").to_pylist(), batch.column("sender_name").to_pylist()) for r in parse(b, s, n)[3].tolist()]
+            rows = [r for x in zip(*(batch.column(c).to_pylist() for c in fields)) for r in parse(*x)[3].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32()))], ["row"])
 
     share = min(1.0, train_mails / max(1, known.count()))
@@ -294,7 +303,7 @@ def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFram
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse(b, s, n) for b, s, n in zip(batch.column("body").to_pylist(), batch.column("stats").to_pylist(), batch.column("sender_name").to_pylist())]
+            parsed = [parse(*x) for x in zip(*(batch.column(c).to_pylist() for c in fields))]
             kinds = shared.value.kinds(np.concatenate([p[3] for p in parsed])).tolist() if parsed else []
             ids, at, what, k = [], [], [], 0
             for key, (lines, out, found, _) in zip(batch.column("id").to_pylist(), parsed):
