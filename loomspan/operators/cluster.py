@@ -175,35 +175,41 @@ def variability(members: DataFrame, group: str, vector: str) -> DataFrame:
     return members.join(centre, group).groupBy(group).agg(F.max("n").alias("n"), F.avg(vectors.distance("cosine", F.col(vector), F.col("mean"))).alias("spread"), F.max(vectors.distance("cosine", F.col(vector), F.col("mean"))).alias("radius"))
 
 
-def grow(vectors_: np.ndarray, signatures: list[str], near: list[list[int]], threshold: float, seed: float = 0.95, rounds: int = 4) -> list[list[int]]:
+def grow(vectors_: np.ndarray, signatures: list[str], dense: list[int], weights: np.ndarray, threshold: float, rounds: int = 4) -> list[list[int]]:
     """Groups grown from dense seeds: a walk over the nearest to the centroid stops at the first refusal.
 
-    Densest seeds first (by neighbours at ``seed``, then place). After each walk members below the threshold
-    leave and the walk starts again, at most ``rounds`` times. Members of a group share their signature.
+    Densest seeds first (then place). A walk goes over all free facts of the seed's signature, nearest first to
+    the centroid it starts from. After each walk members below the threshold leave and the walk starts again, at
+    most ``rounds`` times. A fact counts in the centroid with its weight, the number of its copies.
     """
     n = len(vectors_)
     taken = np.zeros(n, bool)
-    sims = lambda i, js: vectors_[js] @ vectors_[i]
-    dense = [int((sims(i, near[i]) >= max(seed, threshold)).sum()) if len(near[i]) else 0 for i in range(n)]
+    unit = lambda t: t / (np.linalg.norm(t) or 1.0)
+    free: dict[str, np.ndarray] = {}
+    for sig in set(signatures):
+        free[sig] = np.array([i for i in range(n) if signatures[i] == sig], np.int64)
     groups = []
     for s in sorted(range(n), key=lambda i: (-dense[i], i)):
         if taken[s]:
             continue
+        rest = free[signatures[s]]
+        rest = free[signatures[s]] = rest[~taken[rest]]
+        x = vectors_[rest]
         members, centre = [s], vectors_[s]
         for _ in range(rounds):
             start = list(members)
-            pool = sorted({j for i in members for j in near[i]} - set(members), key=lambda j: (-float(vectors_[j] @ centre), j))
-            for j in pool:
-                if taken[j] or signatures[j] != signatures[s]:
-                    continue
-                if float(vectors_[j] @ centre) < threshold:
-                    break
-                members.append(j)
-                centre = vectors_[members].mean(0)
-                centre = centre / (np.linalg.norm(centre) or 1.0)
+            total = (vectors_[members] * weights[members, None]).sum(0)
+            near = x @ centre
+            near[np.searchsorted(rest, members)] = -9
+            if near.max() >= threshold:
+                for j in rest[np.lexsort((rest, -near))[: int((near > -9).sum())]]:
+                    if float(vectors_[j] @ centre) < threshold:
+                        break
+                    members.append(int(j))
+                    total = total + weights[j] * vectors_[j]
+                    centre = unit(total)
             members = [j for j in members if j == s or float(vectors_[j] @ centre) >= threshold]
-            centre = vectors_[members].mean(0)
-            centre = centre / (np.linalg.norm(centre) or 1.0)
+            centre = unit((vectors_[members] * weights[members, None]).sum(0))
             if members == start:
                 break
         taken[members] = True
@@ -211,35 +217,39 @@ def grow(vectors_: np.ndarray, signatures: list[str], near: list[list[int]], thr
     return groups
 
 
-def regroup(df: DataFrame, key: str, group: str, vector: str, signature: str, threshold: float = 0.9, k: int = 10) -> DataFrame:
+def regroup(df: DataFrame, key: str, group: str, vector: str, signature: str, threshold: float = 0.9, seed: float = 0.95) -> DataFrame:
     """``node, grp``: all facts regrouped. Growth runs within components of the neighbour graph at the threshold.
 
     A member must reach the threshold to the centroid of members that reach it, so growth never leaves a
-    component of pairs somewhat below it; components, unlike classes, stay small.
+    component of pairs somewhat below it; components, unlike classes, stay small. Equal vectors of one class and
+    signature are one fact that weighs as many, and come out in one group. Seeds are the facts with most others
+    (copies too) at ``seed``.
     """
     floor = 2 * threshold - 1 if threshold > 0.5 else 0.0
-    pairs = cut(similar_pairs(df, key, group, vector, max(floor, 0.0)))
+    rows = df.select(F.col(key).cast("long").alias("node"), F.col(group).alias("cls"), F.col(vector).cast("array<double>").alias("v"), F.col(signature).cast("string").alias("sig"))
+    size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    usable = F.col("cls").isNotNull() & F.coalesce((size > 0) & (size < float("inf")), F.lit(False))
+    copies = cut(rows.where(usable).groupBy("cls", "sig", F.xxhash64("v").alias("_h"), "v").agg(F.min("node").alias("node"), F.count("*").alias("weight")))
+    pairs = cut(similar_pairs(copies, "node", "cls", "v", max(floor, 0.0)))
     comp = components(pairs)
-    rows = df.select(F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v"), F.col(signature).cast("string").alias("sig"))
-    inside = rows.join(comp, "node")
-    linked = pairs.join(comp.select(F.col("node").alias("a"), "component"), "a").select(F.col("component").alias("_component"), "a", "b", "similarity")
+    close = pairs.where(F.col("similarity") >= max(seed, threshold))
+    both = close.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(close.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    density = both.join(copies.select(F.col("node").alias("other"), "weight"), "other").groupBy("node").agg(F.sum("weight").alias("around"))
+    inside = copies.select("node", "v", "sig", "weight").join(comp, "node").join(density, "node", "left").withColumn("dense", F.coalesce("around", F.lit(0)) + F.col("weight") - 1)
 
-    def run(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("node")
-        ids = left["node"].tolist()
-        place = {v: i for i, v in enumerate(ids)}
-        near: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for a, b, s in zip(right["a"], right["b"], right["similarity"]):
-            near[place[a]].append((-s, place[b]))
-            near[place[b]].append((-s, place[a]))
-        x = np.stack(left["v"].to_list()).astype(float)
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("node")
+        ids = t["node"].tolist()
+        x = np.stack(t["v"].to_list()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        groups = grow(x, left["sig"].tolist(), [[j for _, j in sorted(p)[:k]] for p in near], threshold)
+        groups = grow(x, t["sig"].tolist(), t["dense"].tolist(), t["weight"].to_numpy(float), threshold)
         return pd.DataFrame([(ids[i], ids[g[0]]) for g in groups for i in g], columns=["node", "grp"])
 
-    grown = inside.groupBy("component").cogroup(linked.groupBy("_component")).applyInPandas(run, "node long, grp long")
-    alone = rows.join(comp, "node", "left_anti").select("node", F.col("node").alias("grp"))
-    return grown.unionByName(alone)
+    grown = inside.select("component", "node", "v", "sig", "weight", "dense").groupBy("component").applyInPandas(run, "node long, grp long")
+    stands = copies.select("cls", "sig", "v", F.col("node").alias("first")).join(grown.withColumnRenamed("node", "first"), "first", "left").withColumn("grp", F.coalesce("grp", "first"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("cls", "sig", "v")]
+    placed = rows.where(usable).alias("r").join(stands.alias("s"), same).select("r.node", "s.grp")
+    return placed.unionByName(rows.where(~usable).select("node", F.col("node").alias("grp")))
 
 
 def place(new: DataFrame, centres: DataFrame, threshold: float = 0.9, candidates: int = 5) -> DataFrame:

@@ -32,6 +32,20 @@ def test_restatements_and_groups(spark):
     assert best == {"A": 1, "B": 4, "C": 7}
 
 
+def test_regroup_takes_whole_groups(spark):
+    """100 copies, 60 facts near one point, a lone pair of copies, null and zero vectors: no group is cut at ten."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, "fact", [1.0] + [0.0] * 15, "x") for i in range(100)]
+    rows += [(100 + i, "fact", [0.0, 1.0, *(rnd.normal(size=14) * 0.02).tolist()], "x") for i in range(60)]
+    rows += [(200, "fact", [0.0] * 15 + [1.0], None), (201, "fact", [0.0] * 15 + [1.0], None), (202, "fact", [0.0] * 15 + [1.0], "y")]
+    rows += [(300, "fact", None, "x"), (301, "fact", [0.0] * 16, "x"), (302, "fact", [0.0] * 16, "x"), (303, None, [1.0] + [0.0] * 15, "x")]
+    facts = spark.createDataFrame(rows, "id long, cls string, v array<double>, sig string")
+    groups = {}
+    for r in cluster.regroup(facts, "id", "cls", "v", "sig").collect():
+        groups.setdefault(r.grp, []).append(r.node)
+    assert sorted(map(sorted, groups.values())) == [list(range(100)), list(range(100, 160)), [200, 201], [202], [300], [301], [302], [303]]
+
+
 def test_placing(spark):
     facts = golden(spark)
     centres = spark.createDataFrame([(10, "fact", "1998", [1.0] + [0.0] * 7), (11, "fact", "42", [0.0, 0.0, 1.0] + [0.0] * 5)], "node long, cls string, sig string, v array<double>")
