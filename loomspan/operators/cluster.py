@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -80,38 +81,49 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def average_linkage(n: int, sims: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    """Groups of 0..n-1 by average similarity; pairs without one count 0, the first largest wins a tie."""
-    groups = [[i] for i in range(n)]
-    table = np.zeros((n, n))
-    for (a, b), s in sims.items():
-        table[a, b] = table[b, a] = s
-    while len(groups) > 1:
-        best, at = -1.0, None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                mean = table[np.ix_(groups[i], groups[j])].mean()
-                if mean > best:
-                    best, at = mean, (i, j)
-        if best < threshold:
-            break
-        i, j = at
-        groups[i] = sorted(groups[i] + groups[j])
-        del groups[j]
-    return groups
-
+    """Groups of 0..n-1 by average similarity; pairs without one count 0, the first largest wins a tie.
 
-def linked_groups(pairs: DataFrame, nodes: DataFrame, threshold: float, most: int = 300) -> DataFrame:
-    """``node, grp``: components split by average linkage, within equal signatures.
-
-    ``nodes``: node, signature. Components above ``most`` nodes are too dear to link and stay whole.
+    Sums of similarities are kept for the pairs of groups that have one. An average with a merged group never
+    exceeds the larger of the two it comes from, so only pairs at the threshold wait in the heap; the work
+    grows with the pairs given, not with the cube of the nodes.
+    """
+    if threshold <= 0:  # any two groups may merge, also those without a pair
+        sims = {(a, b): 0.0 for a in range(n) for b in range(a + 1, n)} | {(min(p), max(p)): s for p, s in sims.items()}
+    sums: list[dict[int, float]] = [{} for _ in range(n)]
+    for (a, b), s in sims.items():
+        sums[a][b] = sums[b][a] = float(s)
+    groups: list[list[int] | None] = [[i] for i in range(n)]
+    age = [0] * n  # merges of a group so far: entries of the heap from before one are void
+    heap = [(-s, a, b, 0, 0) for a in range(n) for b, s in sums[a].items() if a < b and s >= threshold]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, at_i, at_j = heapq.heappop(heap)
+        if groups[i] is None or groups[j] is None or age[i] != at_i or age[j] != at_j:
+            continue
+        groups[i] += groups[j]
+        groups[j] = None
+        age[i] += 1
+        gone, sums[j] = sums[j], {}
+        for c, s in gone.items():
+            del sums[c][j]
+            if c != i:
+                sums[i][c] = sums[c][i] = sums[i].get(c, 0.0) + s
+        for c, s in sums[i].items():
+            mean = s / (len(groups[i]) * len(groups[c]))
+            if mean >= threshold:
+                a, b = min(i, c), max(i, c)
+                heapq.heappush(heap, (-mean, a, b, age[a], age[b]))
+    return [sorted(g) for g in groups if g]
+
+
+def linked_groups(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node, grp``: components split by average linkage, within equal signatures, whatever their size.
+
+    ``nodes``: node, signature. One task links a part, in memory that grows with its pairs.
     """
     comp = components(pairs)
-    marked = comp.join(nodes, "node").withColumn("part", F.concat_ws("|", F.col("component").cast("string"), F.col("signature")))
-    sizes = marked.groupBy("part").agg(F.count("*").alias("n"), F.min("node").alias("low"))
-    marked = cut(marked.join(sizes, "part"))
-    big = marked.where(F.col("n") > most).select("node", F.col("low").alias("grp"))
-    small = marked.where(F.col("n") <= most)
-    inner = pairs.join(small.select(F.col("node").alias("a"), "part"), "a").join(small.select(F.col("node").alias("b"), F.col("part").alias("_p")), "b").where("part = _p").select(F.col("_p").alias("_part"), "a", "b", "similarity")
+    marked = cut(comp.join(nodes, "node").withColumn("part", F.concat_ws("|", F.col("component").cast("string"), F.col("signature"))))
+    inner = pairs.join(marked.select(F.col("node").alias("a"), "part"), "a").join(marked.select(F.col("node").alias("b"), F.col("part").alias("_p")), "b").where("part = _p").select(F.col("_p").alias("_part"), "a", "b", "similarity")
 
     def link(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(left["node"])
@@ -119,7 +131,7 @@ def linked_groups(pairs: DataFrame, nodes: DataFrame, threshold: float, most: in
         sims = {(place[a], place[b]): s for a, b, s in zip(right["a"], right["b"], right["similarity"])}
         return pd.DataFrame([(ids[i], ids[g[0]]) for g in average_linkage(len(ids), sims, threshold) for i in g], columns=["node", "grp"])
 
-    return big.unionByName(small.groupBy("part").cogroup(inner.groupBy("_part")).applyInPandas(link, "node long, grp long"))
+    return marked.groupBy("part").cogroup(inner.groupBy("_part")).applyInPandas(link, "node long, grp long")
 
 
 def representatives(df: DataFrame, group: str, key: str, text: str) -> DataFrame:

@@ -88,6 +88,43 @@ def test_average_linkage():
     assert cluster.average_linkage(4, {(0, 1): 0.95, (1, 2): 0.93, (0, 2): 0.5, (2, 3): 0.91}, 0.9) == [[0, 1], [2, 3]]
 
 
+def naive_linkage(n, sims, threshold):
+    """All averages over all pairs of groups, each time."""
+    groups = [[i] for i in range(n)]
+    table = np.zeros((n, n))
+    for (a, b), s in sims.items():
+        table[a, b] = table[b, a] = s
+    while len(groups) > 1:
+        scores = {(i, j): table[np.ix_(groups[i], groups[j])].mean() for i in range(len(groups)) for j in range(i + 1, len(groups))}
+        (i, j), best = max(scores.items(), key=lambda x: (x[1], (-x[0][0], -x[0][1])))
+        if best < threshold:
+            break
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return groups
+
+
+def test_average_linkage_matches_brute_force():
+    for seed in range(12):
+        rnd = np.random.default_rng(seed)
+        n = 26
+        x = rnd.normal(size=(5, 8))[rnd.integers(0, 5, n)] + rnd.normal(size=(n, 8)) * 0.8
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        least = (0.3, 0.5, 0.0)[seed % 3]
+        sims = {(a, b): float(x[a] @ x[b]) for a in range(n) for b in range(a + 1, n) if x[a] @ x[b] >= least}
+        assert cluster.average_linkage(n, sims, least) == naive_linkage(n, sims, least)
+        even = {p: 0.5 for p in sims if sum(p) % 2}  # ties in all pairs
+        assert cluster.average_linkage(n, even, 0.25) == naive_linkage(n, even, 0.25)
+
+
+def test_large_parts_are_linked(spark):
+    """A component of 400 facts, two dense halves held together by one pair, is two groups."""
+    links = [(i, j, 0.9) for h in (0, 200) for i in range(h, h + 200) for j in range(i + 1, h + 200)] + [(5, 205, 0.9)]
+    pairs = spark.createDataFrame(links, "a long, b long, similarity double")
+    nodes = spark.range(400).select(F.col("id").alias("node"), F.lit("s").alias("signature"))
+    got = {r.node: r.grp for r in cluster.linked_groups(pairs, nodes, 0.5).collect()}
+    assert got == {i: i // 200 * 200 for i in range(400)}
+
+
 def test_neighbourhood(spark):
     v = spark.createDataFrame([(f"A:{i}", "A" if i != 3 else "B") for i in range(8)], "gid string, label string")
     e = spark.createDataFrame([("x", f"A:{i}", f"A:{i + 1}") for i in range(7)], "label string, src string, dst string")
