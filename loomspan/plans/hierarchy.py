@@ -34,6 +34,16 @@ def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns and sessions with their path, the ids from the root down to the row; null in or under a circle."""
+    found = None
+    for name, parent in FORESTS:
+        part = hierarchy.paths(table(spark, sf_dir, name).select("id", parent), "id", parent)
+        part = part.select(F.lit(name).alias("tbl"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "path")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def _forest_sql(name: str, parent: str) -> str:
     return f"""
     SELECT '{name}' AS tbl, node AS node_id,
@@ -78,5 +88,20 @@ def _interval_sql(name: str, parent: str) -> str:
     ) g ON g.node = t.id LEFT JOIN ({_forest_sql(name, parent)}) b ON b.node_id = t.id"""
 
 
-QUERIES = {"p4_found": p4_found, "p4_intervals": p4_intervals}
-ORACLES = {"p4_found": " UNION ALL ".join(f"SELECT * FROM ({_forest_sql(*f)})" for f in FORESTS), "p4_intervals": " UNION ALL ".join(f"SELECT * FROM ({_interval_sql(*f)})" for f in FORESTS)}
+def _path_sql(name: str, parent: str) -> str:
+    return f"""
+    SELECT '{name}' AS tbl, t.id AS node_id, coalesce(g.top, b.root_id) AS root_id, coalesce(g.depth, -1)::INTEGER AS depth, g.path
+    FROM (SELECT DISTINCT id FROM {name} WHERE id IS NOT NULL) t LEFT JOIN (
+      WITH RECURSIVE link AS (
+        SELECT a.id, min(b.id) AS up FROM {name} a LEFT JOIN {name} b ON a.{parent} = b.id GROUP BY a.id
+      ), good AS (
+        SELECT id AS node, id AS top, 0 AS depth, [id] AS path FROM link WHERE up IS NULL
+        UNION ALL
+        SELECT l.id, g.top, g.depth + 1, list_append(g.path, l.id) FROM good g JOIN link l ON l.up = g.node
+      )
+      SELECT * FROM good
+    ) g ON g.node = t.id LEFT JOIN ({_forest_sql(name, parent)}) b ON b.node_id = t.id"""
+
+
+QUERIES = {"p4_found": p4_found, "p4_intervals": p4_intervals, "p4_paths": p4_paths}
+ORACLES = {"p4_found": " UNION ALL ".join(f"SELECT * FROM ({_forest_sql(*f)})" for f in FORESTS), "p4_intervals": " UNION ALL ".join(f"SELECT * FROM ({_interval_sql(*f)})" for f in FORESTS), "p4_paths": " UNION ALL ".join(f"SELECT * FROM ({_path_sql(*f)})" for f in FORESTS)}

@@ -104,3 +104,14 @@ def test_intervals_name_all_descendants(spark, options):
         else:
             assert below[n] == {m for m, x in rows.items() if x.root == root and x.enter is not None and r.enter < x.enter < r.leave}
             assert r.leave - r.enter - 1 == len(below[n])
+
+
+def test_paths_of_both_tables_are_put_out(spark, tmp_path):
+    from loomspan.plans.hierarchy import FORESTS, QUERIES
+
+    links = [(1, None), (2, 1), (3, 2), (4, 9), (5, 6), (6, 5), (7, 6)]
+    for name, parent in FORESTS:
+        spark.createDataFrame(links, f"id long, {parent} long").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.tbl, r.node_id): (r.root_id, r.depth, r.path) for r in QUERIES["p4_paths"](spark, str(tmp_path)).collect()}
+    one = {1: (1, 0, [1]), 2: (1, 1, [1, 2]), 3: (1, 2, [1, 2, 3]), 4: (4, 0, [4]), 5: (5, -1, None), 6: (5, -1, None), 7: (5, -1, None)}
+    assert got == {(name, node): x for name, _ in FORESTS for node, x in one.items()}
