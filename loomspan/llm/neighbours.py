@@ -2,7 +2,8 @@
 
 A vector is the sum of one codeword of each of several full-dimensional codebooks. The first book (one
 codeword a cell, about the square root of the rows) places vectors; the others code the residual by beam
-search. Vectors meet others of their own cell and of the next cells (``probes``) only. There the queries'
+search. Vectors meet others of their own cell and of the next cells (``probes``) only, by default more of them
+the more cells there are. There the queries'
 lookup tables score all codes of a block, corrected by the stored norms, and the best are reranked by the
 exact cosine. Books are fitted on a bounded sample; every row is coded and indexed.
 
@@ -28,8 +29,8 @@ SAMPLE_ROWS = 32_768
 MAX_CELLS = 2_048
 #: Residual books, codewords in each, partial codes kept in the beam search.
 BOOKS, WORDS, BEAM = 4, 256, 4
-#: Candidates of each query in a block that are reranked exactly, for each neighbour wanted.
-RERANK = 4
+#: Candidates of each query in a block that are reranked exactly, for each neighbour wanted; weakly similar ones need many.
+RERANK = 12
 #: Index rows and query rows that one task compares.
 BLOCK_ROWS, QUERY_ROWS = 4_096, 16_384
 
@@ -163,13 +164,28 @@ def _distinct(ids: np.ndarray, x: np.ndarray, keep: int):
     return hashes[order[starts]], order[starts], members
 
 
-def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int = 64, min_similarity: float = -1.0, probes: int = 2, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def default_probes(cells: int) -> int:
+    """Next cells to ask, so that the ten nearest of weakly similar vectors are met: a fixed number meets fewer the more cells there are."""
+    return max(4, math.ceil(0.4 * math.sqrt(cells)))
+
+
+def _best_of(by: np.ndarray, then: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k most similar rows of each value of ``by``, ties by ``then``."""
+    order = np.lexsort((then, -sim, by))
+    first = np.flatnonzero(np.diff(by[order], prepend=by[order[:1]] - 1)) if len(by) else np.zeros(0, int)
+    rank = np.arange(len(by)) - np.repeat(first, np.diff([*first, len(by)]))
+    marks = np.zeros(len(by), bool)
+    marks[order[rank < k]] = True
+    return marks
+
+
+def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int = 64, min_similarity: float = -1.0, probes: int | None = None, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The k nearest other vectors of each usable one, as far as the index finds them.
 
     Columns ``id, neighbour, similarity`` (exact cosine of float32 unit vectors), at most k rows an id, ties
     by the smaller id. Rows below ``min_similarity`` are left out before they travel. Vectors that are null,
     of another width, not finite or all zero take no part. Of more than k equal vectors each gets the k with
-    the smallest ids. More ``probes`` find more. An empty table gives no rows; other columns are ignored.
+    the smallest ids. More ``probes`` find more; by default ``default_probes``, and so does more ``rerank``. An empty table gives no rows; other columns are ignored.
     """
     schema = "id long, neighbour long, similarity double"
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
@@ -177,7 +193,7 @@ def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int
     if books is None:
         return df.sparkSession.createDataFrame([], schema)
     shared = df.sparkSession.sparkContext.broadcast(books)
-    span = min(probes + 1, len(books.cells))
+    span = min((default_probes(len(books.cells)) if probes is None else probes) + 1, len(books.cells))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +255,7 @@ def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int
             queries = queries[np.unique(classes[queries], return_index=True)[1]]
             if salt == 0:
                 queries = np.concatenate([index, queries])
-            best = min(len(index), RERANK * k)
+            best = min(len(index), rerank * k)
             for s in range(0, len(queries), 512):
                 q = queries[s : s + 512]
                 score = books.scores(x[q], cell, codes, norms)
@@ -250,7 +266,15 @@ def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int
                 keep = (a != b) & (exact.ravel() >= min_similarity)
                 out.append((a[keep], b[keep], exact.ravel()[keep]))
         a, b, sim = (np.concatenate(c) for c in zip(*out))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(sim, 1.0))], ["a", "b", "similarity"])
+        sim = np.minimum(sim, 1.0)
+        a, b, sim = np.minimum(a, b), np.maximum(a, b), np.minimum(sim, 1.0)
+        order = np.lexsort((b, a))
+        once = order[np.flatnonzero(np.concatenate([order[:1] >= 0, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]))]
+        a, b, sim = a[once], b[once], sim[once]
+        # what is not among the k best of either side here is not among its k best at all
+        best = _best_of(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sim, sim]), k)
+        best = best[: len(a)] | best[len(a) :]
+        return pa.table([pa.array(a[best]), pa.array(b[best]), pa.array(sim[best])], ["a", "b", "similarity"])
 
     met = rows.mapInArrow(spread, "cell int, block int, salt int, class long, x binary, codes binary, norm float")
     pairs = met.groupBy("cell", "block", "salt").applyInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

@@ -11,11 +11,16 @@ from loomspan.session import table
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of 0.90 or more of which one is among the ten nearest of the other."""
-    found = nn.neighbours(table(spark, sf_dir, "emb_quill"), "chunk_id", "embedding", min_similarity=0.9)
+    found = nn.neighbours(table(spark, sf_dir, "emb_quill"), "chunk_id", "embedding", min_similarity=0.9, probes=2, rerank=4)
     return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector, however weakly similar."""
+    return nn.neighbours(table(spark, sf_dir, "emb_quill"), "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest}
 ORACLES = {
     "p5_found": """
     WITH v AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM emb_quill WHERE length(embedding) = 64

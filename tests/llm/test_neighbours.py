@@ -1,7 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 
-from loomspan.llm import neighbours as nn
+from loomspan.llm import neighbours as nn, queries_vectors
+
+TABLES = "/root/testdata/sf0.01"
 
 SCHEMA = "chunk_id long, embedding array<float>, similarity string"
 
@@ -49,6 +53,19 @@ def test_recall_of_ten_nearest(spark):
     assert len(rows) == 10 * len(asked) and hit(rows, asked) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the test tables")
+def test_recall_of_the_registered_query(spark):
+    rows = spark.read.parquet(f"{TABLES}/emb_quill.parquet").select("chunk_id", "embedding").toArrow()
+    at, x = nn.unit_rows(rows.column("embedding"), 64)
+    ids = rows.column("chunk_id").to_numpy()[at]
+    s, _ = exact(x, 10)
+    tenth = dict(zip(ids.tolist(), np.sort(s, axis=1)[:, -10]))
+    found = queries_vectors.QUERIES["p5_nearest"](spark, TABLES).collect()
+    assert len(found) == len({(r.chunk_id, r.neighbour) for r in found}) <= 10 * len(ids)
+    assert sum(r.similarity >= tenth[r.chunk_id] - 1e-5 for r in found) >= 0.9 * 10 * len(ids)
+    assert [nn.default_probes(c) for c in (9, 98, 313, 2048)] == [4, 4, 8, 19]  # grows with the cells
+
+
 def test_copies_ties_and_repeats(spark):
     x = vectors(60, 5)
     x[10:40] = x[10]
