@@ -250,8 +250,8 @@ class Detector:
             seen.add("digit")
         return seen
 
-    def _names(self, text: str, first: bool, mails: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Spans of surnames with a given name or an initial beside them, outside mail addresses."""
+    def _names(self, text: str, mails: list[tuple[int, int]], others: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """Spans of surnames with a given name or an initial beside them, outside mail addresses; with ``others``, up to the first that overlaps none of them."""
         if not self.names.forms:
             return []
         folded = text.lower()
@@ -277,7 +277,7 @@ class Detector:
                     stop = right.end() - (len(right[3]) if len(right[2]) > 1 else 0)
                     more = _SECOND.match(text, stop)
                     out.append((a, more.end() if more else stop))
-            if out and first:
+            if out and others is not None and not _overlaps(*out[-1], others):
                 break
         return out
 
@@ -316,9 +316,10 @@ class Detector:
                 found["phone"].append(m.span(1))
         if seen & {"street", "end", "start", "box"} or _POSTCODE.search(text):
             found["address"] = [m.span() for m in _ADDRESS.finditer(text)] + [m.span() for m in _CEDEX.finditer(text)]
-        found["name"] = self._names(text, first, found["email"])
         spans, used = [], []
         for kind in ORDER:
+            if kind == "name":  # last, what the others take is known
+                found["name"] = self._names(text, found["email"], list(used) if first else None)
             for a, b in sorted(found[kind]):
                 while b > a and text[b - 1] in " ,;'\"\t\r\n":
                     b -= 1

@@ -36,6 +36,13 @@ def test_cases(detector, text, expected):
     assert {k for *_, k in detector.find(text, True)} == {k for *_, k in spans}
 
 
+def test_names_behind_one_in_an_address(detector):
+    """The first name of the text lies inside an address and is none; the later one counts, with and without text."""
+    text = "Parcel for 12 Mill Lane, Lena Wexholme, and by hand to Tomás Wexholme."
+    kinds = lambda spans: {k for *_, k in spans}
+    assert kinds(detector.find(text)) == kinds(detector.find(text, True)) == {"address", "name"}
+
+
 def test_offsets_survive_rewriting():
     t = personal.plain_form("​ab one two three four five, é [at] y [dot] example!")
     for i in range(len(t.plain)):
