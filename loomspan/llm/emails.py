@@ -60,6 +60,8 @@ _HINTS.make_automaton()
 _GREET = re.compile(r"(?i)^\s*(?:hi|hello|hey|dear|good (?:morning|day|evening|afternoon)|hallo|liebe[rs]?|guten (?:tag|morgen|abend)|sehr geehrte[rs]?|moin|bonjour|bonsoir|salut|cher|chère|chers|hola|buenos días|buenas|estimad[oa]s?|querid[oa]s?|olá|oi|bom dia|prezad[oa]s?|beste|geachte|dag|здравствуйте|привет|уважаем\w+|добрый день|こんにちは)\b")
 _POST = re.compile(r"(?i)^\s*(?:p\.?\s?s\.?|n\.?b\.?|ps|pd|p\.?d\.?)(?:\s*[-–—:.]|\s)")
 _CONTACT = re.compile(r"(?i)[\w.+-]+@[\w-]+\.|https?://|www\.|(?:\+|\b(?:tel|t|fon|phone|mobil|mobile|fax|cell)\b\.?:?\s|\b0)\(?\d[\d ()./ -]{5,}|^\W*\+?\(?\d[\d ()./ -]{6,}(?:\s?(?:x|ext\.?|durchwahl)\s?\d+)?\W*$|\b\d{1,4}[a-z]?,? [A-Z][\w'’]+(?: [A-Z][\w'’]+)* (?i:street|drive|lane|avenue|row|court|road)|(?:straße|str\.|gasse|allee|weg) \d+|\b(?:rue|boulevard|impasse|quai|avenue) |p\.o\. box")
+#: What every match of ``_CONTACT`` holds; cheaper than the pattern.
+_CONTACT_HINT = re.compile(r"(?i)[@/\d]|www\.|rue |boulevard |impasse |quai |avenue |p\.o\. box")
 _SENTENCE = re.compile(r"[.!?。…:]['\")»”]*\s*$")
 
 
@@ -70,7 +72,7 @@ def legal_words(text: str) -> int:
 
 
 def has_contact(line: str) -> bool:
-    return any(c in "@0123456789/" for c in line) and bool(_CONTACT.search(line))
+    return bool(_CONTACT_HINT.search(line)) and bool(_CONTACT.search(line))
 
 
 def bare(line: str) -> str:

@@ -78,6 +78,13 @@ def test_held_out_accuracy(spark):
     assert len(reduced) == len(rows) and all(LEGAL not in b for b in reduced.values())
 
 
+def test_contact_hint_loses_no_line():
+    lines = ["www.example.com", "Avenue des Lilas", "RUE DE L'EAU", "Boulevard Sud", "impasse Verte", "Quai Nord", "P.O. Box", "a@b.example", "Tel: ٠١٢٣٤٥٦٧٨٩", "see https://x.example", "12 Mill Lane", "Hauptstr. 5"]
+    assert all(map(emails._CONTACT.search, lines)) and all(map(emails.has_contact, lines))
+    for line in ("avenues", "true story", "Regards, Anna", "page 3"):
+        assert emails.has_contact(line) == bool(emails._CONTACT.search(line))
+
+
 def test_traps_stay_new():
     lines = ["Hi,", "From the harbour side the plan still holds.", "To: the left of the door there is a switch.", "On Friday the crew wrote up the results and left.", "| a | b |", "ok -- next week then"]
     assert not any(emails.quoted(lines, [False] * len(lines)))
