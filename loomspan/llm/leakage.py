@@ -104,14 +104,16 @@ def _windows(df: DataFrame, names: set[str], wanted: np.ndarray | None, width: i
 
 
 def _names(items: DataFrame) -> set[str]:
-    """Names of all items; none at all if there are more than ``NAMES`` (they then count as plain words)."""
+    """Names of all items; refuses more than ``NAMES``, as without them leaks that differ in a name would be lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(names_in([t for t in batch.column("text").to_pylist() if t])), pa.string())], ["name"])
 
     found = items.select("text").mapInArrow(run, "name string").distinct().limit(NAMES + 1).collect()
-    return {r.name for r in found} if len(found) <= NAMES else set()
+    if len(found) > NAMES:
+        raise ValueError(f"more than {NAMES} names in the items; give fewer items at a time")
+    return {r.name for r in found}
 
 
 def _slots_agree(pairs: DataFrame, names: set[str]) -> DataFrame:

@@ -36,6 +36,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind = 'exact'").select("doc_id", "item_id")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of leaks, word for word and with other names and numbers."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents whose label is missing or wrong, or that mix several."""
     docs = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("corpus_class") == "code", F.lit(False)))
@@ -54,7 +59,7 @@ _CLASS = r"\t\n\x0B\f\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 _WIDE = "".join(chr(c) for a, b in ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B)) for c in range(a, b))
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _COMPAT = f"replace(replace(translate(text, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_leaks, p9_found, p9_segments)}
 ORACLES = {
     "p1_found": f"""
     WITH d AS (SELECT doc_id, content, CASE WHEN corpus_class = 'code' THEN 1200 ELSE 1000 END AS most FROM documents)

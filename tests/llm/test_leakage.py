@@ -1,6 +1,8 @@
 import random
 
-from loomspan.llm import leakage
+import pytest
+
+from loomspan.llm import leakage, queries_text
 from loomspan.llm.words import words
 
 
@@ -41,6 +43,17 @@ def test_reparameterised(spark):
     assert found[1] == "reparameterised" and found[3] == "exact"
 
 
+def test_both_kinds_are_put_out_and_names_are_never_dropped(spark, tmp_path, monkeypatch):
+    item = "If Anna buys 12 apples and Bert buys 7 apples how many apples are there when Anna gives 3 away today"
+    d, i = data(spark, [(1, item.replace("Anna", "Clara").replace("Bert", "Dora")), (3, item)], [(9, "Now " + item + " for Clara and Dora")])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    i.write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {r.doc_id: r.kind for r in queries_text.QUERIES["p7_leaks"](spark, str(tmp_path)).collect()} == {1: "reparameterised", 3: "exact"}
+    monkeypatch.setattr(leakage, "NAMES", 1)
+    with pytest.raises(ValueError):
+        leakage.leaks(d, i)
+
+
 def test_empty(spark):
     d, i = data(spark, [(1, "a b c d e f g h i j k")], [])
     assert leakage.leaks(d, i).count() == 0
