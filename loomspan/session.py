@@ -44,7 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
-    return df.checkpoint(eager=True)
+    return _with_plain_size(df.checkpoint(eager=True))
+
+
+def _with_plain_size(df: DataFrame) -> DataFrame:
+    """The same cut rows without a size estimate, where that has outgrown any real size.
+
+    A cut table keeps the estimate of the plan it came from. In loops of joins estimates multiply at each round
+    until planning spends its time on numbers of millions of digits.
+    """
+    plan = df._jdf.queryExecution()
+    if int(plan.analyzed().stats().sizeInBytes()) < 1 << 60:
+        return df
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), df.sparkSession)
 
 
 def shuffle_width(spark: SparkSession) -> int:

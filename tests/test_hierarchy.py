@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.operators import hierarchy
 
@@ -34,7 +35,7 @@ def random_links(n, seed):
     return links + [(3, 1), (None, 4), (n + 9, n + 9), (7, None), (-5, -6), (-6, -5), (-7, -5), (-8, 0), (-9, -8)]
 
 
-@pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 0, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
+@pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 25, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
 def test_resolve_matches_walk(spark, options):
     for seed in (1, 2):
         links = random_links(300, seed)
@@ -48,7 +49,7 @@ def test_scattered_chain_uses_doubling(spark):
     random.Random(4).shuffle(ids)
     links = [(a, b) for a, b in zip(ids[1:], ids)] + [(ids[0], None), (900, 901), (901, 900)]
     df = spark.createDataFrame([(*x, "") for x in links], SCHEMA)
-    got = {r.node: (r.root, r.depth) for r in hierarchy.resolve(df, "id", "up", parts=16, top_rows=1, fan_in=1).collect()}
+    got = {r.node: (r.root, r.depth) for r in hierarchy.resolve(df, "id", "up", parts=16, top_rows=20, fan_in=1).collect()}
     assert got == walk(links)
 
 
@@ -70,12 +71,45 @@ def test_paths_and_descendants(spark):
     assert all(counts[n] == sum(a == n for a, _, _ in closure) for n in expected)
 
 
+def test_no_task_links_more_than_its_share(spark, monkeypatch):
+    """Scattered parents do not shrink in the merge, and still no range holds more than about top_rows rows."""
+    ids = list(range(600))
+    random.Random(4).shuffle(ids)
+    links = [(a, b) for a, b in zip(ids[1:], ids)] + [(ids[0], None)] + [(5, 700)] * 300
+    df = spark.createDataFrame([(*x, "") for x in links], SCHEMA)
+    seen = []
+    kept = hierarchy.cut
+
+    def cut_and_look(x):
+        done = kept(x)
+        if "step" in done.columns:
+            seen.extend(r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect())
+        return done
+
+    monkeypatch.setattr(hierarchy, "cut", cut_and_look)
+    got = {r.node: (r.root, r.depth) for r in hierarchy.resolve(df, "id", "up", parts=8, top_rows=30).collect()}
+    assert got == walk(links)
+    assert max(seen) <= 60
+
+
+def test_scattered_paths_and_sums(spark):
+    ids = list(range(300))
+    random.Random(9).shuffle(ids)
+    links = [(a, b) for a, b in zip(ids[1:], ids)] + [(ids[0], None)]
+    df = spark.createDataFrame([(*x, "") for x in links], SCHEMA)
+    options = {"parts": 8, "top_rows": 40}
+    got = {r.node: r.path for r in hierarchy.paths(df, "id", "up", **options).collect()}
+    assert got == {n: ids[: i + 1] for i, n in enumerate(ids)}
+    sums = {r.node: (r.enter, r.leave) for r in hierarchy.intervals(df, "id", "up", **options).collect()}
+    assert sums == {n: (i, 300) for i, n in enumerate(ids)}
+
+
 def test_empty(spark):
     assert hierarchy.resolve(spark.createDataFrame([], SCHEMA), "id", "up").count() == 0
     assert hierarchy.paths(spark.createDataFrame([], SCHEMA), "id", "up").count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 0, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
+@pytest.mark.parametrize("options", [{}, {"parts": 6, "top_rows": 25, "fan_in": 2}, {"parts": 8, "top_rows": 40, "fan_in": 2}])
 def test_intervals_name_all_descendants(spark, options):
     links = random_links(250, 11)
     ids = list(range(1000, 1200))
