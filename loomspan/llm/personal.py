@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Where detectors overlap, the earlier kind keeps the characters.
 ORDER = ("email", "id_number", "phone", "address", "name")
-#: Distinct name words that may travel to every task (about 100 bytes each).
+#: Distinct names that may travel to every task (about 100 bytes each); of more, each text gets those whose words it holds by a join.
 NAME_WORDS = 500_000
 
 # Look-alike letters of other scripts, and digits as words.
@@ -208,16 +209,26 @@ class Names:
             self.forms |= {surname.lower(), fold_name(surname), surname.lower().encode("ascii", "ignore").decode()}
         self.forms = {f for f in self.forms if len(f) > 2}
 
+    @classmethod
+    def of(cls, given, forms) -> Names:
+        names = cls(())
+        names.given, names.forms = set(given or ()), set(forms or ())
+        return names
+
 
 class Detector:
     def __init__(self, names: Names):
-        self.names = names
         keys = ahocorasick.Automaton()
         for kind, words in (("box", BOXES), ("cue", [c for c in CUES if c not in SHORT_CUES]), ("street", [w for w in STREETS if len(w) > 3] + SHORT_STREETS), ("end", STREET_ENDS), ("start", STREET_STARTS), ("tel", TEL_WORDS), ("dot", DISGUISES), ("digit", [w for w in DIGIT_WORDS if len(w) > 2])):
             for w in words:
                 keys.add_word(w, keys.get(w, ()) + ((kind, len(w)),))
         keys.make_automaton()
         self.keys = keys
+        self.know(names)
+
+    def know(self, names: Names) -> None:
+        """Looks for these names from now on."""
+        self.names = names
         self.surnames = ahocorasick.Automaton()
         for s in names.forms:
             self.surnames.add_word(s, len(s))
@@ -250,8 +261,8 @@ class Detector:
             seen.add("digit")
         return seen
 
-    def _names(self, text: str, mails: list[tuple[int, int]], others: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-        """Spans of surnames with a given name or an initial beside them, outside mail addresses; with ``others``, up to the first that overlaps none of them."""
+    def _names(self, text: str, mails: Spans) -> list[tuple[int, int]]:
+        """Spans of surnames with a given name or an initial beside them, outside mail addresses."""
         if not self.names.forms:
             return []
         folded = text.lower()
@@ -260,7 +271,7 @@ class Detector:
         out = []
         for end, length in self.surnames.iter(folded):
             a, b = end - length + 1, end + 1
-            if _overlaps(a, b, mails):
+            if mails.meet(a, b):
                 continue
             if folded[max(0, a - 3) : a] in ("al-", "el-"):
                 a -= 3
@@ -277,8 +288,6 @@ class Detector:
                     stop = right.end() - (len(right[3]) if len(right[2]) > 1 else 0)
                     more = _SECOND.match(text, stop)
                     out.append((a, more.end() if more else stop))
-            if out and others is not None and not _overlaps(*out[-1], others):
-                break
         return out
 
     def _given(self, word: str, dot: str, like: str = "") -> bool:
@@ -289,8 +298,8 @@ class Detector:
             return True
         return "-" in folded and folded.split("-")[0] in self.names.given
 
-    def find(self, source: str, first: bool = False) -> list[tuple[int, int, str]]:
-        """Spans (start, end, kind) in the source, in order, none overlapping; with ``first``, one a kind may do."""
+    def find(self, source: str) -> list[tuple[int, int, str]]:
+        """Spans (start, end, kind) in the source, in order, none overlapping."""
         low = source.lower()
         seen = self._seen(source, low)
         t = plain_form(source, "digit" in seen, "dot" in seen)
@@ -305,37 +314,41 @@ class Detector:
                 if sum(c.isdigit() for c in text[a:b]) >= 5:
                     found["id_number"].append((a, b))
         found["id_number"] += [m.span() for m in _ID_SHAPE.finditer(text)]
-        taken = found["id_number"]
+        taken = Spans(found["id_number"])
         for m in _PHONE.finditer(text):
             a, b = m.span()
             digits = sum(c.isdigit() for c in m[0])
-            if 7 <= digits <= 20 and not _overlaps(a, b, taken) and not _LABEL.search(text, max(0, a - 24), a):
+            if 7 <= digits <= 20 and not taken.meet(a, b) and not _LABEL.search(text, max(0, a - 24), a):
                 found["phone"].append((a, b))
         for m in _TEL_CUE.finditer(text) if "tel" in seen else ():
-            if not _overlaps(*m.span(1), taken) and 7 <= sum(c.isdigit() for c in m[1]) <= 15:
+            if not taken.meet(*m.span(1)) and 7 <= sum(c.isdigit() for c in m[1]) <= 15:
                 found["phone"].append(m.span(1))
         if seen & {"street", "end", "start", "box"} or _POSTCODE.search(text):
             found["address"] = [m.span() for m in _ADDRESS.finditer(text)] + [m.span() for m in _CEDEX.finditer(text)]
-        spans, used = [], []
+        found["name"] = self._names(text, Spans(found["email"]))
+        spans, used = [], Spans()
         for kind in ORDER:
-            if kind == "name":  # last, what the others take is known
-                found["name"] = self._names(text, found["email"], list(used) if first else None)
             for a, b in sorted(found[kind]):
                 while b > a and text[b - 1] in " ,;'\"\t\r\n":
                     b -= 1
-                if b > a and not _overlaps(a, b, used):
-                    used.append((a, b))
+                if b > a and not used.meet(a, b):
+                    used.add(a, b)
                     spans.append((*t.span(a, b), kind))
         return sorted(spans)
 
     def redact(self, source: str) -> tuple[str, list[tuple[int, int, str]]]:
         spans = self.find(source)
-        out, last = [], 0
-        for a, b, kind in spans:
-            if a >= last:
-                out += [source[last:a], f"[{kind.upper()}]"]
-                last = b
-        return "".join([*out, source[last:]]), spans
+        return replaced(source, spans), spans
+
+
+def replaced(source: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a placeholder in place of each span."""
+    out, last = [], 0
+    for a, b, kind in spans:
+        if a >= last:
+            out += [source[last:a], f"[{kind.upper()}]"]
+            last = b
+    return "".join([*out, source[last:]])
 
 
 _LABEL = re.compile(r"(?i)(?:\b(?:isbn|sku|order|ticket|build|version|epoch|row|id|hash|price|issn|ref|invoice)\b[\s#:.no]{0,6}|#)$")
@@ -358,48 +371,112 @@ def _mails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _overlaps(a: int, b: int, spans) -> bool:
-    return any(x < b and a < y for x, y in spans)
+class Spans:
+    """Spans by their start, so that the few one overlaps are found by bisection."""
 
+    def __init__(self, spans=()):
+        self.kept, self.longest = sorted(spans), max((b - a for a, b in spans), default=0)
 
-def known_names(people: DataFrame, column: str) -> list[str]:
-    """Distinct names of a table of people, for the detectors; refuses more than ``NAME_WORDS``."""
-    rows = people.select(F.trim(column).alias("n")).where(F.col("n") != "").distinct().limit(NAME_WORDS + 1).collect()
-    if len(rows) > NAME_WORDS:
-        raise ValueError(f"more than {NAME_WORDS} names; give a smaller name table")
-    return [r.n for r in rows]
+    def add(self, a: int, b: int) -> None:
+        insort(self.kept, (a, b))
+        self.longest = max(self.longest, b - a)
 
+    def meet(self, a: int, b: int) -> bool:
+        at = bisect_left(self.kept, (b, -1)) - 1
+        while at >= 0 and self.kept[at][0] > a - self.longest:
+            if self.kept[at][1] > a:
+                return True
+            at -= 1
+        return False
 
-def redact(df: DataFrame, key: str, text: str, names: list[str], with_text: bool = True) -> DataFrame:
+
+def known_names(people: DataFrame, column: str, most: int = NAME_WORDS) -> list[str] | DataFrame:
+    """Distinct names of a table of people, for the detectors: a list, or above ``most`` the table itself (column n)."""
+    names = people.select(F.trim(column).alias("n")).where(F.col("n") != "").distinct()
+    rows = names.limit(most + 1).collect()
+    return [r.n for r in rows] if len(rows) <= most else names
+
+
+_PIECE = re.compile(r"[^\W_]+")
+_JOINED = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*\.?")
+
+
+def name_words(text: str) -> set[str]:
+    """Every form under which a name may be looked up in this text: words and joined words, lower-cased and folded."""
+    out = set()
+    for m in _JOINED.finditer(plain_form(text).plain):
+        at = [p.span() for p in _PIECE.finditer(m[0])]
+        for i in range(len(at)):
+            for j in range(i, min(len(at), i + 4)):
+                word = m[0][at[i][0] : at[j][1]]
+                out |= {word.lower(), fold_name(word)}
+            if m[0][-1] == ".":
+                out.add(m[0][at[i][0] :].lower())
+    return out
+
+
+def _with_own_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``given`` and ``forms`` to rows of key and text: those of all names' words that the text holds.
+
+    Words of distinct texts are joined with words of names, so neither names nor texts travel to every task.
+    """
+
+    def in_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(name_words(v)) for v in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["_t", "words"])
+
+    def in_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = Names(batch.column(0).to_pylist())
+            both = [*((w, True) for w in sorted(known.given)), *((w, False) for w in sorted(known.forms))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in both], pa.string()), pa.array([g for _, g in both], pa.bool_())], ["word", "is_given"])
+
+    marked = rows.withColumn("_t", F.sha2("text", 256))
+    texts = marked.where(F.col("text").isNotNull()).groupBy("_t").agg(F.first("text").alias("text"))
+    asked = texts.mapInArrow(in_texts, "_t string, words array<string>").select("_t", F.explode("words").alias("word"))
+    known = names.select("n").mapInArrow(in_names, "word string, is_given boolean").distinct()
+    met = asked.join(known, "word").groupBy("_t").agg(F.collect_list(F.when(F.col("is_given"), F.col("word"))).alias("given"), F.collect_list(F.when(~F.col("is_given"), F.col("word"))).alias("forms"))
+    return marked.join(met, "_t", "left").drop("_t")
+
+
+def redact(df: DataFrame, key: str, text: str, names: list[str] | DataFrame, with_text: bool = True) -> DataFrame:
     """Each text with its mentions replaced by placeholders such as ``[EMAIL]``.
 
     Columns: key, ``kinds`` (sorted, distinct), ``mentions`` (how many) and, unless ``with_text`` is false,
     ``redacted`` and ``spans`` (start, end, kind; offsets of code points of the source). Null texts come out
     null, empty ones empty, both without kinds; a repeated row is treated on its own; other columns are
-    ignored. Of equal texts in a batch one is read.
+    ignored. Of equal texts in a batch one is read. ``names`` as ``known_names`` gives them: a list travels to
+    every task, a table is joined with the words of the texts; both give the same rows.
     """
     key_type = df.schema[key].dataType.simpleString()
-    lexicon = df.sparkSession.sparkContext.broadcast(list(names))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    spread = isinstance(names, DataFrame)
+    if spread:
+        rows = _with_own_names(rows, names)
+    lexicon = df.sparkSession.sparkContext.broadcast([] if spread else list(names))
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(Names(lexicon.value))
         for batch in batches:
             coded = batch.column("text").dictionary_encode()
-            values = coded.dictionary.to_pylist()
-            if with_text:
-                results = [detector.redact(v) for v in values]
-                spans = [s for _, s in results]
+            values, take = coded.dictionary.to_pylist(), coded.indices
+            if spread:  # each text brings the names it may hold
+                own = zip(*(batch.column(c).to_pylist() for c in ("text", "given", "forms")))
+                known = {t: (g, f) for t, g, f in own if t is not None}
+                spans = []
+                for v in values:
+                    detector.know(Names.of(*known[v]))
+                    spans.append(detector.find(v))
             else:
-                spans = [detector.find(v, True) for v in values]
-            take = coded.indices
+                spans = [detector.find(v) for v in values]
             kinds = pa.array([sorted({k for *_, k in s}) for s in spans], pa.list_(pa.string())).take(take)
             counts = pa.array([len(s) for s in spans], pa.int32()).take(take)
             columns, fields = [batch.column("key"), kinds, counts], ["key", "kinds", "mentions"]
             if with_text:
-                shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-                columns += [pa.array([r for r, _ in results], pa.string()).take(take), pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans], shape).take(take)]
+                columns += [pa.array([replaced(v, s) for v, s in zip(values, spans)], pa.string()).take(take), pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans], shape).take(take)]
                 fields += ["redacted", "spans"]
             yield pa.RecordBatch.from_arrays(columns, fields)
 
     schema = f"key {key_type}, kinds array<string>, mentions int" + ", redacted string, spans array<struct<start:int,end:int,kind:string>>" * with_text
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
