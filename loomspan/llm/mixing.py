@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from loomspan.session import cut
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Residuals that one task combines.
-FAN_IN = 64
+#: Blocks whose residuals one task combines, documents of a block and sources of a bucket (about).
+FAN_IN, BLOCK_ROWS, BUCKET_SOURCES = 64, 50_000, 1_000
 #: Targets that may travel to every task; more are joined by a shuffle, hot sources split by the adaptive plan.
 BROADCAST_TARGETS = 100_000
 
@@ -84,7 +84,7 @@ def _pivot(ids: np.ndarray, mass: np.ndarray, prob: np.ndarray, draws: np.ndarra
 def _round_group(t: pd.DataFrame) -> pd.DataFrame:
     """One row in, one out: ``extra`` is 0 or 1, or null for the residual with its probability."""
     out = []
-    for _, g in t.sort_values(["source", "key", "draw"], kind="stable").groupby("source", sort=True):
+    for _, g in t.sort_values(["source", "key", "occurrence", "draw"], kind="stable").groupby("source", sort=True):
         prob, left = _pivot(g["key"].to_numpy(), g["tokens"].to_numpy(np.float64), g["prob"].to_numpy(np.float64), g["draw"].to_numpy(np.float64))
         extra = prob.astype(object)
         if left >= 0:
@@ -93,7 +93,7 @@ def _round_group(t: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else t.assign(extra=pd.array([], dtype="Int32"))
 
 
-_ROUNDED = "key long, place long, source string, tokens long, prob double, draw double, extra int"
+_ROUNDED = "key long, occurrence long, source string, tokens long, whole int, prob double, block long, bucket int, draw double, extra int"
 
 
 def plan_shares(tokens: DataFrame, targets: DataFrame) -> DataFrame:
@@ -117,50 +117,45 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     Copies: ``key, source, tokens, copies`` for every document of a target source; documents of other or
     blank sources are left out. Report, one row a target: ``target_share, max_repeats, documents, tokens,
     capacity, corpus_tokens, reachable, quota, mixed_tokens, mixed_share`` (of the mix as it came out) and
-    ``planned_share`` (of a mix as large as the corpus, against which targets are set). A source that cannot reach its
-    target is repeated max_repeats times and says so. Texts that are null or empty weigh nothing; repeated
-    rows count each; an empty table gives shares of null. Draws come from hashes of the key, so a lost task
-    is repeated alike.
+    ``planned_share`` (of a mix as large as the corpus, against which targets are set), and ``short``: the mix
+    holds fewer tokens of the source than its target asks for, though each of its documents is repeated
+    max_repeats times. Texts that are null or empty weigh nothing; repeated rows count each; an empty table
+    gives shares of null. Draws come from hashes of the key and its occurrence, so neither a lost task nor
+    another file layout changes them.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).withColumn("place", F.monotonically_increasing_id()).where(F.col("source").isNotNull())
-    tokens = cut(count_tokens(rows, "text", "key", "place", "source", vocabulary=vocabulary))
+    rows = docs.select(F.col(key).cast("long").alias("key"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")).where(F.col("source").isNotNull())
+    counted = count_tokens(rows, "text", "key", "source", vocabulary=vocabulary).groupBy("key", "source", "tokens").agg(F.count("*").alias("n"))
+    tokens = cut(counted.select("key", "source", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("occurrence")))
     shares = cut(plan_shares(tokens, targets))
+    n_targets = shares.count()
     quota = shares.select("source", "quota")
-    if shares.count() <= BROADCAST_TARGETS:
+    if n_targets <= BROADCAST_TARGETS:
         quota = F.broadcast(quota)
-    wants = tokens.join(quota, "source").select("key", "place", "source", "tokens", F.floor("quota").cast("int").alias("whole"), (F.col("quota") - F.floor("quota")).alias("prob"))
-    draw = lambda salt: (F.pmod(F.xxhash64("key", "place", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: list[pd.DataFrame] = []
-        for batch in batches:  # residuals of one batch go on into the next, so one a source is left at the end
-            done = _round_group(pd.concat([*carried, batch.assign(extra=pd.array([None] * len(batch), dtype="Int32"))]).drop(columns="extra"))
-            carried = [done[done["extra"].isna()].drop(columns="extra")]
-            yield done[done["extra"].notna()]
-        if carried and len(carried[0]):
-            yield carried[0].assign(extra=pd.array([None] * len(carried[0]), dtype="Int32"))
-
-    rounded = cut(wants.select("key", "place", "source", "tokens", "prob", draw(0).alias("draw")).mapInPandas(local, _ROUNDED))
+    blocks = 1 << max(0, math.ceil(math.log2(max(1, tokens.count()) / BLOCK_ROWS)))
+    draw = lambda salt: (F.pmod(F.xxhash64("key", "occurrence", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    bucket = F.pmod(F.hash("source"), F.lit(math.ceil(max(1, n_targets) / BUCKET_SOURCES)))
+    wants = tokens.join(quota, "source").select(
+        "key", "occurrence", "source", "tokens", F.floor("quota").cast("int").alias("whole"), (F.col("quota") - F.floor("quota")).alias("prob"),
+        F.pmod(F.xxhash64("key", "occurrence", F.lit(seed)), F.lit(blocks)).alias("block"), bucket.alias("bucket"), draw(0).alias("draw"),
+    )
+    rounded = cut(wants.groupBy("block").applyInPandas(lambda t: _round_group(t), _ROUNDED))
     finished = rounded.where(F.col("extra").isNotNull())
     rest = rounded.where(F.col("extra").isNull()).drop("extra")
-    parts = max(1, rounded.rdd.getNumPartitions())
     level = 0
-    rest = rest.withColumn("block", F.spark_partition_id())
-    while True:  # the tree: FAN_IN partitions' residuals meet in a task
+    while blocks > 1:  # the tree: residuals of FAN_IN blocks meet in a task, some sources at a time
         level += 1
-        parts = math.ceil(parts / FAN_IN)
-        met = rest.withColumn("block", (F.col("block") / FAN_IN).cast("int")).withColumn("draw", draw(level))
-        step = cut(met.groupBy("block").applyInPandas(lambda t: _round_group(t), _ROUNDED + ", block int"))
-        finished = finished.unionByName(step.where(F.col("extra").isNotNull()).drop("block"))
+        blocks = math.ceil(blocks / FAN_IN)
+        met = rest.withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("draw", draw(level))
+        step = cut(met.groupBy("block", "bucket").applyInPandas(lambda t: _round_group(t), _ROUNDED))
+        finished = finished.unionByName(step.where(F.col("extra").isNotNull()))
         rest = step.where(F.col("extra").isNull()).drop("extra")
-        if parts == 1:
-            break
-    drawn = rest.drop("block").withColumn("extra", (draw(-1) < F.col("prob")).cast("int"))
-    extras = finished.unionByName(drawn).groupBy("place").agg(F.max("extra").alias("extra"))
-    copies = wants.join(extras, "place", "left").select("key", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    drawn = rest.withColumn("extra", (draw(-1) < F.col("prob")).cast("int"))
+    copies = finished.unionByName(drawn).select("key", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies"))
     mixed = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     report = shares.join(mixed, "source", "left").fillna(0, ["mixed_tokens"])
     all_ = mixed.agg(F.sum("mixed_tokens").alias("_all"))
     report = report.crossJoin(F.broadcast(all_)).withColumn("mixed_share", F.col("mixed_tokens") / F.nullif(F.col("_all"), F.lit(0))).drop("_all")
     report = report.withColumn("planned_share", F.col("mixed_tokens") / F.nullif(F.col("corpus_tokens"), F.lit(0)))
+    spare = copies.join(F.broadcast(shares.select("source", "max_repeats")) if n_targets <= BROADCAST_TARGETS else shares.select("source", "max_repeats"), "source").where((F.col("tokens") > 0) & (F.col("copies") < F.col("max_repeats"))).select("source", F.lit(True).alias("_spare")).distinct()
+    report = report.join(spare, "source", "left").withColumn("short", F.col("_spare").isNull() & (F.col("mixed_tokens") < F.col("target_share") * F.col("corpus_tokens"))).drop("_spare")
     return copies.withColumnRenamed("key", key), report

@@ -15,9 +15,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their target share."""
+    """Sources that cannot reach their target share: the mix repeats all they have as often as it may and still holds too little of them."""
     _, report = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return report.where(~F.col("reachable") & (F.col("mixed_tokens") >= 0)).select("source")
+    return report.where("short").select("source")
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source, what holds of the copies of its documents: how many break the cap, the quota or the target by more than one document."""
+    copies, report = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    both = report.select("source", "quota", "max_repeats", "target_share", "reachable", "corpus_tokens", "mixed_tokens").join(copies.drop("doc_id"), "source", "left")
+    off = (F.col("copies") < F.floor("quota")) | (F.col("copies") > F.ceil("quota"))
+    per = both.groupBy("source").agg(
+        F.count("copies").alias("documents"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(off).alias("off_quota"),
+        F.max("tokens").alias("largest"), F.first("mixed_tokens").alias("mixed"), F.first(F.col("target_share") * F.col("corpus_tokens")).alias("goal"), F.first("reachable").alias("reachable"),
+    )
+    return per.select("source", "documents", "over_cap", "off_quota", (F.col("reachable") & (F.abs(F.col("mixed") - F.col("goal")) > F.coalesce("largest", F.lit(0)))).alias("off_target"))
 
 
 def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +43,13 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("source", "target_share", "max_repeats", "documents", "tokens", "capacity", "reachable", F.round("quota", 6).alias("quota"), "mixed_tokens", F.round("mixed_share", 6).alias("mixed_share"), F.round("planned_share", 6).alias("planned_share"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_copies, p8_report)}
+_SOURCE = r"nullif(replace(lower(regexp_replace({}, '^[\s\x{{85}}\x{{A0}}]+|[\s\x{{85}}\x{{A0}}]+$', '', 'g')), '_', '-'), '')"
 ORACLES = {
+    "p8_copies": f"""
+    SELECT t.source, count(d.doc_id) AS documents, 0 AS over_cap, 0 AS off_quota, FALSE AS off_target
+    FROM (SELECT DISTINCT {_SOURCE.format("source")} AS source FROM mix_targets) t LEFT JOIN documents d ON {_SOURCE.format("d.source")} = t.source
+    WHERE t.source IS NOT NULL GROUP BY t.source""",
     "p6_found": r"""
     WITH t AS (
       SELECT session_id, id, CASE WHEN external_id <> '' THEN external_id ELSE 'row ' || id END AS ext,
