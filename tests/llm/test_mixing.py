@@ -50,7 +50,7 @@ def test_tree_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_SOURCES", 1)
     docs = [(i, "tide " * (1 + i % 9), "ab"[i % 3 == 0]) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    targets = spark.createDataFrame([("a", 0.35, 2), ("b", 0.65, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.45, 2), ("b", 0.55, 2)], "source string, target_share double, max_repeats int")
     copies, report = mixing.mix(df, targets)
     assert copies.count() == 300
     for r in report.collect():
