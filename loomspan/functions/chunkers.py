@@ -11,6 +11,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,19 @@ def split(text: str, separators: list[str], size: int, overlap: int) -> list[str
     return [c for c in (text[a:b].strip() for a, b in split_spans(text, separators, size, overlap)) if c]
 
 
+def spans(body: Column, size: int, overlap: int = 0) -> Column:
+    """Offsets of the pieces of a text as an array of (start, end): one for a text within the size, none for an empty one."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def cut(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            yield texts.map(lambda t: [{"start": a, "end": b} for a, b in split_spans(t, PROSE, size, overlap)])
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end")))
+    long = F.length(body) > size
+    return F.when(long, cut(F.when(long, body).otherwise(F.lit("")))).when(F.length(body) > 0, whole)
+
+
 def markdown_sections(text: str) -> list[tuple[str, str]]:
     """(heading path, text) of each section, headings up to the third level, none inside code fences."""
     path: list[str] = ["", "", ""]

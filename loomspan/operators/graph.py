@@ -45,21 +45,49 @@ def find(vertex_rows: DataFrame, words: str, limit: int = 25, labels: list[str]
     return rows.orderBy("label", "title", "gid").limit(limit)
 
 
+def relations(rows: DataFrame, ends: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """Edges ``label, src, dst`` of relations named by text: ``subject, label, object``.
+
+    An end is the vertex of that name (case and outer blanks aside) with the smallest ``rank``; relations without
+    two known ends are dropped, labels that are not allowed become RELATED_TO. ``ends``: gid, name, rank.
+    """
+    known = ends.groupBy("name").agg(F.min_by("gid", "rank").alias("gid"))
+    end = lambda c, to: known.select(F.col("name").alias(c), F.col("gid").alias(to))
+    label = F.when(F.col("label").isin(*allowed), F.col("label")).otherwise("RELATED_TO")
+    named = rows.select(label.alias("label"), *[F.lower(F.trim(c)).alias(c) for c in ("subject", "object")]).distinct()
+    return named.join(end("subject", "src"), "subject").join(end("object", "dst"), "object").select("label", "src", "dst").distinct()
+
+
 def neighbourhood(vertex_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, hops: int, labels: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """``gid, hops`` of vertices within ``hops`` steps of the seeds, edges taken both ways, breadth first.
+    """``neighbourhood_within`` without the flag."""
+    return neighbourhood_within(vertex_rows, edge_rows, seeds, hops, labels, limit)[0]
+
+
+def neighbourhood_within(vertex_rows: DataFrame, edge_rows: DataFrame, seeds: DataFrame, hops: int, labels: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """``gid, hops`` of vertices within ``hops`` steps of the seeds, edges taken both ways, breadth first; and whether some were left out.
 
-    Vertices of other labels are neither shown nor walked through. With ``limit``, the nearest (then
-    smallest) ids are kept at each hop.
+    Vertices of other labels are neither shown nor walked through; edges are narrowed to the labels asked for before
+    they are walked. With ``limit``, the nearest (then smallest) ids are kept at each hop.
     """
     if not 0 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be between 0 and {MOST_HOPS}")
     allowed = vertex_rows.where(F.col("label").isin(*labels)).select("gid") if labels else vertex_rows.select("gid")
-    links = edge_rows.select(F.col("src").alias("gid"), F.col("dst").alias("to")).unionByName(edge_rows.select(F.col("dst").alias("gid"), F.col("src").alias("to")))
+    inner = edge_rows
+    if labels:  # ids begin with their label
+        begins = lambda c: F.substring_index(c, ":", 1).isin(*labels)
+        inner = edge_rows.where(begins("src") & begins("dst"))
+    links = inner.select(F.col("src").alias("gid"), F.col("dst").alias("to")).unionByName(inner.select(F.col("dst").alias("gid"), F.col("src").alias("to")))
     seen = cut(seeds.select("gid").distinct().join(allowed, "gid", "left_semi").withColumn("hops", F.lit(0)))
+    truncated, count = False, seen.count() if limit is not None else 0
     for hop in range(1, hops + 1):
         edge = seen.where(F.col("hops") == hop - 1)
         new = links.join(edge.select("gid"), "gid", "left_semi").select(F.col("to").alias("gid")).distinct().join(allowed, "gid", "left_semi").join(seen, "gid", "left_anti")
         if limit is not None:
-            new = new.orderBy("gid").limit(max(0, limit - seen.count()))
+            room = max(0, limit - count)
+            new = cut(new.orderBy("gid").limit(room + 1))
+            found = new.count()
+            truncated |= found > room
+            new = new.orderBy("gid").limit(room)
+            count += min(found, room)
         seen = cut(seen.unionByName(new.withColumn("hops", F.lit(hop))))
-    return seen
+    return seen, truncated

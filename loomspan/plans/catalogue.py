@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import corpus, documents, enrich, hierarchy, knowledge, search, text
+from loomspan.plans import corpus, documents, enrich, hierarchy, knowledge, records, search, text
 
-MODULES = (search, corpus, text, documents, enrich, knowledge, hierarchy)
+MODULES = (search, corpus, text, documents, enrich, knowledge, hierarchy, records)
 
 
 def queries() -> dict:
