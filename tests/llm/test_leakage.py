@@ -1,6 +1,6 @@
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import leakage, queries_text
 from loomspan.llm.words import words
@@ -43,15 +43,28 @@ def test_reparameterised(spark):
     assert found[1] == "reparameterised" and found[3] == "exact"
 
 
-def test_both_kinds_are_put_out_and_names_are_never_dropped(spark, tmp_path, monkeypatch):
+def test_both_kinds_are_put_out_and_names_are_never_dropped(spark, tmp_path):
     item = "If Anna buys 12 apples and Bert buys 7 apples how many apples are there when Anna gives 3 away today"
     d, i = data(spark, [(1, item.replace("Anna", "Clara").replace("Bert", "Dora")), (3, item)], [(9, "Now " + item + " for Clara and Dora")])
     d.write.parquet(str(tmp_path / "documents.parquet"))
     i.write.parquet(str(tmp_path / "eval_items.parquet"))
     assert {r.doc_id: r.kind for r in queries_text.QUERIES["p7_leaks"](spark, str(tmp_path)).collect()} == {1: "reparameterised", 3: "exact"}
-    monkeypatch.setattr(leakage, "NAMES", 1)
-    with pytest.raises(ValueError):
-        leakage.leaks(d, i)
+    rows = lambda **o: sorted(map(str, leakage.leaks(d, i, **o).collect()))
+    assert rows(broadcast_names=1) == rows() == rows(broadcast_names=1, broadcast_windows=1)
+
+
+def test_tables_of_numbers_stay_linear(spark):
+    """Windows of numbers alone meet only their equals, however many there are."""
+    rnd = random.Random(8)
+    numbers = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    docs = [(d, numbers(2000)) for d in range(20)]
+    items = [(k, numbers(2000)) for k in range(10)] + [(99, docs[4][1][-140:])]
+    d, i = data(spark, docs, items)
+    w = leakage._windows(d.selectExpr("doc_id as id", "text"), set(), None, 10).select("window_hash", "id")
+    v = leakage._windows(i.selectExpr("item_id as id", "text"), set(), None, 10).select("window_hash", F.col("id").alias("item"))
+    met = w.join(v, "window_hash")
+    assert {(r.id, r.item) for r in met.collect()} == {(4, 99)} and met.count() < 40
+    assert [(r.doc_id, r.item_id, r.kind) for r in leakage.leaks(d, i).collect()] == [(4, 99, "exact")]
 
 
 def test_empty(spark):
