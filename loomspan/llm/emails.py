@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 import xxhash
 
 from loomspan.llm.boosting import Trees
+from loomspan.llm.sampling import drawn
 from loomspan.session import cut, shuffle_width
 
 #: Mails whose blocks the models are fitted on (drawn by a hash of the id).
@@ -297,7 +298,7 @@ def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32()))], ["row"])
 
     share = min(1.0, train_mails / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = known.where(drawn(share, 3, "id")).limit(2 * train_mails)
     taught = sample.mapInArrow(rows_of, "row array<float>").toArrow().column("row").to_pylist()
     model = Model(np.array(taught, np.float32).reshape(-1, FEATURES))
     shared = messages.sparkSession.sparkContext.broadcast(model)

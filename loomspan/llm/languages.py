@@ -11,7 +11,6 @@ a first fit the sample is labelled again by the model, and the transitions are l
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 import xxhash
+from loomspan.llm.sampling import drawn
 
 #: Labelled documents the field is fitted on, at most (about; drawn by hash).
 TRAIN_DOCUMENTS = 4_000
@@ -295,8 +295,8 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tag: s
     counts = {r.label: r.n for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a language
     all_, least = sum(counts.values()), train_documents // (2 * len(LANGUAGES))  # half in proportion, half alike
     quota = {c: max(least, train_documents // 2 * n // all_) for c, n in counts.items()}
-    share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(math.ceil(min(1.0, quota[c] / n) * (1 << 20))))]) if counts else None
-    sample = taught.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < F.element_at(share, F.col("label"))).select("label", F.substring("text", 1, TRAIN_WORDS * 12).alias("text")).toArrow().to_pydict() if counts else {"text": [], "label": []}
+    share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, quota[c] / n)))]) if counts else None
+    sample = taught.where(drawn(F.element_at(share, F.col("label")), 5, "key")).limit(2 * train_documents).select("label", F.substring("text", 1, TRAIN_WORDS * 12).alias("text")).toArrow().to_pydict() if counts else {"text": [], "label": []}
     order = np.argsort([xxhash.xxh64_intdigest(t) for t in sample["text"]], kind="stable")  # the same whatever order rows arrive in
     field = fit([sample["text"][i] for i in order], [sample["label"][i] for i in order])
     shared = docs.sparkSession.sparkContext.broadcast(field)

@@ -1,7 +1,8 @@
 """The most similar vectors for every vector, by additive quantisation.
 
 A vector is the sum of one codeword of each of several full-dimensional codebooks. The first book (one
-codeword a cell, about the square root of the rows) places vectors; the others code the residual by beam
+codeword a cell, about the square root of the rows; above ``COARSE_CELLS`` sums of two codewords) places vectors;
+the others code the residual by beam
 search. Vectors meet others of their own cell and of the next cells (``probes``) only, by default more of them
 the more cells there are. There the queries'
 lookup tables score all codes of a block, corrected by the stored norms, and the best are reranked by the
@@ -22,11 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 import xxhash
 
-from loomspan.session import cut
+from loomspan.llm.sampling import drawn
+from loomspan.session import cut, shuffle_width
 
-#: Rows the books are fitted on, at most (about; drawn by hash).
+#: Rows the books are fitted on (about; drawn by hash, twice as many at most).
 SAMPLE_ROWS = 32_768
-MAX_CELLS = 2_048
+#: Codewords of the first book that the sample can tell apart; beyond, a second book of cells is added to each of them.
+COARSE_CELLS = 2_048
+#: Rows one task compares, about (330 bytes each).
+TASK_ROWS = 150_000
 #: Residual books, codewords in each, partial codes kept in the beam search.
 BOOKS, WORDS, BEAM = 4, 256, 4
 #: Candidates of each query in a block that are reranked exactly, for each neighbour wanted; weakly similar ones need many.
@@ -81,9 +86,13 @@ def _means(x: np.ndarray, k: int, rnd: np.random.Generator, rounds: int = 8) ->
 class Books:
     """Codebooks: ``cells`` and the residual books."""
 
-    def __init__(self, sample: np.ndarray, cells: int, books: int = BOOKS, words: int = WORDS, seed: int = 5):
+    def __init__(self, sample: np.ndarray, cells: int, books: int = BOOKS, words: int = WORDS, seed: int = 5, coarse: int = COARSE_CELLS):
         rnd = np.random.default_rng(seed)
-        self.cells = _means(sample, cells, rnd)
+        self.cells = _means(sample, max(1, min(cells, coarse, len(sample) // 8)), rnd)
+        finer = -(-cells // len(self.cells))
+        if finer > 1 and len(sample) > 8:
+            added = _means(sample - self.cells[_nearest(sample, self.cells)[:, 0]], min(finer, max(1, len(sample) // 8)), rnd)
+            self.cells = (self.cells[:, None, :] + added[None, :, :]).reshape(-1, sample.shape[1])
         rest = sample - self.cells[_nearest(sample, self.cells)[:, 0]]
         left, self.books, codes = rest.copy(), [], []
         for _ in range(books):
@@ -109,7 +118,8 @@ class Books:
         self.books = [solved[a:b].astype(np.float32) for a, b in zip(starts, starts[1:])]
 
     def place(self, x: np.ndarray, k: int) -> np.ndarray:
-        return _nearest(x, self.cells, k)
+        step = max(1, (1 << 22) // len(self.cells))
+        return np.concatenate([_nearest(x[s : s + step], self.cells, k) for s in range(0, len(x), step)]) if len(x) else np.zeros((0, min(k, len(self.cells))), np.int64)
 
     def encode(self, x: np.ndarray, cell: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes by beam search, and the norms of what they stand for."""
@@ -143,14 +153,18 @@ class Books:
 def fit(df: DataFrame, key: str, vector: str, width: int, rows: int, sample_rows: int = SAMPLE_ROWS) -> Books | None:
     """Books from about ``sample_rows`` rows, drawn by a hash of the key; null if no vector is usable."""
     share = min(1.0, sample_rows / max(rows, 1))
-    drawn = df.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(F.col(vector).cast("array<float>").alias("v"))
-    sample = unit_rows(drawn.toArrow().column("v"), width)[1]
+    rows_drawn = df.where(drawn(share, 11, key)).select(F.col(vector).cast("array<float>").alias("v")).limit(2 * sample_rows)
+    sample = unit_rows(rows_drawn.toArrow().column("v"), width)[1]
     if not len(sample) and share < 1:
         sample = unit_rows(df.select(F.col(vector).cast("array<float>").alias("v")).limit(2 * sample_rows).toArrow().column("v"), width)[1]
     if not len(sample):
         return None
-    cells = max(1, min(MAX_CELLS, int(0.7 * math.sqrt(rows)), len(sample) // 8))
-    return Books(sample, cells)
+    return Books(sample, cells_for(rows) if rows > 8 * len(sample) else max(1, min(cells_for(rows), len(sample) // 8)))
+
+
+def cells_for(rows: int) -> int:
+    """Cells of an index: they grow with the rows, so that the rows each vector is compared with grow with their root."""
+    return max(1, int(0.7 * math.sqrt(rows)))
 
 
 def _distinct(ids: np.ndarray, x: np.ndarray, keep: int):
@@ -277,7 +291,9 @@ def neighbours(df: DataFrame, key: str, vector: str, *, k: int = 10, width: int
         return pa.table([pa.array(a[best]), pa.array(b[best]), pa.array(sim[best])], ["a", "b", "similarity"])
 
     met = rows.mapInArrow(spread, "cell int, block int, salt int, class long, x binary, codes binary, norm float")
-    pairs = met.groupBy("cell", "block", "salt").applyInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    spread_rows = (sizes[:, 0] * salts + sizes[:, 0] * (blocks - 1) // 2 + sizes[:, 1] * blocks).sum()
+    tasks = max(shuffle_width(df.sparkSession), int(-(-spread_rows // TASK_ROWS)))  # as many as keep each within TASK_ROWS
+    pairs = met.repartition(tasks, "cell", "block", "salt").groupBy("cell", "block", "salt").applyInArrow(compare, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     pairs = cut(pairs)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     rank = lambda by, then: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("similarity"), then))

@@ -20,8 +20,20 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.neighbours(table(spark, sf_dir, "emb_quill"), "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest}
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for those whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "emb_quill")
+    found = nn.search(rows, rows.where(F.col("chunk_id") % 100 == 0), "chunk_id", "embedding", rerank=100)
+    return found.select(F.col("id").alias("chunk_id"), "neighbour")
+
+
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p5_search": p5_search}
 ORACLES = {
+    "p5_search": """
+    WITH v AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM emb_quill WHERE length(embedding) = 64
+      AND length(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(embedding, lambda x: x <> 0)) > 0)
+    SELECT a.chunk_id, b.chunk_id AS neighbour FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.chunk_id) <= 10""",
     "p5_found": """
     WITH v AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM emb_quill WHERE length(embedding) = 64
       AND length(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(embedding, lambda x: x <> 0)) > 0),
