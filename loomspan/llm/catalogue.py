@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.llm import queries_messages, queries_more, queries_text, queries_vectors
+from loomspan.llm import queries_holds, queries_messages, queries_more, queries_text, queries_vectors
 
-MODULES = (queries_text, queries_messages, queries_more, queries_vectors)
+MODULES = (queries_text, queries_messages, queries_more, queries_vectors, queries_holds)
 
 
 def queries() -> dict:

@@ -1,10 +1,12 @@
 """Quoted history, signatures and disclaimers in mails.
 
-A mail is cut into quoted stretches (by quote marks, introducing lines and header blocks) and blocks of other
-lines. Two boosted-tree models tell blocks that are signatures or disclaimers from new text, by contact
-density, quote depth around the block, how often the sender writes its lines, how many of its lines stand in
-earlier mails of the thread, and the wording. They are fitted on blocks of at most ``TRAIN_MAILS`` mails
-that labelling rules are sure of; statistics of lines cover all mails.
+A mail is cut into paragraphs, at blank lines, at changes of quote depth and where a signature may open. Three
+boosted-tree models tell what a paragraph is: quoted, a signature, a disclaimer or new. Quotes are told by depth,
+bars, introducing lines and headers in and before the paragraph, contact density and how often the sender writes
+its lines; signatures and disclaimers by contact density, quote depth around, sender frequency, ancestor overlap and
+wording. The quote model learns from lines that another sender wrote earlier in the thread, which its features do
+not see; where the thread tells nothing, from how the mail is marked. The other two are fitted on paragraphs that
+labelling rules are sure of. All are fitted on at most ``TRAIN_MAILS`` mails; statistics of lines cover all mails.
 """
 
 from __future__ import annotations
@@ -172,7 +174,69 @@ def _opens(line: str) -> bool:
     return bool(_RULE.match(line) or _SIGN_OFF.match(line) or _AUTO.match(line) or _POST.match(line) or legal_words(line) >= 2 and re.match(r"\W*(?:[A-Z]|[А-Я])", line))
 
 
-FEATURES = 24
+FEATURES, QUOTE_FEATURES = 24, 15
+#: Characters from which a line says whose it is; shorter ones stand in too many mails.
+TELLING = 12
+
+
+def paragraphs(lines: list[str], out: list[bool], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """All lines as (start, end): blocks that are not marked as quoted as they are, the others cut at blank lines and changes of depth."""
+    parts, start, depth = [], None, 0
+    for i in range(len(lines) + 1):
+        inside = i < len(lines) and out[i] and lines[i].strip()
+        now = quote_depth(lines[i]) if inside else 0
+        if start is not None and (not inside or now != depth):
+            parts.append((start, i))
+            start = None
+        if inside and start is None:
+            start, depth = i, now
+    return sorted(parts + [(a, b) for a, b, _ in found])
+
+
+def quote_depth(line: str) -> int:
+    depth = 0
+    while m := _ANGLE.match(line):
+        depth, line = depth + 1, line[m.end() :]
+    return depth
+
+
+def quote_features(lines: list[str], out: list[bool], parts: list[tuple[int, int]], often: list[int]) -> np.ndarray:
+    """One row a paragraph, of what the mail itself shows."""
+    rows = np.zeros((len(parts), QUOTE_FEATURES), np.float32)
+    n_lines, under, lead = max(1, len(lines)), False, -9
+    for k, (a, b) in enumerate(parts):
+        part = [x.strip() for x in lines[a:b]]
+        n = len(part)
+        intro = sum(x.endswith(":") and len(x) < 300 and bool(_INTRO.match(x) or _INTRO_END.search(x)) for x in part)
+        heads = sum(bool(_BANNER.match(x) or _FROM.match(x) or _NEXT.match(x)) for x in part)
+        depth = sum(map(quote_depth, part)) / n
+        rows[k] = (
+            depth, sum(bool(_ANGLE.match(x)) for x in part) / n, sum(bool(_BAR.match(x)) for x in part) / n, sum(out[a:b]) / n, intro, heads / n, a - lead <= 3, under, sum(map(has_contact, part)) / n,
+            sum(math.log1p(often[i]) for i in range(a, b)) / n, n, sum(map(len, part)) / n, a / n_lines, k > 0 and out[parts[k - 1][0]], k + 1 < len(parts) and out[parts[k + 1][0]],
+        )
+        if intro or heads:
+            lead = b
+        under = under or any(_BANNER.match(x) for x in part) or any(_FROM.match(lines[i]) and _header(lines, i) for i in range(a, b))
+    return rows
+
+
+def thread_labels(lines: list[str], out: list[bool], parts: list[tuple[int, int]], others: list[bool], old: list[bool]) -> np.ndarray:
+    """1 for paragraphs that another sender wrote earlier in the thread, 0 for those nobody did, else as the mail is marked.
+
+    Only a mail that holds some line of another sender says anything about the paragraphs without one.
+    """
+    knows = any(others)
+    labels = np.zeros(len(parts), np.float32)
+    for k, (a, b) in enumerate(parts):
+        told = [i for i in range(a, b) if len(bare(lines[i])) >= TELLING]
+        share = sum(others[i] for i in told) / len(told) if told else 0.0
+        if share >= 0.5:
+            labels[k] = 1
+        elif told and knows and not any(old[i] for i in told) and not any(out[a:b]):
+            labels[k] = 0
+        else:
+            labels[k] = sum(out[a:b]) * 2 >= b - a
+    return labels
 
 
 def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]], old: list[bool], often: list[int], sender: str) -> np.ndarray:
@@ -223,12 +287,18 @@ def sure(rows: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, rows: np.ndarray):
+    """Three models; ``quotes`` holds the features of paragraphs and, last, their labels."""
+
+    def __init__(self, rows: np.ndarray, quotes: np.ndarray):
+        self.quote = Trees().fit(quotes[:, :-1], quotes[:, -1].astype(float))
         label = sure(rows)
         kept = label >= 0
-        self.signature = Trees().fit(rows[kept], (label[kept] == 1).astype(float))
+        self.signature = Trees(rounds=80, depth=4).fit(rows[kept], (label[kept] == 1).astype(float))
         self.disclaimer = Trees().fit(rows[kept], (label[kept] == 2).astype(float))
 
+    def quoted(self, quotes: np.ndarray) -> np.ndarray:
+        return self.quote.predict(quotes) >= 0.5 if len(quotes) else np.zeros(0, bool)
+
     def kinds(self, rows: np.ndarray) -> np.ndarray:
         if not len(rows):
             return np.zeros(0, int)
@@ -241,10 +311,10 @@ def split_lines(body: str) -> list[str]:
 
 
 def line_statistics(mails: DataFrame) -> DataFrame:
-    """Per mail: ``old`` and ``often`` of each of its lines, as arrays by line.
+    """Per mail: ``old``, ``others`` and ``often`` of each of its lines, as arrays by line.
 
     ``old``: the text of the line (without quote marks) stands in an earlier mail of the thread; copies of the
-    same mail do not count. ``often``: in how many mails of the sender it stands unquoted. Input columns:
+    same mail do not count. ``others``: and another sender was the first to write it, and no other thread holds it. ``often``: in how many mails of the sender it stands unquoted. Input columns:
     ``id, thread, mail, sender, sent, body``.
     """
 
@@ -261,65 +331,80 @@ def line_statistics(mails: DataFrame) -> DataFrame:
     flat = mails.mapInArrow(hashes, "id long, thread long, mail long, sender long, sent long, hashes array<long>, marked array<boolean>")
     lines = flat.select("id", "thread", "mail", "sender", "sent", F.posexplode(F.arrays_zip("hashes", "marked")).alias("line", "z")).select("id", "thread", "mail", "sender", "sent", "line", F.col("z.hashes").alias("h"), F.col("z.marked").alias("marked")).where(F.col("h").isNotNull())
     lines = cut(lines)
-    first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail")).alias("first"))
-    often = lines.where(~F.col("marked")).groupBy("sender", "h").agg(F.approx_count_distinct("mail").alias("often")).where("often > 1")
-    known = lines.join(first, ["thread", "h"]).select("id", "line", "sender", "h", ((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail"))).alias("old"))
-    full = known.join(often, ["sender", "h"], "left").select("id", F.struct("line", "old", F.coalesce("often", F.lit(1)).cast("int").alias("often")).alias("l"))
+    first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail", "sender")).alias("first"))
+    common = first.groupBy("h").agg(F.count("*").alias("threads")).where("threads > 1").select("h", F.lit(True).alias("common"))  # says nothing of who is quoted
+    first = first.join(common, "h", "left")
+    often = lines.where(~F.col("marked")).groupBy("sender", "h", "mail").agg(F.lit(1).alias("one")).groupBy("sender", "h").agg(F.sum("one").alias("often")).where("often > 1")
+    known = lines.join(first, ["thread", "h"]).select("id", "line", "sender", "h", ((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail"))).alias("old"), F.when(F.col("common").isNull(), F.col("first.sender")).alias("_by"))
+    full = known.join(often, ["sender", "h"], "left").select("id", F.struct("line", "old", F.coalesce(F.col("old") & (F.col("_by") != F.col("sender")), F.lit(False)).alias("others"), F.coalesce("often", F.lit(1)).cast("int").alias("often")).alias("l"))
     part = lambda c: F.transform("stats", lambda x: x[c]).alias(c)
-    return full.groupBy("id").agg(F.collect_list("l").alias("stats")).select("id", part("line"), part("old"), part("often"))
+    return full.groupBy("id").agg(F.collect_list("l").alias("stats")).select("id", part("line"), part("old"), part("others"), part("often"))
 
 
-def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS) -> DataFrame:
-    """Every non-blank line of each mail with its kind: ``id, line_no, kind`` (new, quote, signature, disclaimer).
+def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS, with_text: bool = False) -> DataFrame:
+    """Every non-blank line of each mail with its kind: ``id, line_no, kind`` (new, quote, signature, disclaimer), and ``line`` itself where asked for.
 
     Input: ``id, thread, mail`` (any key of the mail that its copies share), ``sender, sender_name, sent,
     body``. Null and empty bodies give no rows; a repeated row gives its lines once; mails sent at the same
     time do not count as earlier than each other. Other columns are ignored.
     """
-    mails = messages.select(F.col("id").cast("long").alias("id"), F.col("thread").cast("long").alias("thread"), F.xxhash64("thread", "mail").alias("mail"), F.coalesce(F.col("sender").cast("long"), F.lit(-1)).alias("sender"), F.unix_micros(F.col("sent").cast("timestamp")).alias("sent"), F.col("sender_name").cast("string").alias("sender_name"), "body")
+    mails = messages.select(F.col("id").cast("long").alias("id"), F.col("thread").cast("long").alias("thread"), F.xxhash64("thread", "mail").alias("mail"), F.coalesce(F.col("sender").cast("long"), -F.abs(F.xxhash64("thread")) - 1).alias("sender"), F.unix_micros(F.col("sent").cast("timestamp")).alias("sent"), F.col("sender_name").cast("string").alias("sender_name"), "body")
     mails = mails.where(F.col("id").isNotNull() & (F.length("body") > 0)).dropDuplicates(["id"])
     width = shuffle_width(messages.sparkSession)  # set, or the adaptive join would leave parsing to a few tasks
     known = cut(mails.select("id", "sender_name", "body").repartition(width, "id").join(line_statistics(mails.drop("sender_name")), "id"))
 
-    def parse(body: str, places: list[int], olds: list[bool], counts: list[int], name: str):
+    def parse(body: str, places: list[int], olds: list[bool], by_others: list[bool], counts: list[int], name: str):
         lines = split_lines(body)
-        old, often = [False] * len(lines), [0] * len(lines)
-        for i, o, n in zip(places, olds, counts):
-            old[i], often[i] = bool(o), n
+        old, others, often = [False] * len(lines), [False] * len(lines), [0] * len(lines)
+        for i, o, x, n in zip(places, olds, by_others, counts):
+            old[i], others[i], often[i] = bool(o), bool(x), n
         out = quoted(lines, old)
         found = blocks(lines, out)
-        return lines, out, found, features(lines, out, found, old, often, name or "")
+        parts = paragraphs(lines, out, found)
+        return lines, found, features(lines, out, found, old, often, name or ""), parts, quote_features(lines, out, parts, often), lambda: thread_labels(lines, out, parts, others, old)
 
-    fields = ("body", "line", "old", "often", "sender_name")
+    fields = ("body", "line", "old", "others", "often", "sender_name")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for x in zip(*(batch.column(c).to_pylist() for c in fields)) for r in parse(*x)[3].tolist()]
+            rows = []
+            for x in zip(*(batch.column(c).to_pylist() for c in fields)):
+                _, _, blocks_, _, quotes, labels = parse(*x)
+                rows += blocks_.tolist() + np.column_stack([quotes, labels()]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32()))], ["row"])
 
     share = min(1.0, train_mails / max(1, known.count()))
     sample = known.where(drawn(share, 3, "id")).limit(2 * train_mails)
     taught = sample.mapInArrow(rows_of, "row array<float>").toArrow().column("row").to_pylist()
-    model = Model(np.array(taught, np.float32).reshape(-1, FEATURES))
+    of = lambda width: np.array([r for r in taught if len(r) == width], np.float32).reshape(-1, width)
+    model = Model(of(FEATURES), of(QUOTE_FEATURES + 1))
     shared = messages.sparkSession.sparkContext.broadcast(model)
     names = ("new", "quote", "signature", "disclaimer")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [parse(*x) for x in zip(*(batch.column(c).to_pylist() for c in fields))]
-            kinds = shared.value.kinds(np.concatenate([p[3] for p in parsed])).tolist() if parsed else []
-            ids, at, what, k = [], [], [], 0
-            for key, (lines, out, found, _) in zip(batch.column("id").to_pylist(), parsed):
-                kind = [QUOTE if q else NEW for q in out]
+            kinds = shared.value.kinds(np.concatenate([p[2] for p in parsed])).tolist() if parsed else []
+            marked = shared.value.quoted(np.concatenate([p[4] for p in parsed])).tolist() if parsed else []
+            ids, at, what, texts, k, q = [], [], [], [], 0, 0
+            for key, (lines, found, _, parts, *_) in zip(batch.column("id").to_pylist(), parsed):
+                kind = [NEW] * len(lines)
                 for start, end, _ in found:
                     kind[start:end] = [kinds[k]] * (end - start)
                     k += 1
+                for start, end in parts:
+                    if marked[q]:
+                        kind[start:end] = [QUOTE] * (end - start)
+                    q += 1
                 for i, x in enumerate(lines):
                     if x.strip():
                         ids.append(key), at.append(i + 1), what.append(names[kind[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(what, pa.string())], ["id", "line_no", "kind"])
+                        if with_text:
+                            texts.append(x)
+            columns, named = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(what, pa.string())], ["id", "line_no", "kind"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, named + ["line"] * with_text)
 
-    return known.mapInArrow(label, "id long, line_no int, kind string")
+    return known.mapInArrow(label, "id long, line_no int, kind string" + ", line string" * with_text)
 
 
 def mails_of(messages: DataFrame, conversations: DataFrame, authors: DataFrame) -> DataFrame:
@@ -331,9 +416,8 @@ def mails_of(messages: DataFrame, conversations: DataFrame, authors: DataFrame)
     return rows.join(threads, "thread", "left_semi").join(people.dropDuplicates(["sender"]), "sender", "left")
 
 
-def new_text(messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, body``: each mail reduced to the lines its sender newly wrote; empty where there are none."""
-    lines = messages.select("id", F.posexplode(F.split("body", "\n")).alias("at", "line")).withColumn("line_no", F.col("at") + 1)
-    kept = lines.join(labels.where("kind = 'new'").select("id", "line_no"), ["id", "line_no"])
+def new_text(messages: DataFrame, **options) -> DataFrame:
+    """``id, body``: each mail reduced to the non-blank lines its sender newly wrote; empty where there are none."""
+    kept = classify(messages, with_text=True, **options).where("kind = 'new'")
     text = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return messages.select("id").distinct().join(text, "id", "left").select("id", F.coalesce("body", F.lit("")).alias("body"))

@@ -184,6 +184,13 @@ _AFTER = re.compile(rf"\s?,{_BETWEEN}?({_TITLE})([^\W\d_][\w'-]*)(\.?)")
 _SECOND = re.compile(rf"{_BETWEEN}([^\W\d_]\.)")
 _BEFORE = re.compile(rf"({_TITLE})(?<![\w.@-])([^\W\d_][\w'-]*)(\.?){_BETWEEN}((?:[^\W\d_]\.?{_BETWEEN})?)((?:(?i:{'|'.join(PARTICLES)}){_BETWEEN}){{0,2}})$")
 
+# People who stand in no table: named after a title, before their mail address, or by themselves.
+_NAME_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’-][A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)*"
+_FULL_NAME = rf"{_NAME_WORD}(?: [A-ZÀ-ÖØ-Þ]\.)? (?:(?:{'|'.join(PARTICLES)}) )*{_NAME_WORD}"
+FORMAL = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Madame", "Señor", "Señora", "Sr", "Sra")
+INTRODUCED = ("my name is", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "i am called", "mijn naam is", "meu nome é")
+_IN_CONTEXT = re.compile(rf"(?<!\w)(?:(?:{'|'.join(FORMAL)})\.? {_FULL_NAME}|{_FULL_NAME}(?= <[^<>\s]+@)|(?i:{'|'.join(INTRODUCED)}) ({_FULL_NAME}))")
+
 
 def fold_name(word: str) -> str:
     """A name word without case and marks (ø and ß too)."""
@@ -219,7 +226,7 @@ class Names:
 class Detector:
     def __init__(self, names: Names):
         keys = ahocorasick.Automaton()
-        for kind, words in (("box", BOXES), ("cue", [c for c in CUES if c not in SHORT_CUES]), ("street", [w for w in STREETS if len(w) > 3] + SHORT_STREETS), ("end", STREET_ENDS), ("start", STREET_STARTS), ("tel", TEL_WORDS), ("dot", DISGUISES), ("digit", [w for w in DIGIT_WORDS if len(w) > 2])):
+        for kind, words in (("box", BOXES), ("cue", [c for c in CUES if c not in SHORT_CUES]), ("street", [w for w in STREETS if len(w) > 3] + SHORT_STREETS), ("end", STREET_ENDS), ("start", STREET_STARTS), ("tel", TEL_WORDS), ("dot", DISGUISES), ("who", [*(t.lower() + end for t in FORMAL for end in (" ", ". ")), *INTRODUCED, " <"]), ("digit", [w for w in DIGIT_WORDS if len(w) > 2])):
             for w in words:
                 keys.add_word(w, keys.get(w, ()) + ((kind, len(w)),))
         keys.make_automaton()
@@ -328,6 +335,8 @@ class Detector:
         if digits_left and (seen & {"street", "end", "start", "box"} or digits_left >= 5 and _POSTCODE.search(text)):
             found["address"] = [m.span() for m in _ADDRESS.finditer(text)] + [m.span() for m in _CEDEX.finditer(text)]
         found["name"] = self._names(text, Spans(found["email"]))
+        if "who" in seen:
+            found["name"] += [m.span(1) if m[1] else m.span() for m in _IN_CONTEXT.finditer(text)]
         spans, used = [], Spans()
         for kind in ORDER:
             for a, b in sorted(found[kind]):

@@ -36,7 +36,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mail reduced to the lines its sender newly wrote."""
     mails = emails.mails_of(*(table(spark, sf_dir, t) for t in ("messages", "conversations", "authors")))
-    return emails.new_text(mails, emails.classify(mails)).withColumnRenamed("id", "message_id")
+    return emails.new_text(mails).withColumnRenamed("id", "message_id")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_new_text)}

@@ -36,6 +36,12 @@ def test_cases(detector, text, expected):
     assert detector.find(text) == spans
 
 
+def test_people_of_no_table(detector):
+    text = "Mr. Adam Quillfeather wrote, Zora Finch <z@finch.example> answered: my name is Ole van Brunn. Dr Who met Frau Berg, Adam Quill and Mr Fox."
+    redacted, _ = detector.redact(text)
+    assert redacted == "[NAME] wrote, [NAME] <[EMAIL]> answered: my name is [NAME]. Dr Who met Frau Berg, Adam Quill and Mr Fox."
+
+
 def test_names_behind_one_in_an_address(detector):
     """The first name of the text lies inside an address and is none; the later one counts."""
     for text in ("Parcel for 12 Mill Lane, Lena Wexholme, and by hand to Tomás Wexholme.", "We went to 12 Lena Wexholme Street. then we saw Tomás Wexholme."):
