@@ -28,30 +28,62 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
-    def search(self, query: str, mode: str = "hybrid", limit: int = 10, classes: Sequence[str] = (), tiers: Sequence[str] = (), sources: Sequence[str] = (), distance: str = "cosine") -> DataFrame:
-        """Hits for a query: ``chunk_id, score, matched_by, title, snippet``. A blank query has none."""
+    def chunks(self, within: str, filters: search.Filters, author: str = "", direction: str | None = None) -> DataFrame:
+        """What is searched: ``chunk_id, text, title`` of documents, messages or turns."""
+        if within == "documents":
+            if author or direction:
+                raise ValueError("documents have no author or direction; search messages or turns")
+            return filters.apply(self.table("documents")).select(F.col("doc_id").alias("chunk_id"), "text", "title")
+        if within == "messages":
+            rows = self.table("messages").select("id", "author_id", F.col("body").alias("text"), F.get_json_object("meta", "$.subject").alias("title"), F.col("conversation_id").alias("_of"))
+            of = self.table("conversations").select(F.col("id").alias("_of"), "source_id")
+        elif within == "turns":
+            rows = self.table("session_turns").select("id", "author_id", "direction", F.col("content").alias("text"), F.col("role").alias("title"), F.col("session_id").alias("_of"))
+            of = self.table("sessions").select(F.col("id").alias("_of"), "source_id")
+        else:
+            raise ValueError(f"unknown corpus {within!r}")
+        rows = search.written_by(rows, self.table("authors"), author, direction)
+        if filters.sources is not None:
+            rows = rows.join(of.join(filters.sources, "source_id", "left_semi"), "_of", "left_semi")
+        rows = rows.select(F.col("id").alias("chunk_id"), "text", "title")
+        return filters.policy(rows) if filters.policy else rows
+
+    def search(self, query: str, mode: str = "hybrid", limit: int = 10, classes: Sequence[str] = (), tiers: Sequence[str] = (), sources: Sequence[str] = (), distance: str = "cosine", *, within: str = "documents", author: str = "", direction: str | None = None, links: DataFrame | None = None, binary: bool = False, facts: bool = False) -> DataFrame:
+        """Hits for a query: ``chunk_id, score, matched_by, title, snippet``. A blank query has none.
+
+        ``links`` (doc_id, source_id) widens ``sources``; ``author`` and ``direction`` filter messages and turns;
+        ``binary`` finds vectors by their signs first and reranks them; ``facts`` lets fact vectors compete, their ids
+        come out as -1 - id, without title and snippet.
+        """
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; choose one of {', '.join(MODES)}")
         if not query.strip():
             return self.spark.createDataFrame([], "chunk_id long, score double, matched_by string, title string, snippet string")
         wanted = self.table("sources").where(F.col("slug").isin(*sources)).select(F.col("id").alias("source_id")) if sources else None
-        docs = search.Filters(classes, tiers, wanted, self.policy).apply(self.table("documents"))
-        chunks = docs.select(F.col("doc_id").alias("chunk_id"), "text")
+        found = self.chunks(within, search.Filters(classes, tiers, wanted, links, self.policy), author, direction)
         none = self.spark.createDataFrame([], "chunk_id long, vec_rank int, fts_rank int")
         vec, text = none.select("chunk_id", "vec_rank"), none.select("chunk_id", "fts_rank")
-        if mode != "fts":
+        if mode != "fts" and within == "documents":
             if self.embed is None:
                 raise ValueError("vector search needs an embedder")
-            stored = self.table("emb_quill").where(vectors.usable(F.col("embedding"), self.width)).select("chunk_id", "embedding")
-            vec = search.near(stored.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), self.embed(query), distance)
+            stored = self.table("emb_quill").where(vectors.usable(F.col("embedding"), self.width)).select("chunk_id", "embedding").join(found.select("chunk_id"), "chunk_id", "left_semi").withColumn("part", F.lit(0))
+            if facts:
+                own = self.table("embeddings").where(vectors.usable(F.col("embedding"), self.width))
+                stored = stored.unionByName(own.select((-1 - F.col("vec_id")).alias("chunk_id"), "embedding", F.lit(1).alias("part")))
+            asked = self.embed(query)
+            vec = search.near_binary(stored, asked, self.width) if binary else search.near(stored.drop("part"), asked, distance)
         if mode != "vector":
             parsed = fts.parse(query)
             words = sorted({w for terms in parsed for negated, ws in terms if not negated for w in ws})
-            found = chunks.where(fts.matches(fts.tokens(F.col("text")), parsed))
-            text = search.mentioning(found, words) if words else text
+            matching = found.where(fts.matches(fts.tokens(F.col("text")), parsed))
+            text = search.mentioning(matching.select("chunk_id", "text"), words) if words else text
         hits = search.fuse(vec, text, limit)
-        about = docs.select(F.col("doc_id").alias("chunk_id"), "title", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("snippet"))
-        return about.join(F.broadcast(hits), "chunk_id").select("chunk_id", "score", "matched_by", "title", "snippet").orderBy(F.desc("score"), "chunk_id")
+        about = found.select("chunk_id", "title", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("snippet"))
+        out = about.join(F.broadcast(hits), "chunk_id").select("chunk_id", "score", "matched_by", "title", "snippet")
+        if facts:
+            nothing = F.lit(None).cast("string")
+            out = out.unionByName(hits.where("chunk_id < 0").select("chunk_id", "score", "matched_by", nothing.alias("title"), nothing.alias("snippet")))
+        return out.orderBy(F.desc("score"), "chunk_id")
 
     def get_document(self, doc_id: int, most: int = 100_000) -> DataFrame:
         d = self.policy(self.table("documents")) if self.policy else self.table("documents")

@@ -133,6 +133,27 @@ def postings(df, key: str, words: Column):
     return flat.groupBy(key, "lexeme").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
+def stemmed_counts(df, key: str, text: str, wanted: list[str]):
+    """``key, rank`` of texts that hold a word of a wanted stem: for each stem the sum of 1/i^2 over its occurrences, scaled, averaged.
+
+    Words are counted a text; distinct words are stemmed once and those of the wanted stems, a few forms, joined back.
+    """
+    counts = df.select(F.col(key).alias("_key"), F.explode(tokens(F.col(text))).alias("word")).groupBy("_key", "word").agg(F.count("*").alias("n"))
+
+    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stop, asked = frozenset(STOP), frozenset(wanted)
+        for b in batches:
+            stem_of = [("" if w in stop else stem(w)) for w in b["word"]]
+            out = pd.DataFrame({"word": b["word"], "stem": stem_of})
+            yield out[out["stem"].isin(asked)]
+
+    forms = df.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).distinct().mapInPandas(stems, "word string, stem string")
+    limit = 1.64493406685
+    per = counts.join(forms, "word").groupBy("_key", "stem").agg(F.sum("n").alias("n"))
+    part = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i * i).cast("double")) / limit
+    return per.groupBy("_key").agg((F.sum(part) / float(len(wanted))).alias("rank")).withColumnRenamed("_key", key)
+
+
 def occurrences(words: Column, wanted: list[str]) -> Column:
     """Positions that hold one of the wanted words: the rank of an OR query by covers."""
     return F.size(F.filter(words, lambda w: w.isin(*wanted)))

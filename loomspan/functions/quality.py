@@ -1,7 +1,15 @@
-"""The quality gate: tells machine output from text a person may want to find, by the shape of its lines."""
+"""The quality gate: tells machine output from text a person may want to find, by the shape of its lines.
+
+Lines are split and counted once a text, in Arrow batches; shares, thresholds and verdict are column expressions.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +23,31 @@ DECISIVE = {"timestamped": 0.6, "hex_per_line": 1.0, "dumpish": 0.7, "repetition
 ALPHA = 0.55
 
 
-def _lines(sample: Column) -> Column:
-    return F.filter(F.split(sample, r"\r\n|\r|\n"), lambda x: x.rlike(r"\S"))
+_COUNTS = "lines long, shapes long, timestamped long, dumpish long, hex long, base64 long, letters long, chars long, hashes long"
+_SPACE = " \t\n\x0b\f\r"
+_TIME, _DUMP, _HEX, _BASE64, _HASH = (re.compile(x, re.ASCII) for x in (TIMESTAMP, DUMP, HEX, BASE64, f"(?:{HEX}|{BASE64})"))
+_DIGITS = re.compile("[0-9]+")
+_KEPT = bytes(c for c in range(128) if chr(c).isalpha() or chr(c) in _SPACE or 0x1C <= c < 0x20)
+_OTHER = regex.compile(r"[^\p{L} \t\n\x0b\f\r\x1c-\x1f]+")
+
+
+def counts_of(text: str) -> tuple[int, ...]:
+    """What the gate counts in a text, as ``_COUNTS``."""
+    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip(_SPACE)]
+    letters = len(text) - len(text.encode().translate(None, _KEPT)) if text.isascii() else len(_OTHER.sub("", text))
+    few = sum(_HASH.match(x.strip(" ")) is not None for x in lines) if len(lines) < LEAST_LINES else 0
+    return (
+        len(lines), len({_DIGITS.sub("#", x[:120]) for x in lines}), sum(_TIME.match(x) is not None for x in lines), sum(_DUMP.match(x) is not None for x in lines),
+        len(_HEX.findall(text)), len(_BASE64.findall(text)), letters, len(text), few,
+    )
+
+
+@F.pandas_udf(_COUNTS)
+def _counts(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names = [x.split(" ")[0] for x in _COUNTS.split(", ")]
+    for texts in it:
+        rows = [counts_of(t) if t is not None else (None,) * len(names) for t in texts]
+        yield pd.DataFrame(rows, columns=names).astype("Int64")
 
 
 def sample_of(text: Column, size: int = SAMPLE, least: int = LEAST_LINES) -> Column:
@@ -24,34 +55,30 @@ def sample_of(text: Column, size: int = SAMPLE, least: int = LEAST_LINES) -> Col
     out = text
     for k in (3, 2, 1, 0):
         part = F.substring(text, 1, size * 8**k)
-        enough = (F.size(_lines(part)) >= least) | (F.length(text) <= size * 8**k)
+        enough = (F.size(F.filter(F.split(part, r"\r\n|\r|\n"), lambda x: x.rlike(r"\S"))) >= least) | (F.length(text) <= size * 8**k)
         out = F.when(enough, part).otherwise(out)
     return out
 
 
 def assess(text: Column, sample: Column | None = None) -> Column:
-    """``machine``, the number of lines, and the signals rounded to three places, half to even (null for short texts)."""
-    sample = sample_of(text) if sample is None else sample
-    lines = _lines(sample)
-    n = F.size(lines)
-    per = lambda x: F.try_divide(x.cast("double"), n.cast("double"))
-    share = lambda test: per(F.size(F.filter(lines, test)))
-    signal = {
-        "repetition": 1 - per(F.size(F.array_distinct(F.transform(lines, lambda x: F.regexp_replace(F.substring(x, 1, 120), r"\d+", "#"))))),
-        "timestamped": share(lambda x: x.rlike(TIMESTAMP)),
-        "dumpish": share(lambda x: x.rlike(DUMP)),
-        "hex_per_line": per(F.regexp_count(sample, F.lit(HEX))),
-        "base64_per_line": per(F.regexp_count(sample, F.lit(BASE64))),
-    }
-    alpha = F.try_divide(F.length(F.regexp_replace(sample, r"[^\p{L}\s\x1c-\x1f]", "")).cast("double"), F.length(sample).cast("double"))
-    hashes = share(lambda x: F.trim(x).rlike("^" + HEX) | F.trim(x).rlike("^" + BASE64))
+    """``machine``, the number of lines, and the signals rounded to three places, half to even (null for short texts).
+
+    Judged is ``sample_of(text)``, a beginning of the text, as the gate's rule has it; pass the text itself as
+    ``sample`` to judge all of it. ``reasons`` names the signals beyond their limits.
+    """
+    found = _counts(sample_of(text) if sample is None else sample)
+    n, chars = found["lines"], found["chars"]
+    per = lambda c: F.try_divide(found[c].cast("double"), n.cast("double"))
+    signal = {"repetition": 1 - per("shapes"), "timestamped": per("timestamped"), "dumpish": per("dumpish"), "hex_per_line": per("hex"), "base64_per_line": per("base64")}
+    alpha = F.try_divide(found["letters"].cast("double"), chars.cast("double"))
     judged = n >= LEAST_LINES
-    reasons = sum(((signal[k] > v).cast("int") for k, v in LIMITS.items()), (alpha < ALPHA).cast("int"))
+    over = {**{k: signal[k] > v for k, v in LIMITS.items()}, "alpha_ratio": alpha < ALPHA}
     decisive = F.lit(False)
     for k, v in DECISIVE.items():
         decisive = decisive | (signal[k] > v)
-    machine = F.when(judged, decisive | (reasons >= 2)).otherwise(F.coalesce(hashes > 0.8, F.lit(False)) & (n > 0))
+    machine = F.when(judged, decisive | (sum((x.cast("int") for x in over.values()), F.lit(0)) >= 2)).otherwise(F.coalesce(per("hashes") > 0.8, F.lit(False)) & (n > 0))
+    reasons = F.when(judged, F.array_compact(F.array(*[F.when(x, k) for k, x in over.items()])))
     return F.struct(
-        F.coalesce(machine, F.lit(False)).alias("machine"), n.alias("lines"),
-        *[F.when(judged, F.bround(signal[k], 3)).alias(k) for k in signal], F.when(judged, F.bround(alpha, 3)).alias("alpha_ratio"),
+        F.coalesce(machine, F.lit(False)).alias("machine"), n.cast("int").alias("lines"),
+        *[F.when(judged, F.bround(signal[k], 3)).alias(k) for k in signal], F.when(judged, F.bround(alpha, 3)).alias("alpha_ratio"), reasons.alias("reasons"),
     )

@@ -1,7 +1,8 @@
-"""Text rules of ingest and facts as column expressions; they stay inside generated JVM code."""
+"""Text rules of ingest and facts as column expressions; composition and line ends are one Arrow function, the rest stays in the JVM."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -67,11 +68,22 @@ def nfc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-def normalize(text: Column) -> Column:
+def canonical(t: str) -> str:
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+    t = t.replace("\0", "").replace("\r\n", "\n").replace("\r", "\n")
+    t = "\n".join([x.rstrip(" \t\f\x0b") for x in t.split("\n")])
+    return _BLANK_LINES.sub("\n\n\n", t).strip(" \t\n\x0b\f\r")
+
+
+_BLANK_LINES = re.compile("\n{4,}")
+
+
+@F.pandas_udf(T.StringType())
+def normalize(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical text: composed, no NUL, one kind of line end, no trailing spaces, at most two blank lines."""
-    plain = F.replace(F.replace(F.replace(nfc(text), F.lit("\0"), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    plain = F.regexp_replace(plain, r"[ \t\f\x0B]+(?=\n|$)", "")
-    return F.regexp_replace(F.regexp_replace(plain, r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
+    for s in it:
+        yield s.map(lambda t: t if t is None else canonical(t))
 
 
 def normalize_code(text: Column) -> Column:

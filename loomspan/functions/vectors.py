@@ -81,7 +81,8 @@ def tight_radius(n: Column, threshold: float) -> Column:
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     """``group, n, mean``: the normalised mean of each group's vectors.
 
-    Components are averaged in parallel (group, position), so no task holds a group.
+    Components are averaged in parallel (group, position), so no task holds a group. Members without a vector are
+    left out; ``records.complete_means`` gives means of groups that lack none.
     """
     parts = df.select(group, F.posexplode(doubles(F.col(vector))).alias("at", "x")).groupBy(group, "at").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     whole = parts.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))

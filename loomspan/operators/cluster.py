@@ -80,56 +80,62 @@ def components(pairs: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("node"), "v"), "node", "left").groupBy("node").agg(F.coalesce(F.min("v"), F.first("node")).alias("component"))
 
 
-def average_linkage(n: int, sims: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    """Groups of 0..n-1 by average similarity; pairs without one count 0, the first largest wins a tie.
+def average_linkage(x: np.ndarray, links: list[tuple[int, int]], threshold: float) -> list[list[int]]:
+    """Groups of the rows of ``x`` (unit vectors) by average similarity; the most similar two merge first, then the smallest.
 
-    Sums of similarities are kept for the pairs of groups that have one. An average with a merged group never
-    exceeds the larger of the two it comes from, so only pairs at the threshold wait in the heap; the work
-    grows with the pairs given, not with the cube of the nodes.
+    The average over all pairs of two groups is the product of their vector sums over the product of their sizes, so no
+    pair needs to be given but those at the threshold (``links``): two groups whose average reaches it have one.
     """
-    if threshold <= 0:  # any two groups may merge, also those without a pair
-        sims = {(a, b): 0.0 for a in range(n) for b in range(a + 1, n)} | {(min(p), max(p)): s for p, s in sims.items()}
-    sums: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), s in sims.items():
-        sums[a][b] = sums[b][a] = float(s)
+    n = len(x)
+    total, size, near = x.astype(np.float64).copy(), np.ones(n), [set() for _ in range(n)]
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
     groups: list[list[int] | None] = [[i] for i in range(n)]
     age = [0] * n  # merges of a group so far: entries of the heap from before one are void
-    heap = [(-s, a, b, 0, 0) for a in range(n) for b, s in sums[a].items() if a < b and s >= threshold]
+    mean = lambda i, j: float(total[i] @ total[j]) / (size[i] * size[j])
+    heap = [(-mean(a, b), a, b, 0, 0) for a in range(n) for b in near[a] if a < b]
     heapq.heapify(heap)
     while heap:
-        _, i, j, at_i, at_j = heapq.heappop(heap)
+        worth, i, j, at_i, at_j = heapq.heappop(heap)
+        if -worth < threshold - 1e-12:
+            break
         if groups[i] is None or groups[j] is None or age[i] != at_i or age[j] != at_j:
             continue
         groups[i] += groups[j]
         groups[j] = None
+        total[i] += total[j]
+        size[i] += size[j]
         age[i] += 1
-        gone, sums[j] = sums[j], {}
-        for c, s in gone.items():
-            del sums[c][j]
+        for c in near[j]:
+            near[c].discard(j)
             if c != i:
-                sums[i][c] = sums[c][i] = sums[i].get(c, 0.0) + s
-        for c, s in sums[i].items():
-            mean = s / (len(groups[i]) * len(groups[c]))
-            if mean >= threshold:
-                a, b = min(i, c), max(i, c)
-                heapq.heappush(heap, (-mean, a, b, age[a], age[b]))
+                near[c].add(i)
+                near[i].add(c)
+        near[j] = set()
+        for c in near[i]:
+            a, b = min(i, c), max(i, c)
+            heapq.heappush(heap, (-mean(a, b), a, b, age[a], age[b]))
     return [sorted(g) for g in groups if g]
 
 
 def linked_groups(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``node, grp``: components split by average linkage, within equal signatures, whatever their size.
+    """``node, grp``: components split by average linkage over all their pairs, within equal signatures, whatever their size.
 
-    ``nodes``: node, signature. One task links a part, in memory that grows with its pairs.
+    ``nodes``: node, signature, v. One task links a part, in memory that grows with its rows and links, not with their square.
     """
     comp = components(pairs)
-    marked = cut(comp.join(nodes, "node").withColumn("part", F.concat_ws("|", F.col("component").cast("string"), F.col("signature"))))
-    inner = pairs.join(marked.select(F.col("node").alias("a"), "part"), "a").join(marked.select(F.col("node").alias("b"), F.col("part").alias("_p")), "b").where("part = _p").select(F.col("_p").alias("_part"), "a", "b", "similarity")
+    marked = cut(comp.join(nodes, "node").select("node", "v", F.concat_ws("|", F.col("component").cast("string"), F.col("signature")).alias("part")))
+    inner = pairs.join(marked.select(F.col("node").alias("a"), "part"), "a").join(marked.select(F.col("node").alias("b"), F.col("part").alias("_p")), "b").where("part = _p").select(F.col("_p").alias("_part"), "a", "b")
 
     def link(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(left["node"])
+        left = left.sort_values("node")
+        ids = left["node"].tolist()
         place = {v: i for i, v in enumerate(ids)}
-        sims = {(place[a], place[b]): s for a, b, s in zip(right["a"], right["b"], right["similarity"])}
-        return pd.DataFrame([(ids[i], ids[g[0]]) for g in average_linkage(len(ids), sims, threshold) for i in g], columns=["node", "grp"])
+        x = np.stack(left["v"].to_list()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        groups = average_linkage(x, [(place[a], place[b]) for a, b in zip(right["a"], right["b"])], threshold)
+        return pd.DataFrame([(ids[i], ids[g[0]]) for g in groups for i in g], columns=["node", "grp"])
 
     return marked.groupBy("part").cogroup(inner.groupBy("_part")).applyInPandas(link, "node long, grp long")
 
@@ -144,37 +150,69 @@ def members_hash(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), ","), 256).alias("members_sha256"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, group: str, vector: str, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query its k nearest other rows, some queries at a time."""
+    for s in range(0, len(ids), 512):
+        ask = slice(s, s + 512)
+        sim = np.round(q[ask] @ x.T, 9)
+        sim[ids[ask][:, None] == own[None, :]] = -9
+        if 8 * k < sim.shape[1]:  # only rows that may be among the k are sorted; ties with the last of them stay in
+            least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+            rows, columns = np.nonzero(sim >= least)
+            order = np.lexsort((own[columns], -sim[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            first = np.searchsorted(rows, rows)
+            keep = np.arange(len(rows)) - first < k
+            rows, columns = rows[keep], columns[keep]
+        else:
+            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
+            rows, columns = np.repeat(np.arange(len(sim)), order.shape[1]), order.ravel()
+        best = sim[rows, columns]
+        keep = best > -9
+        yield ids[ask][rows][keep], own[columns][keep], best[keep]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str, group: str, vector: str, k: int, query_block: int = QUERY_BLOCK, block: int = 8 * BLOCK) -> DataFrame:
     """``query, neighbour, similarity, rank``: the k nearest rows of the same group for each query, exactly.
 
-    Queries travel in blocks of a bounded size; every partition keeps its k best of each query, so no pairs
-    are written. Ties by the smaller id.
+    Whichever side is small (its size is counted) travels to every task, which keeps k a query; if neither is,
+    queries and rows of a group meet in blocks. Ties by the smaller id; null vectors take no part.
     """
     pick = lambda d: d.select(F.col(key).cast("long").alias("key"), F.col(group).cast("string").alias("grp"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     data, asked = pick(rows), pick(queries)
-    parts = max(1, math.ceil(asked.count() / query_block))
-    out = None
-    for part in range(parts):  # rounds of bounded size, each over all rows
-        block = asked.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()
-        sent = rows.sparkSession.sparkContext.broadcast((block.column("key").to_numpy(), np.array(block.column("grp").to_pylist(), object), _matrix(block.column("v"))))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, groups, q = sent.value
+    schema = "query long, neighbour long, similarity double"
+    few_queries = asked.count() <= query_block
+    if few_queries or data.count() <= query_block:
+        small, large = (asked, data) if few_queries else (data, asked)
+        sent = small.toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast((sent.column("key").to_numpy(), np.array(sent.column("grp").to_pylist(), object), _matrix(sent.column("v"))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, groups, x = shared.value
             for batch in batches:
-                own, kind, x = batch.column("key").to_numpy(), np.array(batch.column("grp").to_pylist(), object), _matrix(batch.column("v"))
-                for g in sorted(set(kind.tolist()) & set(groups.tolist())):
+                keys, kind, y = batch.column("key").to_numpy(), np.array(batch.column("grp").to_pylist(), object), _matrix(batch.column("v"))
+                for g in sorted(set(x for x in kind.tolist() if x is not None) & set(groups.tolist())):
                     here, there = np.flatnonzero(groups == g), np.flatnonzero(kind == g)
-                    for s in range(0, len(here), 512):
-                        ask = here[s : s + 512]
-                        sim = np.round(q[ask] @ x[there].T, 9)
-                        sim[ids[ask][:, None] == own[there][None, :]] = -9
-                        order = np.lexsort((np.broadcast_to(own[there], sim.shape), -sim), axis=1)[:, :k]
-                        best = np.take_along_axis(sim, order, 1).ravel()
-                        keep = best > -9
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[ask], order.shape[1])[keep]), pa.array(own[there][order].ravel()[keep]), pa.array(best[keep])], ["query", "neighbour", "similarity"])
-
-        found = data.mapInArrow(scan, "query long, neighbour long, similarity double")
-        out = found if out is None else out.unionByName(found)
+                    sides = (ids[here], x[here], keys[there], y[there]) if few_queries else (keys[there], y[there], ids[here], x[here])
+                    for found in _best(*sides, k):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query", "neighbour", "similarity"])
+
+        out = large.mapInArrow(scan, schema)
+    else:
+        sizes = lambda d, name: d.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(name))
+        counts = sizes(data, "_rb").join(sizes(asked, "_qb"), "grp")
+        own = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = data.join(counts, "grp").select("grp", own("_rb").alias("i"), every("_qb").alias("j"), F.lit(False).alias("asks"), "key", "v")
+        right = asked.join(counts, "grp").select("grp", every("_rb").alias("i"), own("_qb").alias("j"), F.lit(True).alias("asks"), "key", "v")
+
+        def meet(t: pa.Table) -> pa.Table:
+            keys, x, asks = t.column("key").to_numpy(), _matrix(t.column("v")), t.column("asks").to_numpy()
+            found = list(_best(keys[asks], x[asks], keys[~asks], x[~asks], k)) if asks.any() and not asks.all() else []
+            columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.table([pa.array(c) for c in columns], ["query", "neighbour", "similarity"])
+
+        out = left.unionByName(right).groupBy("grp", "i", "j").applyInArrow(lambda t: meet(t), schema)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")))
     return ranked.where(F.col("rank") <= k)
 

@@ -94,11 +94,40 @@ def git_authorship(tallies: DataFrame, own: Column) -> DataFrame:
     return ranked.select("path", "name", role.alias("role"), F.bround(F.col("commits") / F.col("total"), 3).alias("confidence"), evidence.alias("evidence"), F.bround(F.col("self") / F.col("total"), 3).alias("self_share"))
 
 
-def attribute(git: Column, sender: Column, metadata: Column, path: Column) -> Column:
-    """The first attribution there is: git history, sender, metadata, path."""
-    return F.coalesce(git, sender, metadata, path)
+#: People named for one document at most, of senders and of hints.
+MOST_NAMED = 5
+
+
+def sender_authors(senders: Column) -> Column:
+    """Up to five senders of a message as authors, each at 0.9: the name, or the address where there is none."""
+    parsed = F.transform(F.slice(F.coalesce(senders, F.array().cast("array<string>")), 1, MOST_NAMED), _parse_sender)
+    return F.filter(parsed, lambda x: x["name"] != "")
+
+
+def _parse_sender(x: Column) -> Column:
+    address = F.trim(F.coalesce(F.nullif(F.regexp_extract(x, r"<([^<>]*)>", 1), F.lit("")), F.when(x.contains("@") & ~x.contains("<"), x), F.lit("")))
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.when(~x.contains("<") & x.contains("@"), F.lit("")).otherwise(x), r"<[^<>]*>", ""), r"^\s*\"|\"\s*$", ""))
+    return F.struct(F.when(name != "", name).otherwise(address).alias("name"), F.lit(0.9).alias("confidence"))
 
 
 def hint_authors(hints: Column) -> Column:
     """Up to five metadata hints as authors: 0.8 for the first, 0.5 for the others."""
-    return F.transform(F.slice(F.coalesce(hints, F.array().cast("array<string>")), 1, 5), lambda x, i: F.struct(x.alias("name"), F.when(i == 0, 0.8).otherwise(0.5).alias("confidence")))
+    return F.transform(F.slice(F.coalesce(hints, F.array().cast("array<string>")), 1, MOST_NAMED), lambda x, i: F.struct(x.alias("name"), F.when(i == 0, 0.8).otherwise(0.5).alias("confidence")))
+
+
+def attribute(git: Column, senders: Column, hints: Column, path: Column, communication: Column, owner: list[str]) -> Column:
+    """``trust, evidence, authors`` of a document: by git history, else by senders (of communication), else by metadata, else by path.
+
+    ``git``: struct of the same fields or null; ``path``: struct of trust and label. Metadata that names the owner is
+    authored, other metadata reference, as is all in a reference path; its evidence names the path rule too. A path
+    that is authored names the owner at 0.6.
+    """
+    own = F.exists(hints, lambda h: F.lower(F.trim(h)).isin(*[o.strip().lower() for o in owner])) if owner else F.lit(False)
+    people = lambda x: x.cast("array<struct<name:string,confidence:double>>")
+    result = lambda trust, evidence, authors: F.struct(trust.alias("trust"), evidence.alias("evidence"), people(authors).alias("authors"))
+    from_ = sender_authors(senders)
+    self_sent = F.exists(from_, lambda a: F.lower(a["name"]).isin(*[o.strip().lower() for o in owner])) if owner else F.lit(False)
+    sent = result(F.when(self_sent, "authored").otherwise("received"), F.when(self_sent, "message-sender:self").otherwise("message-sender:third-party"), from_)
+    named = result(F.when((path["trust"] == "reference") | ~own, "reference").otherwise("authored"), F.concat(F.lit("document-metadata:"), F.when(own, "self").otherwise("third-party"), F.lit("+"), path["label"]), hint_authors(hints))
+    placed = result(path["trust"], path["label"], F.when((path["trust"] == "authored") & F.lit(bool(owner)), F.array(F.struct(F.lit(owner[0] if owner else None).alias("name"), F.lit(0.6).alias("confidence")))).otherwise(F.array()))
+    return F.when(git.isNotNull(), git).when(communication & (F.size(from_) > 0), sent).when(F.size(F.coalesce(hints, F.array())) > 0, named).otherwise(placed)

@@ -171,8 +171,8 @@ def resolve(df: DataFrame, node: str | Column, parent: str | Column, *, parts: i
     return _resolve(df, node, parent, parts, top_rows, fan_in).drop("up")
 
 
-def _local_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range (node, up, root, depth) with ``ext`` (the parent in another range the row hangs from, if any) and the path below it."""
+def _local_paths(it: Iterator[pa.RecordBatch], wanted: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of one range (node, up, root, depth, want), all or the wanted ones, with ``ext`` (the parent in another range the row hangs from, if any) and the path below it."""
     t = _batches(it)
     if t is None or not t.num_rows:
         return
@@ -188,31 +188,40 @@ def _local_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         jump = jump[jump]
     lengths += 1
     ext, has_ext = up[jump], (has & ~inside)[jump]
-    ends = np.cumsum(lengths)
+    shown = np.flatnonzero(t.column("want").to_numpy()) if wanted else np.arange(n)
+    ends = np.cumsum(lengths[shown])
     start = 0
-    while start < n:  # as many rows as PATH_IDS ids fill, one at least
+    while start < len(shown):  # as many rows as PATH_IDS ids fill, one at least
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PATH_IDS, "right")))
-        offsets = np.concatenate([[0], np.cumsum(lengths[start:stop])])
-        ids, write, rows = np.zeros(offsets[-1], np.int64), offsets[1:] - 1, np.arange(start, stop)
+        rows = at = shown[start:stop]
+        offsets = np.concatenate([[0], np.cumsum(lengths[rows])])
+        ids, write = np.zeros(offsets[-1], np.int64), offsets[1:] - 1
         while len(rows):
             ids[write] = node[rows]
             rows, write = above[rows], write - 1
             rows, write = rows[rows >= 0], write[rows >= 0]
-        part = t.slice(start, stop - start)
-        arrays = [*(part.column(c).combine_chunks() for c in ("node", "root", "depth")), pa.array(ext[start:stop], mask=~has_ext[start:stop]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+        part = t.take(pa.array(at))
+        arrays = [*(part.column(c).combine_chunks() for c in ("node", "root", "depth")), pa.array(ext[at], mask=~has_ext[at]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
         yield pa.RecordBatch.from_arrays(arrays, ["node", "root", "depth", "ext", "path"])
         start = stop
 
 
-def paths(df: DataFrame, node: str, parent: str, *, parts: int | None = None, top_rows: int = TOP_ROWS, fan_in: int = 8) -> DataFrame:
-    """``resolve`` with ``path``, the ids from the root down to the row, null where there is a circle.
+def paths(df: DataFrame, node: str, parent: str, *, wanted: DataFrame | None = None, parts: int | None = None, top_rows: int = TOP_ROWS, fan_in: int = 8) -> DataFrame:
+    """``resolve`` with ``path``, the ids from the root down to the row, null where there is a circle; of all rows, or those ``wanted`` (column node).
 
     Each range of ids walks its own parent index; only the paths of ports, the rows that other ranges hang
     from, are then put together, by joins that double them, and set before the paths that hang from them.
     """
     trees = _resolve(df, node, parent, parts, top_rows, fan_in)
+    asked = F.lit(True)
+    if wanted is not None:
+        trees = trees.join(wanted.select("node", F.lit(True).alias("_want")).distinct(), "node", "left")
+        asked = F.coalesce("_want", F.lit(False))
+    trees = trees.select("node", "root", "depth", "circle", "up", asked.alias("want"))
     trees = cut(trees.repartitionByRange(parts or shuffle_width(df.sparkSession), "node"))  # its partitions stay as they are below
-    local = trees.where(F.col("depth") >= 0).select("node", "up", "root", "depth").mapInArrow(_local_paths, "node long, root long, depth int, ext long, path array<long>")
+    schema = "node long, root long, depth int, ext long, path array<long>"
+    sound = trees.where(F.col("depth") >= 0).select("node", "up", "root", "depth", "want")
+    local = sound.mapInArrow(_local_paths, schema)
     hang = cut(local.where(F.col("ext").isNotNull()).select("node", "ext"))
     ports = cut(hang.select(F.col("ext").alias("node")).distinct())
     few = ports.count() <= BROADCAST_ROWS
@@ -226,9 +235,10 @@ def paths(df: DataFrame, node: str, parent: str, *, parts: int | None = None, to
     if few and (before.agg(F.sum(F.size("_path"))).first()[0] or 0) <= BROADCAST_IDS:
         before = F.broadcast(before)
     nothing = F.lit(None).cast("long")
+    local = sound.mapInArrow(lambda it: _local_paths(it, True), schema)
     met = local.where(F.col("ext").isNotNull()).join(before, "ext").select("node", "root", "depth", nothing.alias("circle"), F.concat("_path", "path").alias("path"))
     own = local.where(F.col("ext").isNull()).select("node", "root", "depth", nothing.alias("circle"), "path")
-    looped = trees.where(F.col("depth") < 0).select("node", "root", "depth", "circle", F.lit(None).cast("array<long>").alias("path"))
+    looped = trees.where((F.col("depth") < 0) & F.col("want")).select("node", "root", "depth", "circle", F.lit(None).cast("array<long>").alias("path"))
     return met.unionByName(own).unionByName(looped)
 
 

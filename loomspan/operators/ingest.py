@@ -9,6 +9,8 @@ from loomspan.operators.prefix import running_sum
 
 #: Share of a source's documents that one reconcile may delete.
 DELETE_SHARE = 0.25
+#: Stalled reads after which no more are begun.
+MOST_STALLED = 4
 
 
 def skip_ladder(listing: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,11 +53,20 @@ def reconcile(documents: DataFrame, seen: DataFrame, keys: list[str], share: flo
     return gone.join(guard, "source_id")
 
 
-def within_budget(files: DataFrame, group: str, order: list[str], size: Column, cap: int, files_cap: int = 0) -> DataFrame:
-    """Files to fetch before a byte and a file budget is spent (0: no limit); the last one may go over it."""
-    summed = running_sum(files, group, order, size, "_bytes")
+def within_budget(files: DataFrame, group: str, order: list[str], size: Column, cap: int, files_cap: int = 0, failed: Column | None = None, stalled: Column | None = None, most_stalled: int = MOST_STALLED) -> DataFrame:
+    """Files to fetch before a byte and a file budget is spent (0: no limit); the last one may go over it.
+
+    ``failed`` and ``stalled`` tell how the fetch of a file ends: only successes are charged, and after
+    ``most_stalled`` stalled reads of a group the rest is left for a later run.
+    """
+    lost = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    hung = F.coalesce(stalled, F.lit(False)) if stalled is not None else F.lit(False)
+    charged = ~lost & ~hung
+    summed = running_sum(files, group, order, F.when(charged, size).otherwise(0), "_bytes")
     if files_cap:
-        summed = running_sum(summed, group, order, F.lit(1), "_files").where(F.col("_files") < files_cap).drop("_files")
+        summed = running_sum(summed, group, order, charged.cast("int"), "_files").where(F.col("_files") < files_cap).drop("_files")
+    if stalled is not None:
+        summed = running_sum(summed, group, order, hung.cast("int"), "_hung").where(F.col("_hung") < most_stalled).drop("_hung")
     return (summed.where(F.col("_bytes") < cap) if cap else summed).drop("_bytes")
 
 

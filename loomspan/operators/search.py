@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import fts, vectors
+from loomspan.operators.records import in_sources
 
 # Candidates of each engine, of the binary stage, and the constant of rank fusion.
 DEPTH, BINARY_FACTOR, FUSE = 200, 4, 60
@@ -17,11 +18,16 @@ DIRECTIONS = ("sent", "received")
 
 @dataclass
 class Filters:
-    """What a search may see. ``policy`` is applied before any ranking; if it fails, the search fails."""
+    """What a search may see. ``policy`` is applied before any ranking; if it fails, the search fails.
+
+    ``sources`` (source_id) lets through documents of these sources and, with ``links`` (doc_id, source_id), those
+    linked to one of them besides their own.
+    """
 
     classes: Sequence[str] = ()
     tiers: Sequence[str] = ()
     sources: DataFrame | None = None
+    links: DataFrame | None = None
     policy: Callable[[DataFrame], DataFrame] | None = None
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -31,10 +37,27 @@ class Filters:
         if self.tiers:
             docs = docs.where(F.col("trust_tier").isin(*self.tiers))
         if self.sources is not None:
-            docs = docs.join(self.sources, "source_id", "left_semi")
+            docs = in_sources(docs, self.links, self.sources) if self.links is not None else docs.join(self.sources, "source_id", "left_semi")
         return self.policy(docs) if self.policy else docs
 
 
+def written_by(rows: DataFrame, people: DataFrame, name: str = "", direction: str | None = None) -> DataFrame:
+    """Rows (author_id, and direction where they have one) by people whose name holds a pattern, sent or received.
+
+    Wildcards in the name are not escaped. Rows without a direction of their own are sent if their author is the owner.
+    """
+    if direction is not None and direction not in DIRECTIONS:
+        raise ValueError(f"direction must be one of {', '.join(DIRECTIONS)}")
+    if name:
+        rows = rows.join(people.where(F.col("display_name").ilike(f"%{name}%")).select(F.col("id").alias("author_id")), "author_id", "left_semi")
+    if direction is None:
+        return rows
+    if "direction" in rows.columns:
+        return rows.where(F.col("direction") == direction)
+    owner = people.where("is_self").select(F.col("id").alias("author_id"))
+    return rows.join(owner, "author_id", "left_semi" if direction == "sent" else "left_anti")
+
+
 def _ranked(candidates: DataFrame, order: list[Column], depth: int, name: str) -> DataFrame:
     """The first ``depth`` rows with their rank; only these rows come to one task."""
     top = candidates.orderBy(*order).limit(depth)

@@ -150,15 +150,14 @@ def contact_lookup(spark, sf_dir):
 
 
 def active_lineage(spark, sf_dir):
-    """Turns on the way from each session's last turn to its root, those with text of user and assistant numbered."""
-    t = table(spark, sf_dir, "session_turns").select("id", "session_id", "parent_turn_id", "ord", "role", "content")
-    known = t.select(F.col("id").alias("parent_turn_id"), F.col("session_id").alias("_s"))
-    trees = hierarchy.resolve(t, "id", "parent_turn_id")
-    inside = cut(t.join(known, "parent_turn_id", "left").join(trees.select(F.col("node").alias("id"), "depth"), "id").select("id", "session_id", "ord", "role", "depth", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("said"), F.when((F.col("_s") == F.col("session_id")) & (F.col("depth") >= 0), F.col("parent_turn_id")).alias("parent")))
-    ends = inside.groupBy("session_id").agg(F.max_by("id", F.struct("ord", "id")).alias("node"))
-    deepest = inside.agg(F.max("depth")).first()[0] or 0
-    active = hierarchy.on_the_way_up(inside.select(F.col("id").alias("node"), "parent"), ends, deepest)
-    shown = inside.join(active.select(F.col("node").alias("id")), "id", "left_semi").where(F.col("said") & F.col("role").isin("user", "assistant"))
+    """Turns on the way from each session's last turn up to its root, or to where the way leaves the session; those with text of user and assistant numbered."""
+    t = table(spark, sf_dir, "session_turns").select("id", "session_id", "parent_turn_id", "ord", "role", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("said"))
+    ends = cut(t.groupBy("session_id").agg(F.max_by("id", F.struct("ord", "id")).alias("node")))
+    way = hierarchy.paths(t, "id", "parent_turn_id", wanted=ends).join(ends, "node")
+    steps = way.select("session_id", F.col("path").isNull().alias("circled"), F.posexplode(F.coalesce("path", F.array("node"))).alias("at", "id")).join(t.select("id", F.col("session_id").alias("_s"), "role", "said"), "id")
+    left = steps.where("_s <> session_id").groupBy("session_id").agg(F.max("at").alias("_left"))
+    shown = steps.join(left, "session_id", "left").where(F.col("_left").isNull() | (F.col("at") > F.col("_left"))).where(F.col("said") & F.col("role").isin("user", "assistant"))
+    shown = shown.select("id", "session_id", F.when(F.col("circled"), -1).otherwise(F.col("at")).alias("depth"))
     return running_sum(shown, "session_id", ["depth", "id"], F.lit(1), "active_ord").select("id", "session_id", F.col("active_ord").cast("long").alias("active_ord"))
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from loomspan.functions import chunkers, text
-from loomspan.session import table
+from loomspan.session import shared_folder, table
 from loomspan.streaming import ingest as stream
 
 
@@ -32,18 +31,22 @@ def chunk_paragraphs(spark, sf_dir):
 
 
 def stream_event_windows(spark, sf_dir):
-    """An extension: events read as a stream, counted in windows of event time under a watermark."""
-    work = os.path.join(tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.checkpoint.dir").replace("file://", ""), f"loomspan-stream-{os.getpid()}-{abs(hash(sf_dir))}")
-    shutil.rmtree(work, ignore_errors=True)
+    """An extension: events read as a stream, counted in windows of event time under a watermark.
+
+    Each batch writes only the windows it changed; of a window the newest batch counts. Both state and output
+    stand in the folder of the session's checkpoints, which all executors share.
+    """
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(schema)
     events = source.parquet(path) if os.path.isdir(path) else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    windows = stream.event_windows(events, late="3650 days")
-    query = windows.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(work + "/out")).option("checkpointLocation", work + "/state").trigger(availableNow=True).start()
+    write = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{work}/out/part-{batch}")
+    query = stream.event_windows(events, late="3650 days").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", work + "/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.parquet(work + "/out")
-    return out.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = spark.read.option("recursiveFileLookup", "true").parquet(work + "/out")
+    last = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("w"))
+    return last.select(F.unix_micros("start").alias("start"), "event_type", "w.n", F.round("w.total", 4).alias("total"))
 
 
 QUERIES = {"chunk_prose": _chunks("prose"), "chunk_markdown": _chunks("markdown"), "chunk_code": _chunks("code"), "chunk_paragraphs": chunk_paragraphs, "stream_event_windows": stream_event_windows}

@@ -55,19 +55,44 @@ def restatement_components(spark, sf_dir):
     return cluster.components(cluster.similar_pairs(_facts(spark, sf_dir), "vec_id", "label", "embedding", ALIKE))
 
 
+def _signed(spark, sf_dir):
+    """Facts with what the first line of the document of their id claims: numbers, time and negation."""
+    line = F.substring_index("text", "\n", 1)
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.to_json(text.claim_signature(F.coalesce(line, F.lit("")))).alias("sig"))
+    return _facts(spark, sf_dir).join(said, "vec_id", "left").withColumn("sig", F.coalesce("sig", F.lit("none")))
+
+
 def guarded_clusters(spark, sf_dir):
     """Components split by average linkage among facts with the same signature."""
-    f = _facts(spark, sf_dir)
+    f = _signed(spark, sf_dir)
     p = cluster.similar_pairs(f, "vec_id", "label", "embedding", ALIKE)
-    return cluster.linked_groups(p, f.select(F.col("vec_id").alias("node"), F.when(F.get("embedding", F.lit(0)) > 0, "up").otherwise("down").alias("signature")), ALIKE)
+    return cluster.linked_groups(p, f.select(F.col("vec_id").alias("node"), F.col("sig").alias("signature"), F.col("embedding").alias("v")), ALIKE)
 
 
 def cluster_full(spark, sf_dir):
     """All facts regrouped by growth from dense seeds."""
-    f = _facts(spark, sf_dir).withColumn("sig", F.lit("one"))
+    f = _signed(spark, sf_dir)
     return cluster.regroup(f, "vec_id", "label", "embedding", "sig", ALIKE)
 
 
+def guarded_holds(spark, sf_dir):
+    """Of the guarded clusters: how many facts they place, groups of several classes or signatures, and groups whose average similarity is below the threshold."""
+    f = _signed(spark, sf_dir).select(F.col("vec_id").alias("node"), "label", "sig", vectors.normalized(vectors.doubles(F.col("embedding"))).alias("v"))
+    g = guarded_clusters(spark, sf_dir).join(f, "node")
+    mixed = g.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.countDistinct("sig").alias("sigs"))
+    sums = g.select("grp", F.posexplode("v").alias("at", "x")).groupBy("grp", "at").agg(F.sum("x").alias("x")).groupBy("grp").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    loose = (F.col("n") > 1) & ((F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1)) < ALIKE - 1e-9)
+    return mixed.join(sums, "grp").agg(F.sum("n").alias("facts"), F.count_if((F.col("labels") > 1) | (F.col("sigs") > 1)).alias("mixed"), F.count_if(loose).alias("loose"))
+
+
+def cluster_full_holds(spark, sf_dir):
+    """Of the regrouped facts: each stands in one group, of one class and signature, named by its smallest member."""
+    f = _signed(spark, sf_dir).select(F.col("vec_id").alias("node"), "label", "sig")
+    g = cluster_full(spark, sf_dir).join(f, "node")
+    per = g.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"), F.min("node").alias("least"), F.countDistinct("label", "sig").alias("kinds"))
+    return per.agg(F.sum("n").alias("facts"), F.sum("nodes").alias("nodes"), F.count_if(F.col("kinds") > 1).alias("mixed"), F.count_if(F.col("least") != F.col("grp")).alias("misnamed"))
+
+
 def cluster_incremental(spark, sf_dir):
     """Facts placed at the centroid of the class they are nearest to, where near enough."""
     f = _facts(spark, sf_dir)
@@ -153,7 +178,7 @@ def graph_neighborhood(spark, sf_dir):
     return graph.neighbourhood(v, e, seeds, 2, ["Author", "Conversation", "Source"])
 
 
-QUERIES = {f.__name__: f for f in (distilled_centroids, truncate_mrl, binary_signs, knn_per_row, pairs_above_threshold, group_variability, restatement_components, guarded_clusters, cluster_full, cluster_incremental, join_anchors, finish_links, cluster_totals, representatives, members_sha256, anchors, graph_vertices, graph_edges, graph_label_counts, graph_find, graph_neighborhood)}
+QUERIES = {f.__name__: f for f in (distilled_centroids, truncate_mrl, binary_signs, knn_per_row, pairs_above_threshold, group_variability, restatement_components, guarded_clusters, guarded_holds, cluster_full, cluster_full_holds, cluster_incremental, join_anchors, finish_links, cluster_totals, representatives, members_sha256, anchors, graph_vertices, graph_edges, graph_label_counts, graph_find, graph_neighborhood)}
 
 _MEAN = """m AS (SELECT label, pos, avg(x) AS x, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY ALL), nm AS (SELECT label, max(n) AS n, list(x ORDER BY pos) AS v, sqrt(sum(x * x)) AS size FROM m GROUP BY 1)"""
 _PAIRS = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE s >= {ALIKE})"
@@ -180,6 +205,8 @@ ORACLES = {
     "restatement_components": f"WITH {_PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (WITH RECURSIVE r AS (SELECT DISTINCT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other) SELECT * FROM r) SELECT node, min(other) AS component FROM r GROUP BY 1",
     "cluster_incremental": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, CASE WHEN s >= {ALIKE} THEN grp END AS grp FROM c",
     "join_anchors": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, grp, round(s, 6) AS similarity FROM c WHERE s >= {ALIKE}",
+    "guarded_holds": f"WITH {_PAIRS} SELECT count(*) AS facts, 0 AS mixed, 0 AS loose FROM (SELECT a FROM p UNION SELECT b FROM p)",
+    "cluster_full_holds": "SELECT count(*) AS facts, count(*) AS nodes, 0 AS mixed, 0 AS misnamed FROM embeddings",
     "finish_links": _FINISH,
     "cluster_totals": f"SELECT coalesce(sum(n), 0)::BIGINT AS facts, count(*) AS claims, count(*) FILTER (n > 1) AS clusters, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS clustered, count(*) FILTER (n = 1) AS singles FROM (SELECT claim, count(*) AS n FROM ({_FINISH}) GROUP BY 1)",
     "representatives": f"SELECT {_CLAIM} AS claim, arg_max(doc_id, (length(text), -doc_id)) AS representative, count(*) AS members FROM documents WHERE text IS NOT NULL GROUP BY 1",

@@ -97,6 +97,12 @@ def remembered_failures(spark, sf_dir):
 FILES = "corpus_class = 'document'"
 
 
+def materialize_stalls(spark, sf_dir):
+    """Files to fetch where placeholders stall and failed extractions are not charged."""
+    d = _docs(spark, sf_dir).select("doc_id", "source_id", "n_chars", "state")
+    return ingest.within_budget(d, "source_id", ["doc_id"], F.col("n_chars"), 60_000, failed=F.col("state") == "extract_failed", stalled=F.col("state") == "placeholder").select("doc_id")
+
+
 def _claims(spark, sf_dir, where):
     d = _docs(spark, sf_dir).where("text is not null").where(where).select("doc_id", F.sha2(text.normalize_fact(F.col("text")), 256).alias("claim"))
     grouped = d.groupBy("claim").agg(F.min("doc_id").alias("grp"), F.count("*").alias("n"))
@@ -194,7 +200,7 @@ def graph_limited(spark, sf_dir):
     return seen.withColumn("truncated", F.lit(truncated))
 
 
-QUERIES = {f.__name__: f for f in (linked_sources, link_merge, orphan_vectors, bulk_update, author_resolution, adopted_links, turn_sync, complete_means, parse_instants, remembered_failures, reuse_groups, membership_drift, fact_search, model_stats, message_chunks, chunk_holds, graph_fact_edges, graph_relations, graph_limited)}
+QUERIES = {f.__name__: f for f in (linked_sources, link_merge, orphan_vectors, bulk_update, author_resolution, adopted_links, turn_sync, complete_means, parse_instants, remembered_failures, materialize_stalls, reuse_groups, membership_drift, fact_search, model_stats, message_chunks, chunk_holds, graph_fact_edges, graph_relations, graph_limited)}
 
 _OK = "coalesce(length(embedding) = 64 AND length(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(embedding, lambda x: x <> 0)) > 0, false)"
 _TEXT = corpus._FOLD.replace("fact", "text")
@@ -222,6 +228,7 @@ ORACLES = {
     "parse_instants": "SELECT event_id, kind, CASE WHEN kind = 'ms' THEN epoch_us(ts) // 1000 * 1000 ELSE epoch_us(ts) // 1000000 * 1000000 END AS us FROM events, (VALUES ('s'), ('ms'), ('iso')) k(kind)",
     "remembered_failures": """WITH n AS (SELECT * FROM documents WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, title ORDER BY ingested_at DESC, doc_id DESC) = 1)
         SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents f WHERE f.state = 'extract_failed' AND f.source_id = n.source_id AND f.title = n.title AND f.content_sha256 = n.content_sha256 AND coalesce(f.mime, '') = coalesce(n.mime, '')) THEN 'skip_failed' ELSE 'try' END AS action FROM n""",
+    "materialize_stalls": """SELECT doc_id FROM (SELECT doc_id, coalesce(sum(CASE WHEN state IN ('extract_failed', 'placeholder') THEN 0 ELSE n_chars END) OVER w, 0) AS b, coalesce(sum((state = 'placeholder')::INTEGER) OVER w, 0) AS h FROM documents WINDOW w AS (PARTITION BY source_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE b < 60000 AND h < 4""",
     "reuse_groups": f"SELECT grp, (SELECT min(o.grp) FROM {_STORED} o WHERE o.sha = g.sha) AS kept FROM {_GROUPS('true')} g",
     "membership_drift": f"SELECT o.claim AS grp, o.n AS before, g.n AS now FROM {_STORED} o LEFT JOIN {_GROUPS('true')} g USING (claim) WHERE g.sha IS DISTINCT FROM o.sha",
     "fact_search": f"WITH {corpus._FACTS}, h AS (SELECT doc_id, ord, fact, length(list_filter(regexp_extract_all(lower(fact), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN ({search._IN}))) AS hits FROM facts WHERE corpus_class IN ('document', 'communication') AND source_id IN (SELECT id FROM sources WHERE enabled)) SELECT doc_id, ord::INTEGER AS ord, hits::INTEGER AS hits FROM h WHERE hits > 0 OR contains(lower(fact), '_ ') ORDER BY hits DESC, doc_id DESC, ord DESC LIMIT 300",

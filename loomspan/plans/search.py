@@ -76,12 +76,13 @@ def search_websearch(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(fts.matches(fts.tokens(F.col("text")), parsed)).select("doc_id")
 
 
+STEMMED = ("archives", "returning", "passages")
+
+
 def search_stemmed(spark, sf_dir):
-    """Documents by stems of the query, with the frequency rank."""
-    words = [fts.stem(w) for w in ("archives", "returning", "passages")]
-    lex = table(spark, sf_dir, "documents").select("doc_id", fts.lexemes(F.col("text")).alias("w"))
-    found = lex.where(F.arrays_overlap("w", F.array(*map(F.lit, words))))
-    return found.select("doc_id", F.round(fts.rank(F.col("w"), words), 5).alias("rank")).orderBy(F.desc("rank"), F.desc("doc_id")).limit(search.DEPTH)
+    """Documents by stems of the query, with the frequency rank: each distinct word of the corpus is stemmed once."""
+    found = fts.stemmed_counts(table(spark, sf_dir, "documents"), "doc_id", "text", [fts.stem(w) for w in STEMMED])
+    return found.select("doc_id", F.round("rank", 5).alias("rank")).orderBy(F.desc("rank"), F.desc("doc_id")).limit(search.DEPTH)
 
 
 def search_direction(spark, sf_dir):

@@ -36,27 +36,31 @@ def quick_xor_hash(data: bytes) -> str:
 
 
 class Pages:
-    """A paged listing service. ``page(cursor)`` returns entries (path, rev, size, hash) and the next cursor or null."""
+    """A paged listing service. ``page(cursor)`` returns entries (path, rev, size) and the next cursor or null; ``hash`` is asked for one entry at a time, by the tasks."""
 
-    def page(self, cursor: str | None) -> tuple[list[tuple[str, str, int, str]], str | None]:
+    def page(self, cursor: str | None) -> tuple[list[tuple[str, str, int]], str | None]:
+        raise NotImplementedError
+
+    def hash(self, path: str) -> str:
         raise NotImplementedError
 
 
 class FolderPages(Pages):
-    """A stand-in for a remote service: a local folder listed page by page."""
+    """A stand-in for a remote service: a local folder, walked once and listed page by page."""
 
     def __init__(self, root: str, size: int = 100):
-        self.root, self.size = root, size
+        self.root, self.size, self.names = root, size, None
 
     def page(self, cursor):
-        names = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.root) for f in fs)
+        if self.names is None:
+            self.names = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.root) for f in fs)
         start = int(cursor or 0)
-        out = []
-        for path in names[start : start + self.size]:
-            with open(path, "rb") as f:
-                data = f.read()
-            out.append((os.path.relpath(path, self.root), str(int(os.path.getmtime(path))), len(data), block_hash(data)))
-        return out, str(start + self.size) if start + self.size < len(names) else None
+        entries = [(os.path.relpath(p, self.root), str(int(os.path.getmtime(p))), os.path.getsize(p)) for p in self.names[start : start + self.size]]
+        return entries, str(start + self.size) if start + self.size < len(self.names) else None
+
+    def hash(self, path):
+        with open(os.path.join(self.root, path), "rb") as f:
+            return block_hash(f.read())
 
 
 class RemoteSource(DataSource):
@@ -74,16 +78,23 @@ class RemoteSource(DataSource):
 
 
 class _RemoteReader(DataSourceReader):
+    """Pages are listed once, by the driver; each is a partition, whose task asks for the contents' hashes."""
+
     def __init__(self, options):
-        self.pages = FolderPages(options["root"], int(options.get("page", 100)))
+        self.root, self.size = options["root"], int(options.get("page", 100))
 
-    def read(self, partition) -> Iterator[tuple]:
-        cursor = None
+    def partitions(self):
+        pages, cursor, out = FolderPages(self.root, self.size), None, []
         while True:
-            rows, cursor = self.pages.page(cursor)
-            yield from rows
+            entries, cursor = pages.page(cursor)
+            out.append(InputPartition(entries))
             if cursor is None:
-                return
+                return out
+
+    def read(self, partition) -> Iterator[tuple]:
+        pages = FolderPages(self.root, self.size)
+        for path, rev, size in partition.value:
+            yield path, rev, size, pages.hash(path)
 
 
 class SqliteSource(DataSource):
@@ -108,13 +119,23 @@ class _SqliteReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table, self.parts = options["path"], options.get("table"), int(options.get("partitions", 4))
 
+    def _open(self):
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
     def partitions(self):
-        return [InputPartition(i) for i in range(self.parts if self.table else 1)]
+        if not self.table:
+            return [InputPartition(None)]
+        with self._open() as db:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        if low is None:
+            return [InputPartition((0, 0))]
+        step = max(1, -(-(high - low + 1) // self.parts))
+        return [InputPartition((a, a + step)) for a in range(low, high + 1, step)]
 
     def read(self, partition) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+        with self._open() as db:
             if self.table:
-                for row in db.execute(f'SELECT * FROM "{self.table}" WHERE abs(rowid) % ? = ?', (self.parts, partition.value)):
+                for row in db.execute(f'SELECT * FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', partition.value):
                     yield tuple(None if v is None else str(v) for v in row)
                 return
             for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY 1").fetchall():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,29 @@ def map_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+_ITEM = r"<(?:\w+:)?(?:\w*item|\w*entry)[\s>/]"
+
+
+@F.pandas_udf("long")
+def _xml_items(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Elements whose local name ends in item or entry, of texts that are well-formed XML; else null."""
+
+    def count(text: str | None) -> int | None:
+        if text is None or "<" not in text or "<!DOCTYPE" in text:  # no entities from outside
+            return None
+        try:
+            return sum(e.tag.rsplit("}", 1)[-1].lower().endswith(("item", "entry")) for e in ElementTree.fromstring(text.strip()).iter() if isinstance(e.tag, str))
+        except ElementTree.ParseError:
+            return None
+
+    for texts in it:
+        yield texts.map(count).astype("Int64")
+
+
 def feed_items(text):
-    """Number of items of a feed: of a JSON feed, else of XML items and entries."""
-    return F.coalesce(F.size(F.from_json(F.get_json_object(text, "$.items"), "array<string>")), F.regexp_count(text, F.lit(r"<(?:\w+:)?(?:item|entry)[\s>/]")))
+    """Number of items of a feed: of a JSON feed; else of elements of well-formed XML, where there are any; else of what looks like their tags."""
+    plain = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    trimmed = F.regexp_replace(plain, r"^\s+|\s+$", "")
+    json = F.when(trimmed.startswith("{") & trimmed.endswith("}"), F.size(F.from_json(F.get_json_object(trimmed, "$.items"), "array<string>")))
+    xml = _xml_items(F.when(json.isNull(), plain))
+    return F.coalesce(json.cast("long"), F.when(xml > 0, xml), F.regexp_count(plain, F.lit("(?i)" + _ITEM)).cast("long"))

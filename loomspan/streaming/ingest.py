@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,28 +10,30 @@ from loomspan.operators import ingest
 
 
 class State:
-    """A table kept as versions: folders of Parquet and a pointer to the newest that is whole. One writer."""
+    """A table kept as versions: folders of Parquet, each marked once it is whole. One writer.
+
+    Folders and marks stand in any file system that Hadoop knows; the newest marked version counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
     def version(self) -> int:
-        try:
-            with open(os.path.join(self.path, "current.json")) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return -1
+        fs, path = self._folder("marks")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=-1) if fs.exists(path) else -1
 
     def read(self) -> DataFrame | None:
         v = self.version()
-        return self.spark.read.parquet(os.path.join(self.path, f"v{v}")) if v >= 0 else None
+        return self.spark.read.parquet(f"{self.path}/v{v}") if v >= 0 else None
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"v{version}"))
-        new = os.path.join(self.path, "current.json.new")
-        with open(new, "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(new, os.path.join(self.path, "current.json"))
+        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        fs, path = self._folder(f"marks/{version}")
+        fs.create(path).close()
 
 
 def ingest_stream(documents: DataFrame, state: State, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:

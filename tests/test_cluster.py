@@ -26,7 +26,7 @@ def test_restatements_and_groups(spark):
     for r in cluster.regroup(facts, "id", "cls", "v", "sig").collect():
         groups.setdefault(r.grp, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 4], [3], [5], [7]]  # 42 and 45 stay apart
-    linked = cluster.linked_groups(cluster.similar_pairs(facts, "id", "cls", "v", 0.9), facts.select(F.col("id").alias("node"), F.col("sig").alias("signature")), 0.9).collect()
+    linked = cluster.linked_groups(cluster.similar_pairs(facts, "id", "cls", "v", 0.9), facts.select(F.col("id").alias("node"), F.col("sig").alias("signature"), "v"), 0.9).collect()
     assert {(r.node, r.grp) for r in linked} == {(1, 1), (2, 1), (4, 1), (3, 3), (5, 5)}
     best = {r.doc: r.representative for r in cluster.representatives(facts, "doc", "id", "text").collect()}
     assert best == {"A": 1, "B": 4, "C": 7}
@@ -61,10 +61,14 @@ def test_pairs_match_brute_force(spark, block):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(a, b) for a in range(1, 80) for b in range(a + 1, 80) if a % 3 == b % 3 and u[a] @ u[b] >= 0.6}
     assert {(r.a, r.b) for r in cluster.similar_pairs(df, "id", "g", "v", 0.6, block).collect()} == want
-    near = cluster.nearest(df.where("g is not null"), df.where("g is not null"), "id", "g", "v", 3, query_block=30).collect()
-    for a in range(1, 80):
-        best = sorted((round(-(u[a] @ u[b]), 9), b) for b in range(1, 80) if b != a and a % 3 == b % 3)[:3]
-        assert [r.neighbour for r in sorted(near, key=lambda r: r.rank) if r.query == a] == [b for _, b in best]
+    known = df.where("g is not null")
+    for asked, limit in ((known, 100), (known, 30), (known.where("id < 40"), 45), (known, 79)):  # queries travel, blocks meet, rows travel
+        near = cluster.nearest(known if limit != 45 else known, asked, "id", "g", "v", 3, query_block=limit, block=20).collect()
+        for a in {r.id for r in asked.collect()}:
+            best = sorted((round(-(u[a] @ u[b]), 9), b) for b in range(1, 80) if b != a and a % 3 == b % 3)[:3]
+            assert [r.neighbour for r in sorted(near, key=lambda r: r.rank) if r.query == a] == [b for _, b in best]
+    fewer = cluster.nearest(known.where("id < 20"), known, "id", "g", "v", 3, query_block=30).collect()
+    assert {r.query for r in fewer} == set(range(1, 80)) and all(r.neighbour < 20 for r in fewer)
 
 
 def test_components(spark):
@@ -84,44 +88,37 @@ def test_components(spark):
     assert cluster.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_average_linkage():
-    assert cluster.average_linkage(4, {(0, 1): 0.95, (1, 2): 0.93, (0, 2): 0.5, (2, 3): 0.91}, 0.9) == [[0, 1], [2, 3]]
-
-
-def naive_linkage(n, sims, threshold):
+def naive_linkage(x, threshold):
     """All averages over all pairs of groups, each time."""
-    groups = [[i] for i in range(n)]
-    table = np.zeros((n, n))
-    for (a, b), s in sims.items():
-        table[a, b] = table[b, a] = s
+    groups, table = [[i] for i in range(len(x))], x @ x.T
     while len(groups) > 1:
         scores = {(i, j): table[np.ix_(groups[i], groups[j])].mean() for i in range(len(groups)) for j in range(i + 1, len(groups))}
-        (i, j), best = max(scores.items(), key=lambda x: (x[1], (-x[0][0], -x[0][1])))
+        (i, j), best = max(scores.items(), key=lambda y: (y[1], (-y[0][0], -y[0][1])))
         if best < threshold:
             break
         groups[i] = sorted(groups[i] + groups.pop(j))
     return groups
 
 
-def test_average_linkage_matches_brute_force():
+def test_average_linkage_matches_brute_force_over_all_pairs():
     for seed in range(12):
         rnd = np.random.default_rng(seed)
         n = 26
         x = rnd.normal(size=(5, 8))[rnd.integers(0, 5, n)] + rnd.normal(size=(n, 8)) * 0.8
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        least = (0.3, 0.5, 0.0)[seed % 3]
-        sims = {(a, b): float(x[a] @ x[b]) for a in range(n) for b in range(a + 1, n) if x[a] @ x[b] >= least}
-        assert cluster.average_linkage(n, sims, least) == naive_linkage(n, sims, least)
-        even = {p: 0.5 for p in sims if sum(p) % 2}  # ties in all pairs
-        assert cluster.average_linkage(n, even, 0.25) == naive_linkage(n, even, 0.25)
+        least = (0.3, 0.5, 0.1)[seed % 3]
+        links = [(a, b) for a in range(n) for b in range(a + 1, n) if x[a] @ x[b] >= least]  # pairs below it count in the averages and are not given
+        assert cluster.average_linkage(x, links, least) == naive_linkage(x, least)
+    assert cluster.average_linkage(np.ones((4, 1)), [(0, 1), (1, 2), (2, 3), (0, 2)], 0.9) == [[0, 1, 2, 3]]
 
 
 def test_large_parts_are_linked(spark):
     """A component of 400 facts, two dense halves held together by one pair, is two groups."""
-    links = [(i, j, 0.9) for h in (0, 200) for i in range(h, h + 200) for j in range(i + 1, h + 200)] + [(5, 205, 0.9)]
-    pairs = spark.createDataFrame(links, "a long, b long, similarity double")
-    nodes = spark.range(400).select(F.col("id").alias("node"), F.lit("s").alias("signature"))
-    got = {r.node: r.grp for r in cluster.linked_groups(pairs, nodes, 0.5).collect()}
+    vectors_ = [[1.0, 0.0] if i < 200 else [0.0, 1.0] for i in range(400)]
+    vectors_[5], vectors_[205] = [1.0, 0.6], [0.6, 1.0]
+    nodes = spark.createDataFrame([(i, "s", v) for i, v in enumerate(vectors_)], "node long, signature string, v array<double>")
+    pairs = cluster.similar_pairs(nodes, "node", "signature", "v", 0.5)
+    got = {r.node: r.grp for r in cluster.linked_groups(pairs, nodes, 0.6).collect()}
     assert got == {i: i // 200 * 200 for i in range(400)}
 
 

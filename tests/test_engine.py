@@ -31,6 +31,23 @@ def test_search(engine):
         engine.search("x", "other")
 
 
+def test_search_by_author_direction_links_and_facts(engine, spark):
+    write = lambda name, df: df.write.parquet(f"{engine.folder}/{name}.parquet")
+    write("messages", spark.createDataFrame([(1, 10, 1, "the heat pump hums", "{}"), (2, 10, 2, "which heat pump", '{"subject": "Pump"}')], "id long, conversation_id long, author_id long, body string, meta string"))
+    write("conversations", spark.createDataFrame([(10, 2)], "id long, source_id long"))
+    write("session_turns", spark.createDataFrame([(7, 1, 3, "sent", "user", "heat the pump"), (8, 1, None, "received", "assistant", "heat is fine")], "id long, author_id long, session_id long, direction string, role string, content string"))
+    write("sessions", spark.createDataFrame([(3, 1)], "id long, source_id long"))
+    write("embeddings", spark.createDataFrame([(5, [1.0, 0.1])], "vec_id long, embedding array<float>"))
+    ids = lambda *a, **k: [h.chunk_id for h in engine.search(*a, **k).collect()]
+    assert ids("heat", within="messages") == [1, 2] and ids("heat", within="messages", direction="sent") == [1] and ids("heat", within="messages", direction="received") == [2]
+    assert ids("heat", within="messages", author="_d") == [1] and ids("heat", within="turns", direction="sent") == [7] and ids("heat", within="messages", sources=["notes"]) == []
+    links = spark.createDataFrame([(1, 2)], "doc_id long, source_id long")
+    assert set(ids("heat", sources=["mail"], links=links)) == {1, 3}
+    assert ids("heat", "vector", facts=True)[0] == -6 and ids("heat", "vector", facts=True, binary=True)[0] == -6
+    with pytest.raises(ValueError):
+        engine.search("heat", author="Ada")
+
+
 def test_prompt_keeps_mail_home(engine):
     text, cited = engine.prompt("heat pump")
     assert 3 not in cited and "[1]" in text and "letter" not in text
@@ -72,3 +89,16 @@ def test_enrich(spark):
     assert top == {("p", "author"): ("Ada", 0.812, "git-log:top-committer:13/16"), ("q", "author"): ("Bo", 1.0, "git-log:top-committer:1/1")}
     hints = spark.createDataFrame([(["a", "b"],), (None,)], "h array<string>").select(enrich.hint_authors(F.col("h")).alias("a")).collect()
     assert [x.confidence for x in hints[0].a] == [0.8, 0.5] and list(hints[1].a) == []
+
+
+def test_attribution(spark):
+    rows = [(1, "g", ["x <y@z.example>"], ["Ada"], "authored", True), (2, None, ['"Bo M" <b@m.example>', "c@d.example", "", "e", "f", "g"], ["Ada"], "authored", True), (3, None, None, ["Ada ", "Bo"], "authored", False), (4, None, ["Bo"], ["Bo", "C"], "received", False), (5, None, None, ["ada"], "reference", False), (6, None, [], None, "authored", True), (7, None, None, [], "received", False)]
+    df = spark.createDataFrame(rows, "id long, git string, senders array<string>, hints array<string>, trust string, mail boolean")
+    git = F.when(F.col("git").isNotNull(), F.struct(F.lit("authored").alias("trust"), F.lit("git").alias("evidence"), F.array(F.struct(F.lit("Ada").alias("name"), F.lit(0.8).alias("confidence"))).alias("authors")))
+    path = F.struct(F.col("trust"), F.lit("path:x").alias("label"))
+    got = {r.id: (r.a.trust, r.a.evidence, [(x.name, x.confidence) for x in r.a.authors]) for r in df.select("id", enrich.attribute(git, F.col("senders"), F.col("hints"), path, F.col("mail"), ["Ada"]).alias("a")).collect()}
+    assert got == {
+        1: ("authored", "git", [("Ada", 0.8)]), 2: ("received", "message-sender:third-party", [("Bo M", 0.9), ("c@d.example", 0.9), ("e", 0.9), ("f", 0.9)]),
+        3: ("authored", "document-metadata:self+path:x", [("Ada ", 0.8), ("Bo", 0.5)]), 4: ("reference", "document-metadata:third-party+path:x", [("Bo", 0.8), ("C", 0.5)]),
+        5: ("reference", "document-metadata:self+path:x", [("ada", 0.8)]), 6: ("authored", "path:x", [("Ada", 0.6)]), 7: ("received", "path:x", []),
+    }
