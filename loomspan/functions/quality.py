@@ -12,6 +12,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The sample, thresholds and line patterns of the gate.
 SAMPLE, LEAST_LINES = 65_536, 40
@@ -23,7 +24,7 @@ DECISIVE = {"timestamped": 0.6, "hex_per_line": 1.0, "dumpish": 0.7, "repetition
 ALPHA = 0.55
 
 
-_COUNTS = "lines long, shapes long, timestamped long, dumpish long, hex long, base64 long, letters long, chars long, hashes long"
+_COUNTS = "lines shapes timestamped dumpish hex base64 letters chars hashes".split()
 _SPACE = " \t\n\x0b\f\r"
 _TIME, _DUMP, _HEX, _BASE64, _HASH = (re.compile(x, re.ASCII) for x in (TIMESTAMP, DUMP, HEX, BASE64, f"(?:{HEX}|{BASE64})"))
 _DIGITS = re.compile("[0-9]+")
@@ -42,12 +43,11 @@ def counts_of(text: str) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(_COUNTS)
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
 def _counts(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [x.split(" ")[0] for x in _COUNTS.split(", ")]
     for texts in it:
-        rows = [counts_of(t) if t is not None else (None,) * len(names) for t in texts]
-        yield pd.DataFrame(rows, columns=names).astype("Int64")
+        rows = [counts_of(t) if t is not None else (None,) * len(_COUNTS) for t in texts]
+        yield pd.DataFrame(rows, columns=_COUNTS).astype("Int64")
 
 
 def sample_of(text: Column, size: int = SAMPLE, least: int = LEAST_LINES) -> Column:

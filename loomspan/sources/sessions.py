@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspan.functions.text import parse_instant
 
@@ -48,7 +49,7 @@ def map_turns(conversations: DataFrame) -> DataFrame:
 _ITEM = r"<(?:\w+:)?(?:\w*item|\w*entry)[\s>/]"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _xml_items(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Elements whose local name ends in item or entry, of texts that are well-formed XML; else null."""
 
