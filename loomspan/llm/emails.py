@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -74,6 +75,7 @@ def legal_words(text: str) -> int:
     return sum(bool(p.search(text)) for p in _LEGAL) if next(_HINTS.iter(low), None) else 0
 
 
+@lru_cache(maxsize=1 << 16)
 def has_contact(line: str) -> bool:
     return bool(_CONTACT_HINT.search(line)) and bool(_CONTACT.search(line))
 
@@ -200,23 +202,25 @@ def quote_depth(line: str) -> int:
     return depth
 
 
-def quote_features(lines: list[str], out: list[bool], parts: list[tuple[int, int]], often: list[int]) -> np.ndarray:
+def quote_features(lines: list[str], out: list[bool], parts: list[tuple[int, int]], often: list[int], contacts: list[bool]) -> np.ndarray:
     """One row a paragraph, of what the mail itself shows."""
     rows = np.zeros((len(parts), QUOTE_FEATURES), np.float32)
     n_lines, under, lead = max(1, len(lines)), False, -9
     for k, (a, b) in enumerate(parts):
         part = [x.strip() for x in lines[a:b]]
         n = len(part)
-        intro = sum(x.endswith(":") and len(x) < 300 and bool(_INTRO.match(x) or _INTRO_END.search(x)) for x in part)
-        heads = sum(bool(_BANNER.match(x) or _FROM.match(x) or _NEXT.match(x)) for x in part)
-        depth = sum(map(quote_depth, part)) / n
+        intro = sum(x[-1:] == ":" and len(x) < 300 and bool(_INTRO.match(x) or _INTRO_END.search(x)) for x in part)
+        banner = [x[:1] == "-" and bool(_BANNER.match(x)) for x in part]
+        fields = [":" in x and bool(_FROM.match(x) or _NEXT.match(x)) for x in part]
+        angles = [quote_depth(x) if ">" in x else 0 for x in part]
+        heads = sum(banner) + sum(fields)
         rows[k] = (
-            depth, sum(bool(_ANGLE.match(x)) for x in part) / n, sum(bool(_BAR.match(x)) for x in part) / n, sum(out[a:b]) / n, intro, heads / n, a - lead <= 3, under, sum(map(has_contact, part)) / n,
+            sum(angles) / n, sum(d > 0 for d in angles) / n, sum("|" in x and bool(_BAR.match(x)) for x in part) / n, sum(out[a:b]) / n, intro, heads / n, a - lead <= 3, under, sum(contacts[a:b]) / n,
             sum(math.log1p(often[i]) for i in range(a, b)) / n, n, sum(map(len, part)) / n, a / n_lines, k > 0 and out[parts[k - 1][0]], k + 1 < len(parts) and out[parts[k + 1][0]],
         )
         if intro or heads:
             lead = b
-        under = under or any(_BANNER.match(x) for x in part) or any(_FROM.match(lines[i]) and _header(lines, i) for i in range(a, b))
+        under = under or any(banner) or any(f and _FROM.match(lines[a + i]) and _header(lines, a + i) for i, f in enumerate(fields))
     return rows
 
 
@@ -239,7 +243,7 @@ def thread_labels(lines: list[str], out: list[bool], parts: list[tuple[int, int]
     return labels
 
 
-def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]], old: list[bool], often: list[int], sender: str) -> np.ndarray:
+def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]], old: list[bool], often: list[int], sender: str, contacts: list[bool]) -> np.ndarray:
     """One row a block."""
     rows = np.zeros((len(found), FEATURES), np.float32)
     names = {w.lower() for w in re.findall(r"[^\W\d_]{2,}", sender or "")}
@@ -252,7 +256,7 @@ def features(lines: list[str], out: list[bool], found: list[tuple[int, int, int]
         n = len(part)
         mean = sum(map(len, part)) / n
         sign, rule, auto = bool(_SIGN_OFF.match(part[0])), bool(_RULE.match(part[0])), any(_AUTO.match(x) for x in part[:2])
-        contact = sum(map(has_contact, part)) / n
+        contact = sum(contacts[start:end]) / n
         sentences = sum(bool(_SENTENCE.search(x[-8:])) or x.count(" ") >= 7 and len(x.split()) >= 8 for x in body) / max(1, len(body))
         legal = legal_words(text)
         words = {w.lower() for w in re.findall(r"[^\W\d_]{2,}", " ".join(part[:3]))} if mean < 60 else set()
@@ -328,9 +332,8 @@ def line_statistics(mails: DataFrame) -> DataFrame:
                 marked.append([bool(_ANGLE.match(x)) for x in lines])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "thread", "mail", "sender", "sent")), pa.array(out, pa.list_(pa.int64())), pa.array(marked, pa.list_(pa.bool_()))], ["id", "thread", "mail", "sender", "sent", "hashes", "marked"])
 
-    flat = mails.mapInArrow(hashes, "id long, thread long, mail long, sender long, sent long, hashes array<long>, marked array<boolean>")
+    flat = cut(mails.mapInArrow(hashes, "id long, thread long, mail long, sender long, sent long, hashes array<long>, marked array<boolean>"))  # as arrays, an eighth of the rows' size
     lines = flat.select("id", "thread", "mail", "sender", "sent", F.posexplode(F.arrays_zip("hashes", "marked")).alias("line", "z")).select("id", "thread", "mail", "sender", "sent", "line", F.col("z.hashes").alias("h"), F.col("z.marked").alias("marked")).where(F.col("h").isNotNull())
-    lines = cut(lines)
     first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail", "sender")).alias("first"))
     common = first.groupBy("h").agg(F.count("*").alias("threads")).where("threads > 1").select("h", F.lit(True).alias("common"))  # says nothing of who is quoted
     first = first.join(common, "h", "left")
@@ -361,7 +364,8 @@ def classify(messages: DataFrame, *, train_mails: int = TRAIN_MAILS, with_text:
         out = quoted(lines, old)
         found = blocks(lines, out)
         parts = paragraphs(lines, out, found)
-        return lines, found, features(lines, out, found, old, often, name or ""), parts, quote_features(lines, out, parts, often), lambda: thread_labels(lines, out, parts, others, old)
+        contacts = [has_contact(x.strip()) for x in lines]
+        return lines, found, features(lines, out, found, old, often, name or "", contacts), parts, quote_features(lines, out, parts, often, contacts), lambda: thread_labels(lines, out, parts, others, old)
 
     fields = ("body", "line", "old", "others", "often", "sender_name")
 
