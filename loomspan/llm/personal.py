@@ -37,6 +37,7 @@ DIGIT_WORDS = {
 TITLES = "mr mrs ms miss dr prof herr frau mme m monsieur madame sr sra señor señora sir".split()
 PARTICLES = "de von van der den del di da la le du dos ten ter zu".split()
 STREETS = "street st road rd drive dr lane ln avenue ave row court ct close way place square terrace crescent gardens boulevard blvd parkway highway hill quay mews walk".split()
+NUMBER_AFTER = frozenset("calle avenida rua plaza via viale".split())
 STREET_ENDS = "straße strasse str. gasse allee weg platz damm ufer ring steig chaussee straat laan gracht plein kade".split()
 STREET_STARTS = "rue avenue av. boulevard bd quai place chemin impasse allée route cours passage calle avenida plaza paseo carrera rua travessa praça via viale piazza".split()
 BOXES = ("p.o. box", "po box", "p. o. box", "post office box", "postfach", "boîte postale", "apartado", "postbus", "casilla")
@@ -243,31 +244,45 @@ class Detector:
             self.surnames.make_automaton()
 
     def _seen(self, source: str, low: str) -> set[str]:
-        """Kinds of keywords; street words only where a number stands as in an address."""
-        seen, digits = set(), 0
+        """Kinds of keywords that stand as their patterns need them: street words by a number, digit words by each other."""
+        seen, run, last = set(), 0, -99
         for end, kinds in self.keys.iter(low):
             for kind, length in kinds:
-                if kind == "digit":
-                    digits += 1
-                    continue
                 if kind in seen:
                     continue
-                if kind == "street":
-                    at = end - length + 1
+                at = end - length + 1
+                if kind == "digit":  # three in a row, with no more between them than separators and a few figures take
+                    run = run + 1 if at - last <= 40 else 1
+                    last = end
+                    if run < 3:
+                        continue
+                elif kind == "street":
                     if not (source[at : at + 1].isupper() or source[at + 1 : at + 2].isupper()) or not any(c.isdigit() for c in low[max(0, at - 48) : at]):
                         continue
                 elif kind == "end":
                     if not low[end + 1 : end + 2].isspace() or not low[end + 1 : end + 5].strip()[:1].isdigit():
                         continue
-                elif kind == "start" and not any(c.isdigit() for c in low[max(0, end - length - 9) : end + 1] + low[end + 1 : end + 40]):
+                elif kind == "start" and not self._starts_street(source, low, at, end + 1):
+                    continue
+                elif kind == "who" and low[end] == "<" and "@" not in low[end : end + 80]:
                     continue
                 seen.add(kind)
         if any(c.upper() in source for c in SHORT_CUES):
             seen.add("cue")
-        if digits > 2:
-            seen.add("digit")
         return seen
 
+    @staticmethod
+    def _starts_street(source: str, low: str, at: int, end: int) -> bool:
+        """Whether a street word that comes first has its number right before it, or may have it after a name."""
+        if not low[end : end + 1].isspace():
+            return False
+        before = low[max(0, at - 24) : at]
+        if before and before[-1].isspace():
+            left = before.rstrip()
+            if not left and at > 24 or any(c.isdigit() for c in left[-6:]):
+                return True
+        return low[at:end] in NUMBER_AFTER and source[end : end + 12].lstrip()[:1].isupper()
+
     def _names(self, text: str, mails: Spans) -> list[tuple[int, int]]:
         """Spans of surnames with a given name or an initial beside them, outside mail addresses."""
         if not self.names.forms:
