@@ -78,6 +78,11 @@ def tight_radius(n: Column, threshold: float) -> Column:
     return 1 - F.sqrt((1 + (n - 1) * threshold) / n)
 
 
+def needs_model(radius: Column, n: Column, threshold: float) -> Column:
+    """Whether a group is loose enough for a model to confirm it: its farthest member lies beyond the tight radius."""
+    return F.lit(True) if threshold >= 1 else radius > tight_radius(n, threshold)
+
+
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     """``group, n, mean``: the normalised mean of each group's vectors.
 

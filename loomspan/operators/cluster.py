@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomspan.session import cut
 
 #: Rows of one block of a similarity join, and queries that travel to every task at a time.
-BLOCK, QUERY_BLOCK = 2_000, 100_000
+BLOCK, QUERY_BLOCK = 8_000, 100_000
 
 
 def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
@@ -172,7 +172,7 @@ def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int
         yield ids[ask][rows][keep], own[columns][keep], best[keep]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, group: str, vector: str, k: int, query_block: int = QUERY_BLOCK, block: int = 8 * BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, key: str, group: str, vector: str, k: int, query_block: int = QUERY_BLOCK, block: int = 2 * BLOCK) -> DataFrame:
     """``query, neighbour, similarity, rank``: the k nearest rows of the same group for each query, exactly.
 
     Whichever side is small (its size is counted) travels to every task, which keeps k a query; if neither is,

@@ -86,6 +86,24 @@ def backfill(todo: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence
     return todo.select("chunk_id", "text").mapInPandas(run, "chunk_id long, embedding array<float>")
 
 
+def backfill_all(chunks: DataFrame, vectors: Callable[[], DataFrame], write: Callable[[DataFrame], None], embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], model: Model, rows: int = 100_000, tell: Callable[[int], None] = lambda n: None) -> int:
+    """Embeds what is pending, some rows at a time, until nothing is; returns how many rounds wrote vectors.
+
+    ``vectors`` reads the stored table anew, ``write`` adds to it. The first round that fails ends it with the error;
+    what earlier rounds wrote stays, so a second run goes on from there. A round that adds nothing ends it too.
+    """
+    rounds, left = 0, None
+    while True:
+        todo = pending(chunks, vectors(), model)
+        now = todo.count()
+        tell(now)
+        if not now or now == left:
+            return rounds
+        left = now
+        write(backfill(todo.orderBy("chunk_id").limit(rows), embed, model))
+        rounds += 1
+
+
 def upsert(old: DataFrame, new: DataFrame, replace_old: bool = True) -> DataFrame:
     """Vectors by chunk: new ones replace old ones, or only fill gaps."""
     if replace_old:

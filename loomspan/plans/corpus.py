@@ -144,15 +144,14 @@ def materialize_budget(spark, sf_dir):
 
 
 def contact_lookup(spark, sf_dir):
-    a = table(spark, sf_dir, "authors").select("id", "display_name", text.handle_key(F.col("display_name")).alias("key"))
-    contacts = a.where("key is not null").select("key", F.concat(F.lit("contact "), F.col("key")).alias("name"))
-    return ingest.lookup_contacts(a.where("key is not null"), contacts).select("id", "name")
+    """Names of handles in an address book that writes phone numbers with another prefix: mail addresses match whole, numbers by their last ten digits."""
+    a = table(spark, sf_dir, "authors").select("id", text.handle_key(F.col("display_name")).alias("key")).where("key is not null")
+    book = F.when(F.col("key").contains("@"), F.col("key")).otherwise(F.concat(F.lit("00"), "key"))
+    return ingest.lookup_contacts(a, a.select(book.alias("key"), F.concat(F.lit("contact "), F.col("key")).alias("name"))).select("id", "name")
 
 
-def active_lineage(spark, sf_dir):
-    """Turns on the way from each session's last turn up to its root, or to where the way leaves the session; those with text of user and assistant numbered."""
-    t = table(spark, sf_dir, "session_turns").select("id", "session_id", "parent_turn_id", "ord", "role", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("said"))
-    ends = cut(t.groupBy("session_id").agg(F.max_by("id", F.struct("ord", "id")).alias("node")))
+def _lineage(t, ends):
+    """Turns on the way from each session's end (session_id, node) up to its root, or to where the way leaves the session; those with text of user and assistant numbered."""
     way = hierarchy.paths(t, "id", "parent_turn_id", wanted=ends).join(ends, "node")
     steps = way.select("session_id", F.col("path").isNull().alias("circled"), F.posexplode(F.coalesce("path", F.array("node"))).alias("at", "id")).join(t.select("id", F.col("session_id").alias("_s"), "role", "said"), "id")
     left = steps.where("_s <> session_id").groupBy("session_id").agg(F.max("at").alias("_left"))
@@ -161,6 +160,26 @@ def active_lineage(spark, sf_dir):
     return running_sum(shown, "session_id", ["depth", "id"], F.lit(1), "active_ord").select("id", "session_id", F.col("active_ord").cast("long").alias("active_ord"))
 
 
+def _said(spark, sf_dir):
+    return table(spark, sf_dir, "session_turns").select("id", "session_id", "parent_turn_id", "ord", "role", F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)).alias("said"))
+
+
+def _last(t):
+    return cut(t.groupBy("session_id").agg(F.max_by("id", F.struct("ord", "id")).alias("node")))
+
+
+def active_lineage(spark, sf_dir):
+    """The way up from each session's last turn."""
+    t = _said(spark, sf_dir)
+    return _lineage(t, _last(t))
+
+
+def leaf_lineage(spark, sf_dir):
+    """The way up from each session's last turn that nothing answers, as exports without a current turn have it."""
+    t = _said(spark, sf_dir)
+    return _lineage(t, _last(t.join(t.where("parent_turn_id is not null").select(F.col("parent_turn_id").alias("id")).distinct(), "id", "left_anti")))
+
+
 def message_offsets(spark, sf_dir):
     """Each message of a thread as one chunk of the thread's document, with its offsets there."""
     m = table(spark, sf_dir, "messages").select("id", "conversation_id", "sent_at", F.length("body").alias("chars"))
@@ -190,7 +209,7 @@ def config_sync(spark, sf_dir):
     return ingest.sync_sources(declared, s, fields)
 
 
-QUERIES = {f.__name__: f for f in (corpus_overview, list_sources, list_authors, corpus_stats, source_stats, list_documents, get_document, list_facts, fact_excerpts, list_facts_collapsed, fact_stats, fact_facets, pending_chunks, skip_ladder, chunk_merge_actions, document_upsert, ownership_promotion, reconcile_candidates, materialize_budget, contact_lookup, active_lineage, message_offsets, session_titles, session_sync, config_sync)}
+QUERIES = {f.__name__: f for f in (corpus_overview, list_sources, list_authors, corpus_stats, source_stats, list_documents, get_document, list_facts, fact_excerpts, list_facts_collapsed, fact_stats, fact_facets, pending_chunks, skip_ladder, chunk_merge_actions, document_upsert, ownership_promotion, reconcile_candidates, materialize_budget, contact_lookup, active_lineage, leaf_lineage, message_offsets, session_titles, session_sync, config_sync)}
 
 _FACTS = "facts AS (SELECT doc_id, source_id, corpus_class, ord - 1 AS ord, fact FROM (SELECT doc_id, source_id, corpus_class, unnest(string_split(text, chr(10))) AS fact, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents) WHERE regexp_matches(fact, '\\S'))"
 _FOLD = "translate(lower(fact), 'ſςµ', 'sσμ')"
@@ -223,7 +242,8 @@ ORACLES = {
         gone AS (SELECT * FROM documents d WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.source_id = d.source_id AND s.uri = d.uri))
         SELECT doc_id, source_id, (SELECT count(*) FROM gone h WHERE h.source_id = g.source_id) <= 0.25 * (SELECT count(*) FROM documents d WHERE d.source_id = g.source_id) AS allowed FROM gone g""",
     "materialize_budget": "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 30000",
-    "contact_lookup": f"""WITH a AS (SELECT id, {_KEY} AS key FROM (SELECT id, regexp_replace(display_name, '^\\s+|\\s+$', '', 'g') AS n FROM authors)) SELECT id, 'contact ' || key AS name FROM a WHERE key IS NOT NULL""",
+    "contact_lookup": f"""WITH a AS (SELECT id, {_KEY} AS key FROM (SELECT id, regexp_replace(display_name, '^\\s+|\\s+$', '', 'g') AS n FROM authors)), b AS (SELECT right('00' || key, 10) AS tail, min(key) AS k FROM a WHERE NOT contains(key, '@') AND length(key) >= 8 GROUP BY 1 HAVING count(DISTINCT key) = 1)
+        SELECT id, 'contact ' || CASE WHEN contains(key, '@') THEN key WHEN EXISTS (SELECT 1 FROM a x WHERE '00' || x.key = a.key) THEN substr(a.key, 3) WHEN length(key) >= 10 THEN b.k END AS name FROM a LEFT JOIN b ON length(key) >= 10 AND b.tail = right(key, 10) WHERE key IS NOT NULL""",
     "active_lineage": r"""WITH t AS (SELECT a.id, a.session_id, a.ord, a.role, coalesce(regexp_matches(a.content, '[^\s\x0B]'), false) AS said, b.id AS parent FROM session_turns a LEFT JOIN session_turns b ON b.id = a.parent_turn_id AND b.session_id = a.session_id),
         down AS (WITH RECURSIVE d AS (SELECT id, 0 AS depth FROM session_turns x WHERE NOT EXISTS (SELECT 1 FROM session_turns y WHERE y.id = x.parent_turn_id) UNION ALL SELECT s.id, depth + 1 FROM d JOIN session_turns s ON s.parent_turn_id = d.id) SELECT * FROM d),
         u AS (SELECT t.* EXCLUDE (parent), CASE WHEN depth IS NOT NULL THEN parent END AS parent, depth FROM t LEFT JOIN down USING (id)),
@@ -235,3 +255,4 @@ ORACLES = {
     "session_sync": "WITH s AS (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY updated_at DESC, id DESC) = 1) SELECT a.id, coalesce(a.parent_session_id, b.id) AS parent FROM s a LEFT JOIN s b ON b.source_id = a.source_id AND b.external_id = a.parent_external_id",
     "config_sync": "SELECT slug, CASE WHEN kind = 'filesystem' OR root = '/elsewhere' THEN 'unchanged' ELSE 'updated' END AS action FROM sources UNION ALL SELECT 'new-' || slug, 'created' FROM sources",
 }
+ORACLES["leaf_lineage"] = ORACLES["active_lineage"].replace("FROM u GROUP BY session_id", "FROM u WHERE id NOT IN (SELECT parent_turn_id FROM session_turns WHERE parent_turn_id IS NOT NULL) GROUP BY session_id")

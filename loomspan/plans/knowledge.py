@@ -47,7 +47,7 @@ def pairs_above_threshold(spark, sf_dir):
 
 def group_variability(spark, sf_dir):
     v = cluster.variability(_facts(spark, sf_dir), "label", "embedding")
-    return v.select("label", "n", F.round("spread", 6).alias("spread"), F.round("radius", 6).alias("radius"), F.round(vectors.tight_radius(F.col("n"), 0.97), 6).alias("tight"))
+    return v.select("label", "n", F.round("spread", 6).alias("spread"), F.round("radius", 6).alias("radius"), F.round(vectors.tight_radius(F.col("n"), 0.97), 6).alias("tight"), vectors.needs_model(F.col("radius"), F.col("n"), 0.97).alias("loose"))
 
 
 def restatement_components(spark, sf_dir):
@@ -201,7 +201,7 @@ ORACLES = {
     "binary_signs": "SELECT vec_id, w::INTEGER AS word, length(list_filter(embedding[32 * w + 1:32 * w + 32], lambda x: x > 0))::INTEGER AS ones FROM embeddings, (VALUES (0), (1)) t(w)",
     "knn_per_row": "SELECT q.vec_id AS query, b.vec_id AS neighbour, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id)::INTEGER AS rank FROM embeddings q JOIN embeddings b ON q.label = b.label AND q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10",
     "pairs_above_threshold": f"WITH {_PAIRS} SELECT vec_id, count(*) AS links, round(max(s), 6) AS closest FROM (SELECT a AS vec_id, s FROM p UNION ALL SELECT b, s FROM p) GROUP BY 1",
-    "group_variability": f"WITH {_MEAN} SELECT label, n, round(avg(d), 6) AS spread, round(max(d), 6) AS radius, round(1 - sqrt((1 + (n - 1) * 0.97) / n), 6) AS tight FROM (SELECT label, n, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS d FROM embeddings JOIN nm USING (label)) GROUP BY label, n",
+    "group_variability": f"WITH {_MEAN} SELECT label, n, round(avg(d), 6) AS spread, round(max(d), 6) AS radius, round(1 - sqrt((1 + (n - 1) * 0.97) / n), 6) AS tight, max(d) > 1 - sqrt((1 + (n - 1) * 0.97) / n) AS loose FROM (SELECT label, n, 1 - list_cosine_similarity(embedding::DOUBLE[], v) AS d FROM embeddings JOIN nm USING (label)) GROUP BY label, n",
     "restatement_components": f"WITH {_PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (WITH RECURSIVE r AS (SELECT DISTINCT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other) SELECT * FROM r) SELECT node, min(other) AS component FROM r GROUP BY 1",
     "cluster_incremental": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, CASE WHEN s >= {ALIKE} THEN grp END AS grp FROM c",
     "join_anchors": f"WITH {_MEAN}, c AS (SELECT vec_id AS node, nm.label AS grp, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS s FROM embeddings, nm QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nm.label) = 1) SELECT node, grp, round(s, 6) AS similarity FROM c WHERE s >= {ALIKE}",

@@ -115,7 +115,7 @@ def test_average_linkage_matches_brute_force_over_all_pairs():
 def test_large_parts_are_linked(spark):
     """A component of 400 facts, two dense halves held together by one pair, is two groups."""
     vectors_ = [[1.0, 0.0] if i < 200 else [0.0, 1.0] for i in range(400)]
-    vectors_[5], vectors_[205] = [1.0, 0.6], [0.6, 1.0]
+    vectors_[5], vectors_[205] = [1.0, 0.5], [0.5, 1.0]
     nodes = spark.createDataFrame([(i, "s", v) for i, v in enumerate(vectors_)], "node long, signature string, v array<double>")
     pairs = cluster.similar_pairs(nodes, "node", "signature", "v", 0.5)
     got = {r.node: r.grp for r in cluster.linked_groups(pairs, nodes, 0.6).collect()}

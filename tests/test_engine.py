@@ -102,3 +102,35 @@ def test_attribution(spark):
         3: ("authored", "document-metadata:self+path:x", [("Ada ", 0.8), ("Bo", 0.5)]), 4: ("reference", "document-metadata:third-party+path:x", [("Bo", 0.8), ("C", 0.5)]),
         5: ("reference", "document-metadata:self+path:x", [("ada", 0.8)]), 6: ("authored", "path:x", [("Ada", 0.6)]), 7: ("received", "path:x", []),
     }
+
+
+def test_backfill_goes_on_until_nothing_is_pending(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "x" * (i % 5 + 1), "prose", "document") for i in range(25)], "chunk_id long, text string, chunker string, corpus_class string")
+    store, model, seen = str(tmp_path / "v"), models.Model("m", 2), []
+    read = lambda: spark.read.schema("chunk_id long, embedding array<float>").parquet(store) if (tmp_path / "v").exists() else spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    write = lambda df: df.write.mode("append").parquet(store)
+    assert models.backfill_all(chunks, read, write, lambda ts: [[1, len(t)] for t in ts], model, rows=10, tell=seen.append) == 3
+    assert seen == [25, 15, 5, 0] and read().count() == 25
+    with pytest.raises(Exception):
+        models.backfill_all(chunks.selectExpr("chunk_id + 100 as chunk_id", "text", "chunker", "corpus_class"), read, write, lambda ts: [[1]], model)
+    assert read().count() == 25
+
+
+def test_progress(spark):
+    from loomspan.streaming import progress
+
+    told = []
+    with pytest.raises(ValueError):
+        progress.staged("rebuild", [("a", lambda: None), ("b", lambda: int("x"))], told.append)
+    assert [(p.done, p.note.split(" ")[0]) for p in told] == [(0, "a"), (1, "b"), (1, "b")]
+    listener = progress.watch(spark, told.append)
+    query = spark.readStream.format("rate").load().writeStream.format("noop").trigger(once=True).start()
+    query.awaitTermination()
+    import time
+
+    for _ in range(50):
+        if any(p.note == "done" for p in told):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert any(p.note == "done" for p in told)
