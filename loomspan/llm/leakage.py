@@ -86,23 +86,30 @@ def window_hashes(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
 
 
 class Windows:
-    """The windows of one text: ``joined`` by template or own words, ``exact`` by own words, and their slots."""
+    """The windows of one text: ``joined`` by template or own words. Hashes of own words are made where a window needs them."""
 
     def __init__(self, tokens: list[str], template: np.ndarray, width: int):
-        self.width = width
+        self.tokens, self.template, self.width, self._exact = tokens, template, width, None
         self.joined = window_hashes(template, width)
-        self.exact = self.joined
-        self.slot = (template == _NUMBER) | (template == _UNIT) | (template == _PERSON)
-        if not len(self.joined) or not self.slot.any():
+        if not len(self.joined):
             return
-        self.own = template.copy()
-        self.own[self.slot] = [word_hash(tokens[i]) for i in np.flatnonzero(self.slot)]
-        self.exact = window_hashes(self.own, width)
-        held = np.concatenate([[0], np.cumsum(self.slot)])
-        few = width - (held[width:] - held[:-width]) < min(LEAST_PLAIN, width)
-        self.joined = np.where(few, (self.exact.view(np.uint64) ^ _OWN).view(np.int64), self.joined)
+        self.slot = (template == _NUMBER) | (template == _UNIT) | (template == _PERSON)
+        held = np.cumsum(self.slot)
+        slots = held[width - 1 :].copy()
+        slots[1:] -= held[:-width]
+        few = slots > width - min(LEAST_PLAIN, width)
+        if few.any():
+            self.joined = np.where(few, (self.exact().view(np.uint64) ^ _OWN).view(np.int64), self.joined)
+
+    def exact(self) -> np.ndarray:
+        if self._exact is None:
+            self.own = self.template.copy()
+            self.own[self.slot] = [word_hash(self.tokens[i]) for i in np.flatnonzero(self.slot).tolist()]
+            self._exact = window_hashes(self.own, self.width)
+        return self._exact
 
     def slots(self, at: int) -> list[int]:
+        self.exact()
         marks = self.slot[at : at + self.width]
         return self.own[at : at + self.width][marks].view(np.int64).tolist() if marks.any() else []
 
@@ -134,7 +141,9 @@ def _windows(df: DataFrame, names: set[str], wanted: np.ndarray | None, width: i
                 ids += [key] * len(hits)
                 at += hits.tolist()
                 joined += h[hits].tolist()
-                exact += w.exact[hits].tolist()
+                if not len(hits):
+                    continue
+                exact += w.exact()[hits].tolist()
                 slots += [w.slots(i) for i in hits.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(joined, pa.int64()), pa.array(exact, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["id", "pos", "window_hash", "exact_hash", "slots"])
 
