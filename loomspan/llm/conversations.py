@@ -63,7 +63,7 @@ def paths_of(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = messages.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n"))
     single = answers.where("n = 1").select(F.col("node").alias("up"), F.lit(True).alias("single"))
     linked = cut(messages.join(single, "up", "left"))
-    runs = hierarchy.resolve(linked.select("node", F.when(F.col("single"), F.col("up")).alias("up")), "node", "up")
+    runs = hierarchy.resolve(linked.select("node", F.when(F.col("single"), F.col("up")).alias("up")), "node", "up", unique=True)
     placed = cut(linked.drop("single").join(runs.select("node", F.col("root").alias("head"), F.col("depth").alias("at"), "circle"), "node"))
     graph = placed.groupBy("session_id", "head").agg(
         F.max(F.when(F.col("node") == F.col("head"), F.col("up"))).alias("up"), F.min("circle").alias("circle"),
@@ -80,7 +80,7 @@ def answered_below(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     Marks climb by doubling: in each round a mark reaches twice as far, so the rounds are the logarithm of
     the depth of branching.
     """
-    trees = cut(hierarchy.resolve(graph, "head", "above"))
+    trees = cut(hierarchy.resolve(graph, "head", "above", unique=True))
     circles = trees.where(F.col("circle").isNotNull()).select(F.col("node").alias("head"))
     deepest = trees.agg(F.max("depth")).first()[0] or 0
     jump = graph.join(circles, "head", "left_anti").where(F.col("above").isNotNull()).select("head", "above")
