@@ -318,7 +318,7 @@ def line_statistics(mails: DataFrame) -> DataFrame:
     """Per mail: ``old``, ``others`` and ``often`` of each of its lines, as arrays by line.
 
     ``old``: the text of the line (without quote marks) stands in an earlier mail of the thread; copies of the
-    same mail do not count. ``others``: and another sender was the first to write it, and no other thread holds it. ``often``: in how many mails of the sender it stands unquoted. Input columns:
+    same mail do not count. ``others``: and another sender was the first to write it, and no other thread holds it. ``often``: how often the sender wrote it unquoted, copies of mails included. Input columns:
     ``id, thread, mail, sender, sent, body``.
     """
 
@@ -337,7 +337,7 @@ def line_statistics(mails: DataFrame) -> DataFrame:
     first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail", "sender")).alias("first"))
     common = first.groupBy("h").agg(F.count("*").alias("threads")).where("threads > 1").select("h", F.lit(True).alias("common"))  # says nothing of who is quoted
     first = first.join(common, "h", "left")
-    often = lines.where(~F.col("marked")).groupBy("sender", "h", "mail").agg(F.lit(1).alias("one")).groupBy("sender", "h").agg(F.sum("one").alias("often")).where("often > 1")
+    often = lines.where(~F.col("marked")).groupBy("sender", "h").agg(F.count("*").alias("often")).where("often > 1")
     known = lines.join(first, ["thread", "h"]).select("id", "line", "sender", "h", ((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail"))).alias("old"), F.when(F.col("common").isNull(), F.col("first.sender")).alias("_by"))
     full = known.join(often, ["sender", "h"], "left").select("id", F.struct("line", "old", F.coalesce(F.col("old") & (F.col("_by") != F.col("sender")), F.lit(False)).alias("others"), F.coalesce("often", F.lit(1)).cast("int").alias("often")).alias("l"))
     part = lambda c: F.transform("stats", lambda x: x[c]).alias(c)
