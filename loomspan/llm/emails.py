@@ -334,11 +334,11 @@ def line_statistics(mails: DataFrame) -> DataFrame:
 
     flat = cut(mails.mapInArrow(hashes, "id long, thread long, mail long, sender long, sent long, hashes array<long>, marked array<boolean>"))  # as arrays, an eighth of the rows' size
     lines = flat.select("id", "thread", "mail", "sender", "sent", F.posexplode(F.arrays_zip("hashes", "marked")).alias("line", "z")).select("id", "thread", "mail", "sender", "sent", "line", F.col("z.hashes").alias("h"), F.col("z.marked").alias("marked")).where(F.col("h").isNotNull())
-    first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail", "sender")).alias("first"))
+    first = lines.groupBy("thread", "h").agg(F.min(F.struct("sent", "mail", "sender")).alias("first"), F.max("sent").alias("last"))
     common = first.groupBy("h").agg(F.count("*").alias("threads")).where("threads > 1").select("h", F.lit(True).alias("common"))  # says nothing of who is quoted
-    first = first.join(common, "h", "left")
+    first = first.where("last > first.sent").drop("last").join(common, "h", "left")  # of lines that nobody wrote again, none is old
     often = lines.where(~F.col("marked")).groupBy("sender", "h").agg(F.count("*").alias("often")).where("often > 1")
-    known = lines.join(first, ["thread", "h"]).select("id", "line", "sender", "h", ((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail"))).alias("old"), F.when(F.col("common").isNull(), F.col("first.sender")).alias("_by"))
+    known = lines.join(first, ["thread", "h"], "left").select("id", "line", "sender", "h", F.coalesce((F.col("first.sent") < F.col("sent")) & (F.col("first.mail") != F.col("mail")), F.lit(False)).alias("old"), F.when(F.col("common").isNull(), F.col("first.sender")).alias("_by"))
     full = known.join(often, ["sender", "h"], "left").select("id", F.struct("line", "old", F.coalesce(F.col("old") & (F.col("_by") != F.col("sender")), F.lit(False)).alias("others"), F.coalesce("often", F.lit(1)).cast("int").alias("often")).alias("l"))
     part = lambda c: F.transform("stats", lambda x: x[c]).alias(c)
     return full.groupBy("id").agg(F.collect_list("l").alias("stats")).select("id", part("line"), part("old"), part("others"), part("often"))
