@@ -79,3 +79,21 @@ ORACLES = {
                                     WHEN id IN (FROM open) THEN 'unanswered' END AS reason FROM s
     ) WHERE reason IS NOT NULL""",
 }
+ORACLES["p6_conversations"] = f"""
+    WITH t AS (
+      SELECT session_id, id, CASE WHEN external_id <> '' THEN external_id ELSE 'row ' || id END AS ext, nullif(parent_external_id, '') AS parent FROM session_turns
+    ), m AS (
+      SELECT session_id, ext, min(id) AS node, arg_min(parent, id) FILTER (WHERE parent IS NOT NULL) AS parent FROM t GROUP BY ALL
+    ), l AS (
+      SELECT m.session_id, m.node, p.node AS up FROM m LEFT JOIN m p ON p.session_id = m.session_id AND p.ext = m.parent
+    ), s AS (
+      SELECT l.*, CASE WHEN count(*) OVER (PARTITION BY up) = 1 THEN up END AS single FROM l
+    ), w AS (
+      WITH RECURSIVE r AS (
+        SELECT node, 0 AS at_ FROM s WHERE single IS NULL
+        UNION ALL SELECT s.node, r.at_ + 1 FROM r JOIN s ON s.single = r.node
+      ) SELECT * FROM r
+    )
+    SELECT s.session_id, row_number() OVER (PARTITION BY s.session_id ORDER BY a.ord NULLS FIRST, at_, s.node) - 1 AS position, s.node, a.role, a.content
+    FROM s JOIN w ON w.node = s.node JOIN session_turns a ON a.id = s.node
+    WHERE s.session_id NOT IN (SELECT session_id FROM ({ORACLES["p6_found"]}))"""
