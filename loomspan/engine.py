@@ -73,10 +73,8 @@ class Engine:
             asked = self.embed(query)
             vec = search.near_binary(stored, asked, self.width) if binary else search.near(stored.drop("part"), asked, distance)
         if mode != "vector":
-            parsed = fts.parse(query)
-            words = sorted({w for terms in parsed for negated, ws in terms if not negated for w in ws})
-            matching = found.where(fts.matches(fts.tokens(F.col("text")), parsed))
-            text = search.mentioning(matching.select("chunk_id", "text"), words) if words else text
+            mentions = self._mentions(found, fts.parse(query), within)
+            text = text if mentions is None else mentions
         hits = search.fuse(vec, text, limit)
         about = found.select("chunk_id", "title", F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")).alias("snippet"))
         out = about.join(F.broadcast(hits), "chunk_id").select("chunk_id", "score", "matched_by", "title", "snippet")
@@ -85,6 +83,27 @@ class Engine:
             out = out.unionByName(hits.where("chunk_id < 0").select("chunk_id", "score", "matched_by", nothing.alias("title"), nothing.alias("snippet")))
         return out.orderBy(F.desc("score"), "chunk_id")
 
+    def _stored(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def index(self) -> None:
+        """Writes the words of all documents as a table that searches then read; to be called again when documents change."""
+        fts.build_index(self.table("documents"), "doc_id", "text").write.mode("overwrite").parquet(f"{self.folder}/postings.parquet")
+
+    def _mentions(self, found: DataFrame, parsed: list, within: str) -> DataFrame | None:
+        """Ranked mentions among ``found``: by the index where there is one; texts are read only to check phrases and exclusions."""
+        words = fts.positive_words(parsed)
+        if not words:
+            return None
+        checked = found.where(fts.matches(fts.tokens(F.col("text")), parsed))
+        if within != "documents" or not self._stored("postings"):
+            return search.mentioning(checked.select("chunk_id", "text"), words)
+        hits = fts.look_up(self.table("postings"), words)
+        plain = all(len(terms) == 1 and not terms[0][0] and len(terms[0][1]) == 1 for terms in parsed)
+        seen = found if plain else checked.join(hits.select(F.col("key").alias("chunk_id")), "chunk_id", "left_semi")
+        return search.mentioned(hits.join(seen.select(F.col("chunk_id").alias("key")), "key", "left_semi"))
+
     def get_document(self, doc_id: int, most: int = 100_000) -> DataFrame:
         d = self.policy(self.table("documents")) if self.policy else self.table("documents")
         return d.where(F.col("doc_id") == doc_id).select("doc_id", "title", "uri", "corpus_class", "trust_tier", F.substring("content", 1, most).alias("content"), (F.length("content") > most).alias("truncated"))

@@ -133,6 +133,22 @@ def postings(df, key: str, words: Column):
     return flat.groupBy(key, "lexeme").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 
+def build_index(df, key: str, text: str):
+    """``word, key, n``: how often each word stands in each text, ordered by word, so that a stored index is read only where a query's words are."""
+    counts = df.select(F.col(key).alias("key"), F.explode(tokens(F.col(text))).alias("word")).groupBy("word", "key").agg(F.count("*").alias("n"))
+    return counts.repartitionByRange("word", "key").sortWithinPartitions("word", "key")
+
+
+def look_up(index, wanted: list[str]):
+    """``key, hits``: texts that hold a wanted word, and how many of them they hold."""
+    return index.where(F.col("word").isin(*wanted)).groupBy("key").agg(F.sum("n").cast("int").alias("hits"))
+
+
+def positive_words(parsed: list[list[tuple[bool, list[str]]]]) -> list[str]:
+    """The words one of which every match of a parsed query holds."""
+    return sorted({w for terms in parsed for negated, ws in terms if not negated for w in ws})
+
+
 def stemmed_counts(df, key: str, text: str, wanted: list[str]):
     """``key, rank`` of texts that hold a word of a wanted stem: for each stem the sum of 1/i^2 over its occurrences, scaled, averaged.
 

@@ -89,6 +89,11 @@ def mentioning(chunks: DataFrame, terms: Sequence[str], depth: int = DEPTH, word
     return _ranked(found, [F.desc("hits"), F.col("chunk_id")], depth, "fts_rank")
 
 
+def mentioned(found: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """As ``mentioning``, of texts found by an index: ``key, hits``."""
+    return _ranked(found.select(F.col("key").alias("chunk_id"), "hits"), [F.desc("hits"), F.col("chunk_id")], depth, "fts_rank")
+
+
 def fuse(vec: DataFrame, text: DataFrame, limit: int = 10) -> DataFrame:
     """``chunk_id, score, matched_by``: the sum of 1 / (60 + rank) over the engines that found a chunk."""
     both = vec.select("chunk_id", "vec_rank").join(text.select("chunk_id", "fts_rank"), "chunk_id", "full")

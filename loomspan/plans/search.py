@@ -70,6 +70,12 @@ def search_fts_or(spark, sf_dir):
     return search.mentioning(docs, TERMS)
 
 
+def search_postings(spark, sf_dir):
+    """``search_fts_or`` by an index of words."""
+    docs = table(spark, sf_dir, "documents").where("state = 'ok'")
+    return search.mentioned(fts.look_up(fts.build_index(docs, "doc_id", "text"), list(TERMS)))
+
+
 def search_websearch(spark, sf_dir):
     """Phrases, alternatives and exclusions over all documents."""
     parsed = fts.parse('"tide table" -flood or "orchard log" winter')
@@ -108,7 +114,7 @@ def search_hit_authors(spark, sf_dir):
     return threads.join(named, "conversation_id", "left").select("chunk_id", "fts_rank", F.coalesce("authors", F.lit("")).alias("authors"))
 
 
-QUERIES = {f.__name__: f for f in (search_hybrid_rrf, search_filtered, search_access_policy, search_bq_rerank, search_union_facts, search_fts_or, search_websearch, search_stemmed, search_direction, search_author, search_hit_authors)}
+QUERIES = {f.__name__: f for f in (search_hybrid_rrf, search_filtered, search_access_policy, search_bq_rerank, search_union_facts, search_fts_or, search_postings, search_websearch, search_stemmed, search_direction, search_author, search_hit_authors)}
 QUERIES |= {"search_vector_cosine": _near("cosine"), "search_vector_l2": _near("l2"), "search_vector_ip": _near("ip")}
 
 _V = """usable AS (SELECT chunk_id, embedding::DOUBLE[] AS v FROM emb_quill WHERE length(embedding) = 64
@@ -145,6 +151,7 @@ ORACLES = {
         h AS (SELECT part, chunk_id, v, length(list_filter(list_zip(v, qv), lambda z: (z[1] > 0) <> (z[2] > 0))) AS bits FROM b, q), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY part ORDER BY bits, chunk_id) <= 800),
         t AS (SELECT chunk_id, round(1 - list_cosine_similarity(v, qv), 9) AS d FROM f, q ORDER BY d, chunk_id LIMIT 200) SELECT chunk_id, round(d, 5) AS distance, row_number() OVER (ORDER BY d, chunk_id)::INTEGER AS vec_rank FROM t""",
     "search_fts_or": _MENTION("documents", "doc_id", "text", "state = 'ok'"),
+    "search_postings": _MENTION("documents", "doc_id", "text", "state = 'ok'"),
     "search_stemmed": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents), s AS (SELECT doc_id, CASE WHEN w IN ('archiv', 'archive', 'archives', 'archived', 'archiving') THEN 1 WHEN w IN ('return', 'returns', 'returned', 'returning') THEN 2 WHEN w IN ('passage', 'passages') THEN 3 END AS s FROM w),
         c AS (SELECT doc_id, s, count(*) AS n FROM s WHERE s IS NOT NULL GROUP BY ALL) SELECT doc_id, round(sum(list_sum(list_transform(range(1, n + 1), lambda i: 1::DOUBLE / (i * i))) / 1.64493406685::DOUBLE) / 3, 5) AS rank FROM c GROUP BY 1 ORDER BY rank DESC, doc_id DESC LIMIT 200""",
     "search_websearch": f"SELECT doc_id FROM documents WHERE (contains({_LINE}, ' tide table ') AND NOT contains({_LINE}, ' flood ')) OR (contains({_LINE}, ' orchard log ') AND contains({_LINE}, ' winter '))",

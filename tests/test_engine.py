@@ -48,6 +48,14 @@ def test_search_by_author_direction_links_and_facts(engine, spark):
         engine.search("heat", author="Ada")
 
 
+def test_search_by_index(engine):
+    queries = ("heat", "heat pump efficiency", '"heat pump" -letter', '"heat pump" or kitchen', "nothing", "-heat")
+    seen = lambda: [[(h.chunk_id, h.score) for h in engine.search(q, "fts", tiers=t).collect()] for q in queries for t in ((), ("authored", "received"))]
+    before = seen()
+    engine.index()
+    assert seen() == before and before[0]
+
+
 def test_prompt_keeps_mail_home(engine):
     text, cited = engine.prompt("heat pump")
     assert 3 not in cited and "[1]" in text and "letter" not in text
