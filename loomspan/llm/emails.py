@@ -179,6 +179,8 @@ def _opens(line: str) -> bool:
 FEATURES, QUOTE_FEATURES = 24, 15
 #: Characters from which a line says whose it is; shorter ones stand in too many mails.
 TELLING = 12
+#: Rows that the quote model is fitted on at least.
+LEAST_ROWS = 200
 
 
 def paragraphs(lines: list[str], out: list[bool], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -294,6 +296,8 @@ class Model:
     """Three models; ``quotes`` holds the features of paragraphs and, last, their labels."""
 
     def __init__(self, rows: np.ndarray, quotes: np.ndarray):
+        if len(quotes):  # a few paragraphs count as often as it takes for a leaf to hold one of them
+            quotes = np.tile(quotes, (math.ceil(LEAST_ROWS / len(quotes)), 1))
         self.quote = Trees().fit(quotes[:, :-1], quotes[:, -1].astype(float))
         label = sure(rows)
         kept = label >= 0
